@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..session import ship
 from . import kernel
@@ -202,6 +203,8 @@ def find(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, id
     shared = spark.sparkContext.broadcast(load_items(benchmark, item_col))
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField(item_col, benchmark.schema[item_col].dataType), T.StructField("first_word", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("similarity", T.DoubleType())])
 
+    arrow = to_arrow_schema(schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = shared.value
         for b in batches:
@@ -210,7 +213,8 @@ def find(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, id
                 for item, start, end, s in found:
                     ids.append(b.column(0)[w.first + row].as_py())
                     out.append((items.ids[item], start, end - start, round(s, 9)))
-            yield pa.RecordBatch.from_pandas(__import__("pandas").DataFrame({id_col: ids, item_col: [x[0] for x in out], "first_word": [x[1] for x in out], "n_words": [x[2] for x in out], "similarity": [x[3] for x in out]}), schema=pa.schema([pa.field(id_col, b.column(0).type), pa.field(item_col, pa.array(items.ids[:1] or [0]).type), pa.field("first_word", pa.int64()), pa.field("n_words", pa.int64()), pa.field("similarity", pa.float64())]), preserve_index=False)
+            columns = [ids, *([x[k] for x in out] for k in range(4))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
     return docs.select(id_col, F.col(text_col).cast("string").alias(text_col)).mapInArrow(run, schema)
 
