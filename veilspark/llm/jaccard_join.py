@@ -15,7 +15,8 @@ shingle).  Two documents link when their sets' Jaccard similarity reaches
    possible overlap is too small, and a pair of records likewise.  A group of
    one leaf needs no bitmap: sizes and places bound its pairs.  A group of more
    than ``BLOCK`` records is dealt over pairs of blocks, each a task's own.
-4. Surviving pairs, each once, are verified on the whole sets.
+4. Surviving pairs, each once, are verified on the whole sets; in large groups
+   first the likeliest ones, and then all between different components.
 5. Links become components in a distributed way.
 
 All links are found: every bound is a true upper bound.  Hot groups are split
@@ -46,6 +47,9 @@ from .components import components
 LEAF = 32
 BLOCK = 1024
 BUCKETS = 1 << 16
+CLOSEST = 3
+#: Ids up to this number are broadcast (8 bytes each) to pick texts; more are joined by a shuffle.
+BROADCAST_IDS = 400_000
 _U = np.uint64
 
 
@@ -101,12 +105,12 @@ def _fold(maps: np.ndarray, words: int) -> np.ndarray:
 class SignatureTree:
     """Records of one group whose bitmaps have one width, sorted by size."""
 
-    def __init__(self, sizes: np.ndarray, maps: np.ndarray, ids: np.ndarray, parts: np.ndarray, leaf: int = LEAF):
+    def __init__(self, sizes: np.ndarray, maps: np.ndarray, ids: np.ndarray, parts: np.ndarray, comps: np.ndarray, leaf: int = LEAF):
         order = np.lexsort((ids, sizes))
-        self.sizes, self.maps, self.ids, self.parts = sizes[order], maps[order], ids[order], parts[order]
+        self.sizes, self.maps, self.ids, self.parts, self.comps = sizes[order], maps[order], ids[order], parts[order], comps[order]
         self.hidden = self.sizes - np.bitwise_count(self.maps).sum(1)  # shingles that share a bit
         self.leaf = leaf
-        self.nodes: list[tuple] = []  # first, end, bitmap, smallest and largest size, most hidden, children
+        self.nodes: list[tuple] = []  # first, end, bitmap, smallest and largest size, most hidden, children, the component of all or None
         self.root = self._build(0, len(ids))
 
     def _build(self, a: int, b: int) -> int:
@@ -117,17 +121,21 @@ class SignatureTree:
             union = self.nodes[kids[0]][2] | self.nodes[kids[1]][2]
         else:
             union = np.bitwise_or.reduce(self.maps[a:b], axis=0)
-        self.nodes.append((a, b, union, int(self.sizes[a]), int(self.sizes[b - 1]), int(self.hidden[a:b].max()), kids))
+        own = self.comps[a:b]
+        one = int(own[0]) if (own == own[0]).all() else None
+        self.nodes.append((a, b, union, int(self.sizes[a]), int(self.sizes[b - 1]), int(self.hidden[a:b].max()), kids, one))
         return len(self.nodes) - 1
 
 
-def traverse(x: SignatureTree, y: SignatureTree, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Arrays of record positions (in x, in y) that may link; ``x is y`` gives each pair once."""
+def traverse(x: SignatureTree, y: SignatureTree, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Record positions (in x, in y) that may link and are not yet in one component, and their largest possible similarity; ``x is y`` gives each pair once."""
     same, stack = x is y, [(x.root, y.root)]
     while stack:
         i, j = stack.pop()
-        a, b, union_a, low_a, high_a, hidden_a, kids_a = x.nodes[i]
-        c, d, union_c, low_c, high_c, hidden_c, kids_c = y.nodes[j]
+        a, b, union_a, low_a, high_a, hidden_a, kids_a, one_a = x.nodes[i]
+        c, d, union_c, low_c, high_c, hidden_c, kids_c, one_c = y.nodes[j]
+        if one_a is not None and one_a == one_c:
+            continue
         if high_a * den < num * low_c or high_c * den < num * low_a:
             continue
         least = -(-num * (low_a + low_c) // (num + den))
@@ -147,16 +155,17 @@ def traverse(x: SignatureTree, y: SignatureTree, num: int, den: int) -> Iterator
             # a bit that only x has stands for a shingle that y lacks, and the other way round
             shared = np.bitwise_count(mx[:, None, :] & my[None, :, :]).sum(2, dtype=np.int64)
             most = np.minimum(nx - (np.bitwise_count(mx).sum(1)[:, None] - shared), ny - (np.bitwise_count(my).sum(1)[None, :] - shared))
-            ok = (most >= least) & (np.minimum(nx, ny) * den >= num * np.maximum(nx, ny))
+            ok = (most >= least) & (np.minimum(nx, ny) * den >= num * np.maximum(nx, ny)) & (x.comps[a:b, None] != y.comps[None, c:d])
             if same and i == j:
                 ok &= np.arange(b - a)[:, None] < np.arange(d - c)[None, :]
             p, q = np.nonzero(ok)
             if len(p):
-                yield p + a, q + c
+                both = most[p, q]
+                yield p + a, q + c, both / (nx[p, 0] + ny[0, q] - both)
 
 
-def group_pairs(sizes: np.ndarray, maps: list[np.ndarray], ids: np.ndarray, parts: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Id pairs of one group that may link.  ``parts``: only pairs between part 0 and 1, or all where every part is 0."""
+def group_pairs(sizes: np.ndarray, maps: list[np.ndarray], ids: np.ndarray, parts: np.ndarray, comps: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Id pairs of one group that may link, with their bounds.  ``parts``: only pairs between part 0 and 1, or all where every part is 0."""
     split = bool(parts.any()) and not bool(parts.all())
     by: dict[int, list[int]] = {}
     for k, m in enumerate(maps):
@@ -165,18 +174,29 @@ def group_pairs(sizes: np.ndarray, maps: list[np.ndarray], ids: np.ndarray, part
     for width, own in by.items():
         for fold_to in (width, width // 2):
             if fold_to and (fold_to == width or fold_to in by):
-                trees[width, fold_to] = SignatureTree(sizes[own], _fold(np.stack([maps[k] for k in own]), fold_to), ids[own], parts[own])
+                trees[width, fold_to] = SignatureTree(sizes[own], _fold(np.stack([maps[k] for k in own]), fold_to), ids[own], parts[own], comps[own])
     for width in by:
         pairs = [(trees[width, width], trees[width, width])]
         if (width * 2, width) in trees:
             pairs.append((trees[width, width], trees[width * 2, width]))
         for x, y in pairs:
-            for p, q in traverse(x, y, num, den):
+            for p, q, bound in traverse(x, y, num, den):
                 if split:
                     keep = x.parts[p] != y.parts[q]
-                    p, q = p[keep], q[keep]
+                    p, q, bound = p[keep], q[keep], bound[keep]
                 if len(p):
-                    yield x.ids[p], y.ids[q]
+                    yield x.ids[p], y.ids[q], bound
+
+
+def closest(a: np.ndarray, b: np.ndarray, bound: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the pairs that are among the ``k`` best of either of their records."""
+    keep = np.zeros(len(a), dtype=bool)
+    for side in (a, b):
+        order = np.lexsort((-bound, side))
+        own = side[order]
+        first = np.searchsorted(own, own)
+        keep[order[np.arange(len(own)) - first < k]] = True
+    return np.flatnonzero(keep)
 
 
 def _pair_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
@@ -206,9 +226,55 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], keys: int, room: int) -> It
         yield pa.Table.from_batches(held).combine_chunks()
 
 
+def verified(pairs: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets reach the similarity."""
+    wanted = stored(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "wanted")
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for first, h, at in _sets(b.column(1), size):
+                bytes_of = (h >> _U(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+                values = [bytes_of[x:z].tobytes() for x, z in zip(at[:-1], at[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(values)), pa.array(values, type=pa.binary())], names=["doc_id", "shingles"])
+
+    # ids alone, and only where they are few: beyond that the texts are shuffled
+    few = wanted.count() <= BROADCAST_IDS
+    texts = docs.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
+    held = texts.select("doc_id", "_text").mapInArrow(whole, T.StructType([docs.schema["doc_id"], T.StructField("shingles", T.BinaryType())]))
+    held = stored(held, "whole-sets")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def wide(raw: bytes) -> np.ndarray:
+            out = np.zeros((len(raw) // 5, 8), dtype=np.uint8)
+            out[:, :5] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 5)
+            return out.view("<u8").ravel()
+
+        for batch in batches:
+            good, last, own = [], None, None
+            left, right = batch.column(2), batch.column(3)
+            for k, b in enumerate(batch.column(1).to_pylist()):
+                if b != last:
+                    last, own = b, wide(right[k].as_py())
+                other = wide(left[k].as_py())
+                both = len(np.intersect1d(own, other))
+                if den * both >= num * (len(own) + len(other) - both):
+                    good.append(k)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(good, type=pa.int64())), batch.column(1).take(pa.array(good, type=pa.int64()))], names=["a", "b"])
+
+    first = pairs.join(held.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
+    return first.join(held.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b").select("a", "b", "sa", "sb").mapInArrow(verify, "a long, b long")
+
+
 def links(sets: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """Verified links (a, b) between the representatives in ``sets``."""
-    keyed = sets.select("doc_id", "n", F.posexplode("keys").alias("pos", "key"))
+    """Verified links (a, b) between the representatives in ``sets`` that join all that link.
+
+    A large group of near copies may hold as many links as pairs.  So large
+    groups are traversed twice: first each record's ``CLOSEST`` likeliest
+    partners are verified, then the traversal is repeated without the pairs of
+    records that are in one component already, and every pair left is
+    verified.
+    """
+    keyed = sets.select("doc_id", F.col("n").cast("int").alias("n"), F.posexplode("keys").alias("pos", "key")).repartition("key")
     counts = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     live = stored(keyed.join(counts, "key"), "groups")
 
@@ -222,7 +288,7 @@ def links(sets: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> Da
                     break
                 j = i + step
                 ok = n[i] * den >= num * n[j]
-                ok &= 1 + np.minimum(n[i] - pos[i], n[j] - pos[j]) - 1 >= -(-num * (n[i] + n[j]) // (num + den))
+                ok &= np.minimum(n[i] - pos[i], n[j] - pos[j]) >= -(-num * (n[i] + n[j]) // (num + den))
                 i, j = i[ok], j[ok]
                 out_a.append(np.minimum(ids[i], ids[j]))
                 out_b.append(np.maximum(ids[i], ids[j]))
@@ -230,73 +296,61 @@ def links(sets: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> Da
                 pairs = np.unique(np.stack([np.concatenate(out_a), np.concatenate(out_b)]), axis=1)
                 yield _pair_batch(pairs[0], pairs[1])
 
-    def large(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
-        for table in _whole_groups(batches, 3, 4096):
-            key, lo, hi, own, n, ids = (table.column(k).to_numpy() for k in range(6))
-            maps = table.column(6).to_pylist()
-            change = np.ones(len(key), dtype=bool)
-            change[1:] = (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
-            starts = np.append(np.flatnonzero(change), len(key))
-            for s, e in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-                parts = (own[s:e] == hi[s]).astype(np.int8) if lo[s] != hi[s] else np.zeros(e - s, dtype=np.int8)
-                if lo[s] != hi[s] and (parts.all() or not parts.any()):
-                    continue
-                for a, b in group_pairs(n[s:e], [np.frombuffer(m, dtype=_U) for m in maps[s:e]], ids[s:e], parts, num, den):
-                    new = [p for p in zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True) if p not in seen]
+    def large(best: int):
+        """Pairs of large groups; ``best``: only each record's so many likeliest, or all at 0."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen: set[tuple[int, int]] = set()
+            for table in _whole_groups(batches, 3, 4096):
+                key, lo, hi, own, n, ids, comps = (table.column(k).to_numpy() for k in range(7))
+                maps = table.column(7).to_pylist()
+                change = np.ones(len(key), dtype=bool)
+                change[1:] = (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
+                starts = np.append(np.flatnonzero(change), len(key))
+                for s, e in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                    if (comps[s:e] == comps[s]).all():
+                        continue
+                    parts = (own[s:e] == hi[s]).astype(np.int8) if lo[s] != hi[s] else np.zeros(e - s, dtype=np.int8)
+                    if lo[s] != hi[s] and (parts.all() or not parts.any()):
+                        continue
+                    found = list(group_pairs(n[s:e], [np.frombuffer(m, dtype=_U) for m in maps[s:e]], ids[s:e], parts, comps[s:e], num, den))
+                    if not found:
+                        continue
+                    a, b, bound = (np.concatenate(x) for x in zip(*found, strict=True))
+                    a, b = np.minimum(a, b), np.maximum(a, b)
+                    if best:
+                        top = closest(a, b, bound, best)
+                        a, b = a[top], b[top]
+                    new = list({p for p in zip(a.tolist(), b.tolist(), strict=True) if p not in seen})
                     if len(seen) > 1_000_000:
                         seen.clear()
                     seen.update(new)
                     if new:
                         yield _pair_batch(np.array([p[0] for p in new]), np.array([p[1] for p in new]))
 
+        return run
+
     few = live.where(F.col("c") <= LEAF).select("key", F.col("n").cast("long").alias("n"), F.col("pos").cast("long").alias("pos"), "doc_id")
-    pairs = few.repartition("key").sortWithinPartitions("key", "n", "doc_id").mapInArrow(small, "a long, b long")
+    near = few.repartition("key").sortWithinPartitions("key", "n", "doc_id").mapInArrow(small, "a long, b long")
     blocks = F.ceil(F.col("c") / F.lit(BLOCK)).cast("int")
-    many = (
-        live.where(F.col("c") > LEAF)
-        .withColumn("own", F.pmod(F.xxhash64("doc_id"), blocks).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", F.col("n").cast("long").alias("n"), "doc_id")
-        .join(sets.select("doc_id", "bits"), "doc_id")
-        .select("key", "lo", "hi", "own", "n", "doc_id", "bits")
-    )
-    pairs = pairs.unionByName(many.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "n", "doc_id").mapInArrow(large, "a long, b long"))
-    pairs = stored(pairs.distinct(), "pairs")
-
-    # whole sets of the documents that are in a pair, 40 bits a shingle
-    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for first, h, at in _sets(b.column(1), size):
-                bytes_of = (h >> _U(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-                values = [bytes_of[a:z].tobytes() for a, z in zip(at[:-1], at[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(values)), pa.array(values, type=pa.binary())], names=["doc_id", "shingles"])
-
-    texts = docs.join(wanted, "doc_id", "left_semi")
-    held = texts.select("doc_id", "_text").mapInArrow(whole, T.StructType([docs.schema["doc_id"], T.StructField("shingles", T.BinaryType())]))
+    many = stored(live.where(F.col("c") > LEAF).withColumn("own", F.pmod(F.xxhash64("doc_id"), blocks).cast("int")).join(sets.select("doc_id", "bits"), "doc_id").select("key", "own", blocks.alias("blocks"), F.col("n").cast("long").alias("n"), "doc_id", "bits"), "large-groups")
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def wide(raw: bytes) -> np.ndarray:
-            out = np.zeros((len(raw) // 5, 8), dtype=np.uint8)
-            out[:, :5] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 5)
-            return out.view("<u8").ravel()
-
-        for batch in batches:
-            good, last, own = [], None, None
-            left, right = batch.column(2), batch.column(3)
-            for k, b in enumerate(batch.column(1).to_pylist()):
-                if b != last:
-                    last, own = b, wide(right[k].as_py())
-                other = wide(left[k].as_py())
-                both = len(np.intersect1d(own, other, assume_unique=False))
-                if den * both >= num * (len(own) + len(other) - both):
-                    good.append(k)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(good, type=pa.int64())), batch.column(1).take(pa.array(good, type=pa.int64()))], names=["a", "b"])
-
-    first = pairs.join(held.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
-    return first.join(held.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b").select("a", "b", "sa", "sb").mapInArrow(verify, "a long, b long")
+    def dealt(comps: DataFrame | None, best: int) -> DataFrame:
+        rows = many
+        if comps is None:
+            rows = rows.withColumn("comp", F.col("doc_id"))
+        else:
+            rows = rows.join(comps, F.col("doc_id") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "doc_id"))
+            open_ = rows.groupBy("key").agg((F.min("comp") < F.max("comp")).alias("open")).where("open").select("key")
+            rows = rows.join(open_, "key", "left_semi")
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        rows = rows.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "n", "doc_id", "comp", "bits")
+        return rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "n", "doc_id").mapInArrow(large(best), "a long, b long")
+
+    first = stored(near.unionByName(dealt(None, CLOSEST)).distinct(), "pairs")
+    linked = stored(verified(first, docs, size, num, den), "links")
+    rest = stored(dealt(components(linked), 0).distinct().join(first, ["a", "b"], "left_anti"), "pairs-left")
+    return linked.unionByName(verified(rest, docs, size, num, den))
 
 
 def join(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
