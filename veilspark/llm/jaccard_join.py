@@ -35,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,6 +48,8 @@ LEAF = 32
 BLOCK = 1024
 BUCKETS = 1 << 16
 CLOSEST = 3
+#: Largest groups of a record that the first traversal looks at; the second one looks at all.
+MAIN = 2
 #: Ids up to this number are broadcast (8 bytes each) to pick texts; more are joined by a shuffle.
 BROADCAST_IDS = 400_000
 _U = np.uint64
@@ -269,10 +271,10 @@ def links(sets: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> Da
     """Verified links (a, b) between the representatives in ``sets`` that join all that link.
 
     A large group of near copies may hold as many links as pairs.  So large
-    groups are traversed twice: first each record's ``CLOSEST`` likeliest
-    partners are verified, then the traversal is repeated without the pairs of
-    records that are in one component already, and every pair left is
-    verified.
+    groups are traversed twice: first, in each record's ``MAIN`` largest groups,
+    its ``CLOSEST`` likeliest partners are verified; then all groups are
+    traversed without the pairs of records that are in one component already,
+    and every pair left is verified.
     """
     keyed = sets.select("doc_id", F.col("n").cast("int").alias("n"), F.posexplode("keys").alias("pos", "key")).repartition("key")
     counts = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
@@ -333,12 +335,13 @@ def links(sets: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> Da
     few = live.where(F.col("c") <= LEAF).select("key", F.col("n").cast("long").alias("n"), F.col("pos").cast("long").alias("pos"), "doc_id")
     near = few.repartition("key").sortWithinPartitions("key", "n", "doc_id").mapInArrow(small, "a long, b long")
     blocks = F.ceil(F.col("c") / F.lit(BLOCK)).cast("int")
-    many = stored(live.where(F.col("c") > LEAF).withColumn("own", F.pmod(F.xxhash64("doc_id"), blocks).cast("int")).join(sets.select("doc_id", "bits"), "doc_id").select("key", "own", blocks.alias("blocks"), F.col("n").cast("long").alias("n"), "doc_id", "bits"), "large-groups")
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("c").desc(), "key"))
+    many = stored(live.where(F.col("c") > LEAF).withColumn("main", rank <= MAIN).withColumn("own", F.pmod(F.xxhash64("doc_id"), blocks).cast("int")).join(sets.select("doc_id", "bits"), "doc_id").select("key", "own", blocks.alias("blocks"), F.col("n").cast("long").alias("n"), "doc_id", "main", "bits"), "large-groups")
 
     def dealt(comps: DataFrame | None, best: int) -> DataFrame:
         rows = many
         if comps is None:
-            rows = rows.withColumn("comp", F.col("doc_id"))
+            rows = rows.where("main").withColumn("comp", F.col("doc_id"))
         else:
             rows = rows.join(comps, F.col("doc_id") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "doc_id"))
             open_ = rows.groupBy("key").agg((F.min("comp") < F.max("comp")).alias("open")).where("open").select("key")
