@@ -13,7 +13,7 @@ shingle).  Two documents link when their sets' Jaccard similarity reaches
    nodes with OR-combined bitmaps and size ranges.  A dual traversal drops a
    pair of nodes when no pair of sizes fits or when the bitmaps' largest
    possible overlap is too small, and a pair of records likewise.  A group of
-   one leaf needs no bitmap: sizes and places bound its pairs.  A group of more
+   one leaf is no tree: sizes, places and then bitmaps bound its pairs.  A group of more
    than ``BLOCK`` records is dealt over pairs of blocks, each a task's own.
 4. Surviving pairs, each once, are verified on the whole sets; in large groups
    first the likeliest ones, and then all between different components.
@@ -50,6 +50,8 @@ BUCKETS = 1 << 16
 CLOSEST = 3
 #: Largest groups of a record that the first traversal looks at; the second one looks at all.
 MAIN = 2
+#: Buckets of at least 2 ** this times the mean count are hot: their groups are counted with pre-aggregation and may be split by the join.
+HOT_LEVEL = 3
 #: Ids up to this number are broadcast (8 bytes each) to pick texts; more are joined by a shuffle.
 BROADCAST_IDS = 400_000
 _U = np.uint64
@@ -228,6 +230,33 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], keys: int, room: int) -> It
         yield pa.Table.from_batches(held).combine_chunks()
 
 
+def _possible(na: np.ndarray, nb: np.ndarray, maps_a: pa.Array, maps_b: pa.Array, num: int, den: int) -> np.ndarray:
+    """Positions of the pairs whose bitmaps allow the similarity."""
+    good = []
+    for k in range(len(na)):
+        x, y = (np.frombuffer(m[k].as_py(), dtype=_U)[None, :] for m in (maps_a, maps_b))
+        words = min(x.shape[1], y.shape[1])
+        x, y = _fold(x, words), _fold(y, words)
+        shared = int(np.bitwise_count(x & y).sum())
+        most = min(na[k] - (int(np.bitwise_count(x).sum()) - shared), nb[k] - (int(np.bitwise_count(y).sum()) - shared))
+        if most >= -(-num * (na[k] + nb[k]) // (num + den)):
+            good.append(k)
+    return np.array(good, dtype=np.int64)
+
+
+def possible(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that the bitmaps do not rule out: an eighth of the bytes of whole sets, and most pairs of small groups end here."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = pa.array(_possible(batch.column(2).to_numpy(), batch.column(3).to_numpy(), batch.column(4), batch.column(5), num, den))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(good), batch.column(1).take(good)], names=["a", "b"])
+
+    first = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba")), "a")
+    both = first.join(sets.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb")), "b")
+    return both.select("a", "b", "na", "nb", "ba", "bb").mapInArrow(run, "a long, b long")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose whole sets reach the similarity."""
     wanted = stored(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "wanted")
@@ -276,9 +305,12 @@ def links(sets: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> Da
     traversed without the pairs of records that are in one component already,
     and every pair left is verified.
     """
-    keyed = sets.select("doc_id", F.col("n").cast("int").alias("n"), F.posexplode("keys").alias("pos", "key")).repartition("key")
-    counts = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    live = stored(keyed.join(counts, "key"), "groups")
+    keyed = sets.select("doc_id", F.col("n").cast("int").alias("n"), "usual", F.posexplode("keys").alias("pos", "key"))
+    # a usual bucket holds a few times the mean at most, so no key of it is hot and one shuffle counts and keeps its rows
+    usual = keyed.where("pos < usual").drop("usual").withColumn("c", F.count("*").over(Window.partitionBy("key")))
+    hot = keyed.where("pos >= usual").drop("usual")
+    hot = hot.join(hot.groupBy("key").agg(F.count("*").alias("c")), "key").select(usual.columns)
+    live = stored(usual.unionByName(hot).where("c > 1"), "groups")
 
     def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_groups(batches, 1, 200_000):
@@ -350,7 +382,7 @@ def links(sets: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> Da
         rows = rows.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "n", "doc_id", "comp", "bits")
         return rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "n", "doc_id").mapInArrow(large(best), "a long, b long")
 
-    first = stored(near.unionByName(dealt(None, CLOSEST)).distinct(), "pairs")
+    first = stored(possible(near.distinct(), sets, num, den).unionByName(dealt(None, CLOSEST)).distinct(), "pairs")
     linked = stored(verified(first, docs, size, num, den), "links")
     rest = stored(dealt(components(linked), 0).distinct().join(first, ["a", "b"], "left_anti"), "pairs-left")
     return linked.unionByName(verified(rest, docs, size, num, den))
@@ -373,20 +405,22 @@ def join(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, id_col:
                     sums2 = np.concatenate([[_U(0)], np.cumsum(mixed, dtype=_U)])
                     h1, h2 = sums[at[1:]] - sums[at[:-1]], sums2[at[1:]] - sums2[at[:-1]]
                 level = levels[(h >> _U(48)).astype(np.int64)]
-                keys, bits, ends = [], [], [0]
+                keys, bits, ends, usual = [], [], [0], []
                 for k in range(n):
                     own = h[at[k] : at[k + 1]]
                     size_k = len(own)
                     take = size_k - -(-num * size_k // den) + 1 if size_k else 0
                     high = level[at[k] : at[k + 1]]
-                    keys.append(own[np.argsort(high, kind="stable")[:take]] if high.any() else own[:take])
+                    order = np.argsort(high, kind="stable")[:take]
+                    keys.append(own[order])
+                    usual.append(int((high[order] < HOT_LEVEL).sum()))
                     ends.append(ends[-1] + take)
                     bits.append(bitmap(own).tobytes() if size_k else b"")
                 flat = np.concatenate(keys) if keys else np.zeros(0, dtype=_U)
                 lists = pa.ListArray.from_arrays(pa.array(np.array(ends, dtype=np.int32)), pa.array(flat.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, n), pa.array(np.diff(at)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), lists, pa.array(bits, type=pa.binary())], names=["doc_id", "n", "h1", "h2", "keys", "bits"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, n), pa.array(np.diff(at)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), lists, pa.array(usual, type=pa.int32()), pa.array(bits, type=pa.binary())], names=["doc_id", "n", "h1", "h2", "keys", "usual", "bits"])
 
-    schema = "doc_id long, n long, h1 long, h2 long, keys array<long>, bits binary"
+    schema = "doc_id long, n long, h1 long, h2 long, keys array<long>, usual int, bits binary"
     sets = stored(rows.mapInArrow(run, schema), "sets")
     same = ["n", "h1", "h2"]
     first = sets.where("n > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("rep"))
