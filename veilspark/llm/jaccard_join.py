@@ -245,15 +245,15 @@ def _possible(na: np.ndarray, nb: np.ndarray, maps_a: pa.Array, maps_b: pa.Array
 
 
 def possible(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that the bitmaps do not rule out: an eighth of the bytes of whole sets, and most pairs of small groups end here."""
+    """The pairs (a, b) that the coarse bitmaps (a bit a shingle at least) do not rule out: a few hundredths of the bytes of whole sets, and most pairs of small groups end here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = pa.array(_possible(batch.column(2).to_numpy(), batch.column(3).to_numpy(), batch.column(4), batch.column(5), num, den))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(good), batch.column(1).take(good)], names=["a", "b"])
 
-    first = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba")), "a")
-    both = first.join(sets.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb")), "b")
+    first = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("coarse").alias("ba")), "a")
+    both = first.join(sets.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("coarse").alias("bb")), "b")
     return both.select("a", "b", "na", "nb", "ba", "bb").mapInArrow(run, "a long, b long")
 
 
@@ -405,7 +405,7 @@ def join(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, id_col:
                     sums2 = np.concatenate([[_U(0)], np.cumsum(mixed, dtype=_U)])
                     h1, h2 = sums[at[1:]] - sums[at[:-1]], sums2[at[1:]] - sums2[at[:-1]]
                 level = levels[(h >> _U(48)).astype(np.int64)]
-                keys, bits, ends, usual = [], [], [0], []
+                keys, bits, coarse, ends, usual = [], [], [], [0], []
                 for k in range(n):
                     own = h[at[k] : at[k + 1]]
                     size_k = len(own)
@@ -415,12 +415,14 @@ def join(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, id_col:
                     keys.append(own[order])
                     usual.append(int((high[order] < HOT_LEVEL).sum()))
                     ends.append(ends[-1] + take)
-                    bits.append(bitmap(own).tobytes() if size_k else b"")
+                    own_map = bitmap(own) if size_k else np.zeros(0, dtype=_U)
+                    bits.append(own_map.tobytes())
+                    coarse.append(_fold(own_map[None, :], max(1, len(own_map) // 4)).tobytes() if size_k else b"")
                 flat = np.concatenate(keys) if keys else np.zeros(0, dtype=_U)
                 lists = pa.ListArray.from_arrays(pa.array(np.array(ends, dtype=np.int32)), pa.array(flat.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, n), pa.array(np.diff(at)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), lists, pa.array(usual, type=pa.int32()), pa.array(bits, type=pa.binary())], names=["doc_id", "n", "h1", "h2", "keys", "usual", "bits"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, n), pa.array(np.diff(at)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), lists, pa.array(usual, type=pa.int32()), pa.array(bits, type=pa.binary()), pa.array(coarse, type=pa.binary())], names=["doc_id", "n", "h1", "h2", "keys", "usual", "bits", "coarse"])
 
-    schema = "doc_id long, n long, h1 long, h2 long, keys array<long>, usual int, bits binary"
+    schema = "doc_id long, n long, h1 long, h2 long, keys array<long>, usual int, bits binary, coarse binary"
     sets = stored(rows.mapInArrow(run, schema), "sets")
     same = ["n", "h1", "h2"]
     first = sets.where("n > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("rep"))
