@@ -219,6 +219,23 @@ def test_licences(spark, docs, empty):
     assert license_scan.scan(empty).count() == 0
 
 
+def test_unknown_licences_are_not_confirmed(spark):
+    lines = [
+        "This work is licensed under the GNU Affero General Public License, version 3.", "This work is licensed under the GNU General Public License, version 2.", "Released under the ISC License.",
+        "Licensed under the Eclipse Public License, version 1.0.", "Licensed under the Microsoft Public License.", "Licensed under CC BY-NC-ND 4.0.",
+    ]
+    rows = spark.createDataFrame([(k, t, "en") for k, t in enumerate(lines)], SCHEMA)
+    assert {r["doc_id"]: r["family"] for r in license_scan.scan(rows).collect()} == dict.fromkeys(range(len(lines)), "unknown")
+    tried = license_scan._fit([(f, license_scan.grams(license_scan.tokens(t))) for f, t in license_scan.EXAMPLES])[3]
+    kept = [good for p, good in tried if p >= license_scan.model()[3]]
+    assert kept and sum(kept) >= license_scan.PRECISION * len(kept)
+
+
+def test_no_precision_confirms_nothing():
+    assert license_scan.least_probability([(0.9, False), (0.8, True)]) > 1
+    assert license_scan.least_probability([(0.9, True), (0.8, False)]) == 0.9
+
+
 def test_fingerprints(docs, empty, spark):
     rng = np.random.default_rng(6)
     vocab = [f"term{i}" for i in range(400)]
