@@ -236,6 +236,22 @@ def test_no_precision_confirms_nothing():
     assert license_scan.least_probability([(0.9, True), (0.8, False)]) == 0.9
 
 
+def test_wrapped_licences(spark):
+    grant = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights"
+    texts = [(1, "Title\n\n" + grant + "\n\nEnd"), (2, "you may not use this file except in compliance with the Apache terms"), (3, "One\n# " + grant.replace("\n", "\n# ").replace(" copy", "\n# copy")), (4, "Released under\n\nthe MIT License"), (5, "Released\nunder\nthe\nMIT\nLicense\nand more")]
+    rows = spark.createDataFrame([(i, t, "en") for i, t in texts], SCHEMA)
+    got = {(r["doc_id"], r["paragraph"], r["family"]) for r in license_scan.scan(rows).collect()}
+    assert (1, 2, "mit") in got and len([g for g in got if g[0] == 1]) == 1
+    assert (2, 0, "apache-2.0") in got and (3, 1, "mit") in got and {g[2] for g in got if g[0] == 5} == {"mit"}
+
+
+def test_guards_lose_no_template():
+    for f, t in license_scan.EXAMPLES:
+        own = set(license_scan.tokens(t))
+        left = [w for w in own if not any(g in w for g in license_scan.guards())]
+        assert f == "none" or len(left) < license_scan.COVER * len(own)
+
+
 def test_fingerprints(docs, empty, spark):
     rng = np.random.default_rng(6)
     vocab = [f"term{i}" for i in range(400)]

@@ -1,27 +1,33 @@
 """Licence scan, DataFrame functions only.
 
-A paragraph is a line of a text.  Its features are the distinct words and word
-pairs of it that the trained vocabulary knows; a sparse logistic regression
-over them (fitted in numpy on the labelled paragraphs ``EXAMPLES``, one
-intercept and weight vector per family, families against ``none``) gives each
-family's probability.  Licences beyond the families are examples of ``none``.
-The unknown class is calibrated: a prediction must have the least probability
-down to which leave-one-out predictions of families on the examples are right
-in a share of ``PRECISION``; where none reaches that, all is ``unknown``.  A prediction is then
+A passage is a line of a text, or a run of lines without a blank one between
+them (a wrapped notice) whose inner lines have at most ``MOST`` words.  Its
+features are the distinct words and word pairs of it that the trained
+vocabulary knows; a logistic regression over them (fitted in numpy on the
+labelled passages ``EXAMPLES``, one intercept and weight vector per family,
+families against ``none``) gives each family's probability.  Licences beyond
+the families are examples of ``none``.  The unknown class is calibrated: a
+prediction must have the least probability down to which leave-one-out
+predictions of families on the examples are right in a share of ``PRECISION``;
+where no probability reaches that, nothing is confirmed.  A prediction is then
 confirmed by comparison with the family's templates: enough of the words of one
-template must occur in the paragraph.
+template must occur in the passage.
 
-Every template has one of the ``CUES``, and so has every confirmed paragraph;
-paragraphs without a cue can be neither and are passed over by an exact
-substring test before anything is split.
+Before anything is split, texts are passed over that have neither one of the
+``CUES`` nor one of the ``guards``: words of which every passage that covers a
+template well enough has at least one.  So no confirmed passage is lost.
 
-Defined results: one row per paragraph that has a cue, numbered from 0 over all
-lines of its text; null and empty texts have none; repeated rows give their
-rows each; other columns are ignored.
+Defined results: of the confirmed passages those of fewest lines count, then
+those of the largest cover and probability, and those that overlap them do not.
+One row per passage that counts, and an unknown one per line that has a cue and
+lies in none of them; a row has the number of its first line, from 0 over all
+lines of its text; null and empty texts have none; repeated rows give
+their rows each; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from functools import cache
 
@@ -174,6 +180,8 @@ EXAMPLES = (
     ("none", "He studied at MIT and wrote about the Apache helicopter."),
 )
 _SPLIT = r"[^a-z0-9.+-]+"
+#: Words that the inner lines of a run may have: twice the longest template's.
+MOST = 2 * max(len(re.split(_SPLIT, t.lower())) for f, t in EXAMPLES if f != "none")
 
 
 def tokens(text: str) -> list[str]:
@@ -237,22 +245,59 @@ def model() -> tuple[list[str], dict[str, int], np.ndarray, float]:
     return families, vocabulary, w, least_probability(tried)
 
 
+@cache
+def guards() -> tuple[str, ...]:
+    """Strings of which every text has one that has a cue or covers a template to ``COVER``: of each template one word more than may be missing."""
+    found = set(CUES)
+    rank = lambda w: (not any(c in w for c in CUES), w.isalpha() or len(w) < 3, -len(w), w)
+    for own in (set(tokens(t)) for f, t in EXAMPLES if f != "none"):
+        missing = len(own) - math.ceil(COVER * len(own) - 1e-6)
+        found |= set(sorted(own, key=rank)[: missing + 1])
+    return tuple(sorted(w for w in found if not any(o in w for o in found if o != w)))
+
+
+def _has(text: Column, strings: tuple[str, ...]) -> Column:
+    out = F.lit(False)
+    for x in strings:
+        out = out | F.contains(text, F.lit(x))
+    return out
+
+
+def _words(text: Column) -> Column:
+    return F.filter(F.transform(F.split(text, _SPLIT), lambda x: F.trim(x, F.lit("."))), lambda x: x != "")
+
+
+def _passages(texts: DataFrame) -> DataFrame:
+    """(_row, id, start, lines, _low, _cue) of the lines and runs of lines of (_row, id, _low) that have a guard."""
+    keep = [c for c in texts.columns if c != "_low"]
+    lines = texts.select(*keep, F.split("_low", "\n").alias("_l"))
+    # each line with the lines that a run from it may have
+    lines = lines.select(*keep, F.posexplode(F.transform("_l", lambda x, i: F.struct(x.alias("x"), F.slice(F.col("_l"), i + 2, MOST + 1).alias("after")))).alias("start", "_s"))
+    blank = lambda x: x.rlike(r"^[\s#*/;>|%-]*$")
+    near = lines.where(_has(F.concat_ws("\n", "_s.x", "_s.after"), guards()) & ~blank(F.col("_s.x")))
+    first = F.struct(F.col("_s.x").alias("text"), F.lit(0).alias("inner"), F.lit(0).alias("last"), F.lit(True).alias("open"), F.array(F.struct(F.lit(1).alias("lines"), F.col("_s.x").alias("_low"))).alias("runs"))
+
+    def longer(s: Column, x: Column) -> Column:
+        text, inner = F.concat(s["text"], F.lit(" "), x), s["inner"] + s["last"]
+        more = F.struct(text.alias("text"), inner.alias("inner"), F.size(_words(x)).alias("last"), F.lit(True).alias("open"), F.concat(s["runs"], F.array(F.struct((F.size(s["runs"]) + 1).alias("lines"), text.alias("_low")))).alias("runs"))
+        end = F.struct(s["text"].alias("text"), s["inner"].alias("inner"), s["last"].alias("last"), F.lit(False).alias("open"), s["runs"].alias("runs"))
+        return F.when(s["open"] & ~blank(x) & (inner <= MOST), more).otherwise(end)
+
+    runs = near.select(*keep, "start", F.explode(F.aggregate("_s.after", first, longer, lambda s: s["runs"])).alias("_r")).select(*keep, "start", "_r.*")
+    return runs.withColumn("_cue", (F.col("lines") == 1) & _has(F.col("_low"), CUES)).where(F.col("_cue") | _has(F.col("_low"), guards()))
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, paragraph, family, probability, cover, confirmed) of every paragraph with a cue; family is unknown where not confirmed."""
+    """(id, paragraph, family, probability, cover, confirmed) of every confirmed passage and other line with a cue; family is unknown where not confirmed."""
     families, vocabulary, w, least = model()
     spark = docs.sparkSession
     known = [g for g, i in vocabulary.items() if np.abs(w[i]).max() > 0]
     weights = spark.createDataFrame([(g, [float(v) for v in w[vocabulary[g]]]) for g in known], "g string, w array<double>")
     table = weights.agg(F.map_from_entries(F.collect_list(F.struct("g", "w"))).alias("m")).scalar()
-    cue: Column = F.lit(False)
-    low = F.col("_low")
-    for c in CUES:
-        cue = cue | F.contains(low, F.lit(c))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    whole = docs.select(F.col(id_col).alias(id_col), F.lower(text).alias("_low")).where(cue)
-    lines = whole.select(id_col, F.posexplode(F.split("_low", "\n")).alias("paragraph", "_low")).where(cue)
-    words = F.filter(F.transform(F.split("_low", _SPLIT), lambda x: F.trim(x, F.lit("."))), lambda x: x != "")
-    rows = lines.select(id_col, "paragraph", words.alias("_w"))
+    whole = docs.select(F.col(id_col).alias("_id"), F.lower(text).alias("_low")).where(_has(F.col("_low"), guards()))
+    rows = _passages(whole.withColumn("_row", F.monotonically_increasing_id()))
+    rows = rows.select("_row", "_id", "start", "lines", "_cue", _words(F.col("_low")).alias("_w"))
     pairs = F.when(F.size("_w") > 1, F.zip_with(F.slice("_w", F.lit(1), F.size("_w") - 1), F.slice("_w", F.lit(2), F.size("_w") - 1), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
     vocab = F.array(*(F.lit(g) for g in known))
     rows = rows.withColumn("_g", F.array_intersect(F.concat("_w", pairs), vocab)).withColumn("_m", table)
@@ -269,4 +314,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         cover = F.when(F.col("_f") == f, F.greatest(*shares) if len(shares) > 1 else shares[0]).otherwise(cover)
     rows = rows.withColumn("cover", F.round(cover, 9))
     confirmed = (F.col("_f") != "none") & (F.col("probability") >= least) & (F.col("cover") >= COVER)
-    return rows.withColumn("confirmed", confirmed).select(id_col, "paragraph", F.when(F.col("confirmed"), F.col("_f")).otherwise("unknown").alias("family"), F.round("probability", 6).alias("probability"), "cover", "confirmed")
+    rows = rows.withColumn("confirmed", confirmed).where("confirmed or _cue")
+    # in the order in which passages are chosen
+    passage = F.struct((~F.col("confirmed")).alias("no"), "lines", (-F.col("cover")).alias("c"), (-F.col("probability")).alias("p"), "start", "confirmed", "_f", "probability", "cover")
+    texts = rows.groupBy("_row").agg(F.first("_id").alias("_id"), F.array_sort(F.collect_list(passage)).alias("_p"))
+    apart = lambda a, b: (a["start"] >= b["start"] + b["lines"]) | (b["start"] >= a["start"] + a["lines"])
+    chosen = F.aggregate("_p", F.slice("_p", 1, 0), lambda own, x: F.when(F.forall(own, lambda o: apart(o, x)), F.concat(own, F.array(x))).otherwise(own))
+    out = texts.select(F.col("_id").alias(id_col), F.explode(chosen).alias("x"))
+    return out.select(id_col, F.col("x.start").alias("paragraph"), F.when(F.col("x.confirmed"), F.col("x._f")).otherwise("unknown").alias("family"), F.round("x.probability", 6).alias("probability"), F.col("x.cover").alias("cover"), F.col("x.confirmed").alias("confirmed"))
