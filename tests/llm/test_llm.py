@@ -170,6 +170,25 @@ def test_benchmark_passages(spark, docs, empty):
     assert decontaminate.find(empty, bench).count() == 0 and decontaminate.find(docs, bench.limit(0)).count() == 0
 
 
+def test_near_passages_beyond_the_radius_are_found():
+    rng = np.random.default_rng(7)
+    words = [[f"w{x}" for x in rng.integers(0, 5000, n)] for n in rng.integers(15, 60, 300)]
+    items = decontaminate.Items(list(range(300)), [" ".join(w) for w in words])
+    beyond = 0
+    for i, own in enumerate(words):
+        for cut in range(1, 8):
+            # the last words are others; similarity 0.80 to 0.85 is the edge
+            text = " ".join(own[:-cut] + [f"other{i}_{k}" for k in range(cut)])
+            column = pa.array([text])
+            w = next(iter(kernel.words(column, decontaminate.LETTERS)))
+            s = items.similarity(w.hashes, i)
+            if 0.8 <= s <= 0.85:
+                found = [(f[0], f[1]) for _, _, x in decontaminate._document_findings(column, items, 0.8) for f in x]
+                assert (i, 0) in found
+                beyond += (decontaminate.simhash(w.hashes) ^ items.index[len(own)][1].prints[items.index[len(own)][0].index(i)]).bit_count() > decontaminate.RADIUS
+    assert beyond
+
+
 def test_hamming_index_is_complete():
     rng = np.random.default_rng(4)
     prints = [int(x) for x in rng.integers(0, 1 << 62, 200)]

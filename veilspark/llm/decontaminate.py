@@ -6,7 +6,10 @@ document's window of that item's size, aligned at the shared shingle, gets a
 64-bit SimHash of its words.  (A window that shares no shingle has similarity
 0 and can't be verified, so nothing is lost.)  The items' fingerprints lie in
 ``RADIUS + 1`` block tables; two fingerprints within ``RADIUS`` bits agree on
-one block at least, so the tables return every item within the radius.  A
+one block at least, so the tables return every item within the radius.  Near
+passages may lie beyond any radius, as SimHash is over words; so an item is a
+candidate too when the window's shared shingles weigh ``threshold`` times as
+much as the item's, without which the similarity can't reach ``threshold``.  A
 candidate is verified exactly: the weighted Jaccard similarity of the window's
 and the item's shingles, with the inverse document frequency of a shingle
 among the items as its weight, must reach ``threshold``.  Items shorter than
@@ -113,6 +116,16 @@ class Items:
             for j, x in enumerate(g.tolist()):
                 if (self.sizes[i], j) not in self.places[x]:
                     self.places[x].append((self.sizes[i], j))
+        self.holders: dict[int, list[int]] = defaultdict(list)  # shingle -> items that have it, one of those that are equal
+        self.equal: dict[int, list[int]] = {}  # such an item -> all items of its size and shingles
+        first: dict[tuple, int] = {}
+        for i, own in enumerate(self.sets):
+            k = first.setdefault((self.sizes[i], frozenset(own)), i)
+            self.equal.setdefault(k, []).append(i)
+            if k == i:
+                for x in own:
+                    self.holders[x].append(i)
+        self.weights = [sum(self.weight[x] for x in own) for own in self.sets]
         keys = np.array(sorted(self.places), dtype=_U)
         self.keys = keys
         self.table = np.zeros(1 << 20, dtype=bool)
@@ -126,6 +139,15 @@ class Items:
         both = weight(own & other)
         return both / (weight(own) + weight(other) - both) if both else 0.0
 
+    def sharing(self, window: np.ndarray, size: int, threshold: float) -> set[int]:
+        """Items of ``size`` words whose shingles in the window weigh ``threshold`` of the item's at least: a bound of the similarity."""
+        shared: dict[int, float] = defaultdict(float)
+        for x in set(_shingles(window).tolist()):
+            for i in self.holders.get(x, ()):
+                if self.sizes[i] == size:
+                    shared[i] += self.weight[x]
+        return {j for i, both in shared.items() if both >= threshold * self.weights[i] - 1e-6 for j in self.equal[i]}
+
     def findings(self, hashes: np.ndarray, anchors: np.ndarray, grams: np.ndarray, threshold: float) -> list[tuple[int, int, int, float]]:
         """(item, first word, end word, similarity) of one document; ``anchors`` are the places of shared shingles."""
         n, windows = len(hashes), set()
@@ -137,10 +159,11 @@ class Items:
         for start, length, size in sorted(windows):
             window = hashes[start : start + length]
             own, index = self.index[size]
-            for k in index.within(simhash(window)):
-                s = self.similarity(window, own[k])
+            near = {own[k] for k in index.within(simhash(window))}
+            for k in sorted(near | self.sharing(window, size, threshold)):
+                s = self.similarity(window, k)
                 if s >= threshold - 1e-9:
-                    best[own[k]].append((start, start + length, s))
+                    best[k].append((start, start + length, s))
         out = []
         for item, spans in sorted(best.items()):
             group: list[tuple[int, int, float]] = []
