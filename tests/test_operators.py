@@ -107,3 +107,13 @@ def test_stream(spark, tmp_path):
     q = ST.reidentify_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), {"<P_0>": "Ada"}).writeStream.format("memory").queryName("reid_out").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert "".join(r["text"] for r in spark.table("reid_out").orderBy("seq").collect()) == "aAdab c"
+
+
+def test_reports_are_whole_or_refused(spark, tmp_path):
+    path = tmp_path / "report.json"
+    io.write_report(spark.range(10_000), str(path))
+    assert len(json.loads(path.read_text())) == 10_000
+    path.unlink()
+    with pytest.raises(ValueError):
+        io.write_report(spark.range(10_001), str(path))
+    assert not path.exists()

@@ -15,6 +15,7 @@ from ..operators import rules as R
 
 # Call types that are processed.
 CALL_TYPES = ("completion", "text_completion", "acompletion")
+MAX_REPORT_ROWS = 10_000
 
 
 def requests(spark: SparkSession, path: str, fmt: str = "json", stream: bool = False) -> DataFrame:
@@ -52,8 +53,11 @@ def corpus(spark: SparkSession, cases: list[dict]) -> DataFrame:
 
 
 def write_report(df: DataFrame, path: str) -> None:
-    """Bounded metric rows as UTF-8 JSON."""
-    Path(path).write_text(json.dumps([r.asDict(recursive=True) for r in df.limit(10_000).collect()], ensure_ascii=False, indent=2), encoding="utf-8")
+    """Bounded metric rows as UTF-8 JSON; more than ``MAX_REPORT_ROWS`` are an error and nothing is written."""
+    rows = df.limit(MAX_REPORT_ROWS + 1).collect()
+    if len(rows) > MAX_REPORT_ROWS:
+        raise ValueError(f"the report has more than {MAX_REPORT_ROWS} rows; write the table with Spark")
+    Path(path).write_text(json.dumps([r.asDict(recursive=True) for r in rows], ensure_ascii=False, indent=2), encoding="utf-8")
 
 
 class RuleFile:
