@@ -287,3 +287,10 @@ def test_fingerprints(docs, empty, spark):
     small = imatch.match(docs).collect()
     assert len(small) == len(TEXTS) and all(0 <= r["near_edited"] <= 1 for r in small)
     assert imatch.match(empty).count() == 0
+
+
+def test_rare_terms_of_the_band_stay(spark):
+    # each of 300,000 terms is in 3 of 3000 documents, inside the band
+    rows = spark.range(3000).selectExpr("id as doc_id", "concat_ws(' ', transform(sequence(0, 299), k -> concat('t', (id * 300 + k) % 300000))) as text")
+    bitmap = imatch.lexicon(rows).first()["bitmap"]
+    assert sum((x & (2**64 - 1)).bit_count() for x in bitmap) > 0.95 * 300_000

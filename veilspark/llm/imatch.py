@@ -14,8 +14,11 @@ over the levels they have in common.
 A text without a term of the lexicon has a fingerprint of its exact words, so
 it is like equal texts alone.
 
-The lexicon's size is bounded: at most ``MAX_TERMS`` terms can have the least
-document frequency that is used.  Next documents are found inside ranges of
+Every term of the band is kept, at every size.  A term of the lexicon is in
+``BAND[0]`` of the documents at least, so there are at most as many as a
+document's mean number of terms over ``BAND[0]`` (500,000 at 250 terms).
+A bitmap lets a term from outside the band in when its position is taken: a
+share of that number over 2 ** ``BITS`` at most (3 % then).  Next documents are found inside ranges of
 ids, so no task sorts the table.
 
 Defined results: a null text is an empty one; equal texts have equal
@@ -33,8 +36,7 @@ from .common import stored
 
 #: Least and largest share of the documents.
 BAND = (0.0005, 0.08)
-MAX_TERMS = 200_000
-BITS = 22
+BITS = 24
 SUBSETS = 32
 #: Terms that a document has at its level: this many to twice as many.
 TERMS = 24
@@ -54,8 +56,6 @@ def lexicon(docs: DataFrame, text_col: str = "text", band: tuple[float, float] =
     n = docs.count()
     found = docs.select(F.explode(terms(F.coalesce(F.col(text_col).cast("string"), F.lit("")))).alias("t")).groupBy("t").agg(F.count("*").alias("df"))
     found = stored(found.where((F.col("df") >= max(2, int(band[0] * n))) & (F.col("df") <= max(2, int(band[1] * n)))), "lexicon")
-    total = found.agg(F.sum("df")).first()[0] or 0
-    found = found.where(F.col("df") >= total // MAX_TERMS)  # then at most MAX_TERMS terms
     at = F.col("t").bitwiseAND(F.lit((1 << BITS) - 1))
     bit = F.expr(f"shiftleft(1L, cast((t & {(1 << BITS) - 1}) & 63 as int))")
     words = found.select(F.shiftright(at, 6).alias("i"), bit.alias("b"))
