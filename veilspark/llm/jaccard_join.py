@@ -19,7 +19,8 @@ shingle).  Two documents link when their sets' Jaccard similarity reaches
    first the likeliest ones, and then all between different components.
 5. Links become components in a distributed way.
 
-All links are found: every bound is a true upper bound.  Hot groups are split
+Components are those of all links, as every bound is a true upper bound; but pairs
+of one component are not all verified, so not every link is found or counted.  Hot groups are split
 by blocks, counts are pre-aggregated, nothing is collected but the 2 ** 16
 bucket counts.
 
