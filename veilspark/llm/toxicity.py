@@ -1,8 +1,9 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 Terms are words (runs of letters and digits, A-Z lower-cased).  The vocabulary
-holds the terms that the labelled rows tie to either label: enough examples,
-and a smoothed odds ratio of ``MIN_ODDS`` at least.  Examples and queries are
+holds the terms that the labelled rows tie to the toxic label: enough examples,
+and a smoothed odds ratio of ``MIN_ODDS`` at least.  Examples without any of
+them are not in the index, so texts may miss a nearer example.  Examples and queries are
 TF-IDF vectors over it.  Examples with equal vectors are one entry that keeps
 its count of each label and its smallest ids, so ties vote together.
 
