@@ -11,9 +11,16 @@ from pyspark.sql import SparkSession
 _SHIPPED: set[str] = set()
 
 
+#: Bytes of an Arrow batch, so that long texts don't fill a worker's memory; a session that asks for fewer keeps its own.
+BATCH_BYTES = 8 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in the Python workers of every executor (once per application)."""
+    """Make this package importable in the Python workers of every executor (once per application), and bound the batches that they get."""
     context = spark.sparkContext
+    asked = int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("bB"))
+    if not 0 < asked <= BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     if context.applicationId in _SHIPPED:
         return
     root = Path(__file__).resolve().parent
