@@ -15,30 +15,29 @@ from veilspark.llm import decontaminate, jaccard_join, nbsvm, packing, toxicity
 from veilspark.llm.common import read, stored
 from veilspark.llm.queries import tokenizer_path
 
-#: No SQL expresses the learned stages; tests compare them with brute force.
+#: No SQL expresses the learned stages; tests compare every stage with brute force.
 ORACLE_SQL = None
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    return docs.join(rejected.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the nearest labelled examples call toxic go."""
-    judged = toxicity.score(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
-    return _without(docs, judged.where("predicted = 1"))
+    """Rows that the nearest labelled examples call toxic go, each by its own text."""
+    return toxicity.keep_clean(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier scores under its threshold go."""
-    scored = nbsvm.score(docs, nbsvm.train(docs, read(spark, sf_dir, "labels")))
-    return _without(docs, scored.where("predicted = 0"))
+    """Rows that the quality classifier scores under its threshold go, each by its own text."""
+    return nbsvm.keep_good(docs, nbsvm.train(docs, read(spark, sf_dir, "labels")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by five-word shingles at similarity 0.8 the document of the smallest id stays; documents without words all stay."""
-    groups = jaccard_join.join(docs, size=5, num=80, den=100)
-    return _without(docs, groups.where((F.col("component_id") != F.col("doc_id")) & (F.col("n_shingles") > 0)))
+    """Of each group linked by five-word shingles at similarity 0.8 the document of the smallest id stays; documents without words all stay.
+
+    A document is its id: rows that share one stay or go together, and rows
+    with a null id, which belong to no group, stay.
+    """
+    groups = jaccard_join.join(docs, size=5, num=80, den=100, counts=False)
+    rejected = groups.where((F.col("component_id") != F.col("doc_id")) & (F.col("n_shingles") > 0)).select("doc_id").distinct()
+    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -189,24 +189,42 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", bound: int
     return fit(rows, np.array([got["label"][int(i)].as_py() for i in order], dtype=int))
 
 
+def _scored(column: pa.Array, model: Model) -> Iterator[tuple[int, np.ndarray]]:
+    """(first row, scores) per slice."""
+    squares = model.ratios.astype(np.float64) ** 2
+    weights = model.weights.astype(np.float64)
+    for first, ids, at in features(column):
+        total = np.concatenate([[0.0], np.cumsum(weights[ids])])
+        norm = np.concatenate([[0.0], np.cumsum(squares[ids])])
+        norms = np.sqrt(np.maximum(norm[at[1:]] - norm[at[:-1]], 0.0))
+        margins = np.where(norms > 1e-6, (total[at[1:]] - total[at[:-1]]) / np.maximum(norms, 1e-6), 0.0) + model.bias
+        yield first, np.round(model.scores(margins), 9)
+
+
 def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row."""
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 ** BITS weights, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        squares = model.ratios.astype(np.float64) ** 2
-        weights = model.weights.astype(np.float64)
         for b in batches:
-            for first, ids, at in features(b.column("text")):
-                total = np.concatenate([[0.0], np.cumsum(weights[ids])])
-                norm = np.concatenate([[0.0], np.cumsum(squares[ids])])
-                norms = np.sqrt(np.maximum(norm[at[1:]] - norm[at[:-1]], 0.0))
-                margins = np.where(norms > 1e-6, (total[at[1:]] - total[at[:-1]]) / np.maximum(norms, 1e-6), 0.0) + model.bias
-                s = np.round(model.scores(margins), 9)
-                n = len(at) - 1
+            for first, s in _scored(b.column("text"), shared.value):
+                n = len(s)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(first, n), b.column("held_out").slice(first, n), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     schema = T.StructType([docs.schema["doc_id"], T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
     return docs.select("doc_id", F.col("text").cast("string").alias("text"), held_out(F.col("doc_id")).alias("held_out")).mapInArrow(run, schema)
+
+
+def keep_good(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs``, whole, whose text reaches the threshold: decided row by row in the scoring pass, so repeated and null ids play no part."""
+    ship(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for first, s in _scored(b.column(at), shared.value):
+                yield b.slice(first, len(s)).filter(pa.array(s >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
