@@ -48,7 +48,8 @@ def test_join_matches_brute_force(spark):
             rows.append((len(rows), " ".join(own), "en"))
     line = "a very common line that many documents share in this table"
     rows += [(1000 + k, line + " " + " ".join(f"u{k}_{i}" for i in range(5)), "en") for k in range(80)]
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.join(spark.createDataFrame(rows, SCHEMA), 4, 70, 100).collect()}
+    rows += [(2000 + k, rows[k][1], "en") for k in range(0, 20, 3)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in jaccard_join.join(spark.createDataFrame(rows, SCHEMA), 4, 70, 100).collect()}
     sets = {i: {tuple(t.lower().split()[j : j + 4]) for j in range(max(1, len(t.split()) - 3))} for i, t, _ in rows}
     parent = {i: i for i in sets}
 
@@ -57,7 +58,7 @@ def test_join_matches_brute_force(spark):
             x = parent[x]
         return x
 
-    ids = sorted(sets)
+    ids, linked = sorted(sets), dict.fromkeys(sets, 0)
     for a in ids:
         for b in ids:
             if a < b:
@@ -65,12 +66,41 @@ def test_join_matches_brute_force(spark):
                 if 100 * both >= 70 * len(sets[a] | sets[b]):
                     x, y = sorted((find(a), find(b)))
                     parent[y] = x
-    assert got == {i: (len(sets[i]), find(i)) for i in ids}
+                    linked[a], linked[b] = linked[a] + 1, linked[b] + 1
+    assert got == {i: (len(sets[i]), find(i), linked[i]) for i in ids}
+
+
+def test_many_near_copies_of_one_text(spark):
+    """More copies than a block holds, each with an edit of its own; some are too far from most others."""
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in range(80)]
+    rows = []
+    for k in range(2500):
+        own = list(base)
+        for p in rng.integers(0, 80, 1 + (k % 3)):
+            own[p] = f"edit{k % 40}"
+        rows.append((k, " ".join(own), "en"))
+    got = jaccard_join.join(spark.createDataFrame(rows, SCHEMA).repartition(4), 4, 85, 100).toPandas().set_index("doc_id").sort_index()
+    sets = [{tuple(t.split()[j : j + 4]) for j in range(77)} for _, t, _ in rows]
+    shingles = {g: i for i, g in enumerate(sorted(set().union(*sets)))}
+    m = np.zeros((len(rows), len(shingles)), dtype=np.float32)
+    for k, own in enumerate(sets):
+        m[k, [shingles[g] for g in own]] = 1
+    both, n = (m @ m.T).astype(int), np.array([len(x) for x in sets])
+    ok = 185 * both >= 85 * (n[:, None] + n[None, :])
+    assert (got["n_links"].to_numpy() == ok.sum(1) - 1).all()
+    label = np.arange(len(rows))
+    while True:
+        least = np.where(ok, label[None, :], len(rows)).min(1)
+        if (least == label).all():
+            break
+        label = least
+    assert (got["component_id"].to_numpy() == label).all()
 
 
 def test_join_edges(docs, empty):
-    got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.join(docs).collect()}
-    assert {(1, 6, 1), (2, 6, 1), (3, 0, 3), (4, 0, 4), (5, 1, 5), (6, 1, 5), (None, 1, None)} <= got
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"], r["n_links"]) for r in jaccard_join.join(docs).collect()}
+    assert {(1, 6, 1, 1), (2, 6, 1, 1), (3, 0, 3, 0), (4, 0, 4, 0), (5, 1, 5, 1), (6, 1, 5, 1), (None, 1, None, 0)} <= got
     assert jaccard_join.join(empty).count() == 0
 
 
@@ -202,17 +232,53 @@ def test_hamming_index_is_complete():
 
 def test_nearest_is_exact():
     rng = np.random.default_rng(5)
-    vectors = []
-    for _ in range(500):
-        v = {int(t): float(rng.random()) + 0.1 for t in rng.choice(40, 5, replace=False)}
-        n = sum(x * x for x in v.values()) ** 0.5
-        vectors.append({t: x / n for t, x in v.items()})
-    index = toxicity.BlockMaxIndex(vectors, 16)
-    for q in vectors[:40]:
-        plain = sorted(((round(sum(w * v.get(t, 0) for t, w in q.items()), 12), -i) for i, v in enumerate(vectors)), reverse=True)
-        want = [(s, -i) for s, i in plain if s > 0][:7]
-        got = index.nearest(q, 7)
-        assert [round(s, 9) for s, _ in got] == [round(s, 9) for s, _ in want]
+    rows = [np.sort(rng.choice(300, rng.integers(3, 40), replace=False)) for _ in range(700)]
+    counts = toxicity.Sparse(np.concatenate([[0], np.cumsum([len(r) for r in rows])]), np.concatenate(rows), rng.integers(1, 5, sum(len(r) for r in rows)))
+    weight = rng.random(300) ** 3 + 0.01
+    vectors = toxicity.unit(counts, weight)
+    dense = np.zeros((700, 300))
+    dense[vectors.rows(), vectors.cols] = vectors.values
+    for head in (0, 20, 300):
+        index = toxicity.BlockMaxIndex(vectors, 300, 16, head)
+        for q in range(0, 700, 23):
+            got, entries = index.nearest(*vectors.row(q), 7)
+            plain = np.round(dense @ dense[q], 9)
+            want = np.lexsort((np.arange(700), -plain))[:7]
+            assert np.allclose(got, plain[want], atol=1e-8) and (np.abs(plain[entries] - got) < 1e-8).all()
+
+
+def test_toxicity_matches_brute_force(spark):
+    """Scores of the whole operator against dense cosines of all examples."""
+    rng = np.random.default_rng(9)
+    vocab = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(500):
+        own = [vocab[j] for j in rng.integers(0, 200, 25)] + (["scum", "idiot"][: 1 + i % 2] if i % 7 == 0 else [])
+        rows.append((i, " ".join(own), "en"))
+    table = spark.createDataFrame(rows, SCHEMA)
+    labels = spark.createDataFrame([(i, int(i % 7 == 0)) for i in range(500)], "doc_id long, toxic int")
+    judge = toxicity.train(table, labels)
+    index = judge.index
+    dense = np.zeros((index.size, len(judge.terms)))
+    dense[index.vectors.rows(), index.vectors.cols] = index.vectors.values
+    words = {}
+    for w in kernel.words(pa.array([" ".join(sorted({x for _, t, _ in rows for x in t.split()}))]), toxicity.LETTERS):
+        words = {w.data[a:b].tobytes().decode(): h for a, b, h in zip(w.starts, w.ends, w.hashes, strict=True)}
+    df = {x: sum(x in t.split() for _, t, _ in rows) for x in words}
+    got = {r["doc_id"]: r for r in toxicity.score(table, judge).collect()}
+    for i, text, _ in rows[::5]:
+        q = np.zeros(len(judge.terms))
+        for x in set(text.split()):
+            at = np.searchsorted(judge.terms, words[x])
+            if at < len(judge.terms) and judge.terms[at] == words[x]:
+                q[at] = (1 + np.log(text.split().count(x))) * judge.weight[at]
+        cosines = np.round(dense @ (q / np.sqrt((q * q).sum())), 9)
+        best = np.lexsort((np.arange(len(cosines)), -cosines))[: judge.k]
+        close = 1 / (0.05 + 1 - cosines[best])
+        vote = (close * judge.votes[best, 1]).sum() / (close[:, None] * judge.votes[best]).sum()
+        assert abs(got[i]["score"] - 1 / (1 + np.exp(-(judge.slope * vote + judge.shift)))) < 1e-6
+        assert abs(got[i]["cosine"] - cosines.max()) < 1e-8
+    assert max(df.values()) == toxicity.document_frequencies(table, judge.terms)[0].max()
 
 
 def test_classifiers(spark, docs, empty):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 MAX_ROUNDS = 40
 
@@ -29,7 +29,9 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round is one aggregation and one join on the nodes; its result is a
     table in the shared folder, so lineage doesn't grow and lost executors
-    cost a round at most.
+    cost a round at most.  Rows whose ends are equal or null are left out, an
+    empty table gives an empty one, chains of any length settle in a number of
+    rounds that grows with their length's logarithm.
     """
     mark = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % F.lit(1 << 40))).first())
     edges = stored(links.select("a", "b").where(F.col("a") != F.col("b")).distinct(), "links")
@@ -39,7 +41,8 @@ def components(links: DataFrame) -> DataFrame:
         if now == before or not now[0]:
             break
         before = now
-        edges = stored(_star(_star(edges, large=True), large=False), "stars")
+        old, edges = edges, stored(_star(_star(edges, large=True), large=False), "stars")
+        discard(old)
     else:
         raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
     labels = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))

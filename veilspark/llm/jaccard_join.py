@@ -13,21 +13,28 @@ shingle).  Two documents link when their sets' Jaccard similarity reaches
    nodes with OR-combined bitmaps and size ranges.  A dual traversal drops a
    pair of nodes when no pair of sizes fits or when the bitmaps' largest
    possible overlap is too small, and a pair of records likewise.  A group of
-   one leaf is no tree: sizes, places and then bitmaps bound its pairs.  A group of more
-   than ``BLOCK`` records is dealt over pairs of blocks, each a task's own.
-4. Surviving pairs, each once, are verified on the whole sets; in large groups
-   first the likeliest ones, and then all between different components.
+   one leaf is no tree: sizes, places and then bitmaps bound its pairs.
+4. Groups beyond a leaf are traversed twice.  First each record meets, in its
+   ``MAIN`` largest groups, the records of its own block of ``BLOCK`` and of the
+   next block, and its ``CLOSEST`` likeliest partners are verified on the whole
+   sets.  Then, in every group that is not one component by now, all records
+   outside of the group's largest component meet all others, and every pair of
+   different components that the bounds allow is verified.  Groups of equal
+   members are traversed once.
 5. Links become components in a distributed way.
+6. Every link is inside a component, so each component is dealt over pairs of
+   blocks and its links are counted exactly on the whole sets, without a row
+   for any pair.
 
-Components are those of all links, as every bound is a true upper bound; but pairs
-of one component are not all verified, so not every link is found or counted.  Hot groups are split
-by blocks, counts are pre-aggregated, nothing is collected but the 2 ** 16
-bucket counts.
+Components are those of all links, and the counts count every link.  Hot
+groups are split by blocks, counts are pre-aggregated, nothing is collected but
+the 2 ** 20 bucket counts.
 
 Defined results: null and empty texts have an empty set and link with nothing;
-rows that share an id count by their own texts; rows with a null id are
-returned with a null component and link with nothing; other columns are
-ignored.
+rows that share an id count by their own texts, and are one node; rows with a
+null id are returned with a null component and link with nothing; ties and
+repeated rows are links like others; other columns are ignored; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,18 +43,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ship
 from . import kernel
-from .common import stored
+from .common import discard, stored
 from .components import components
 
 LEAF = 32
 BLOCK = 1024
-BUCKETS = 1 << 16
+BUCKETS = 1 << 20
+CHUNKS = 64
+#: Records of a block when links are counted.
+COUNT_BLOCK = 512
 CLOSEST = 3
 #: Largest groups of a record that the first traversal looks at; the second one looks at all.
 MAIN = 2
@@ -56,6 +66,8 @@ HOT_LEVEL = 3
 #: Ids up to this number are broadcast (8 bytes each) to pick texts; more are joined by a shuffle.
 BROADCAST_IDS = 400_000
 _U = np.uint64
+#: From a 64-bit hash to its bucket.
+_SHIFT = _U(64 - (BUCKETS.bit_length() - 1))
 
 
 def _sets(column: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -72,21 +84,37 @@ def _sets(column: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray, np.nda
 
 
 def bucket_levels(docs: DataFrame, size: int) -> np.ndarray:
-    """Level of each hash bucket: 0 for usual ones, then the logarithm of how far its count exceeds the mean."""
+    """Level of each hash bucket: 0 for usual ones, then the logarithm of how far its count exceeds the mean.
+
+    Each task sends its counts as ``CHUNKS`` rows of 16-bit numbers (more
+    counts as the largest, which is hot anyway), which are added up by chunk.
+    """
+    wide = BUCKETS // CHUNKS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, dtype=np.int64)
         for b in batches:
             for _, h, _ in _sets(b.column(0), size):
-                total += np.bincount((h >> _U(48)).astype(np.int64), minlength=BUCKETS)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["bucket", "n"])
+                np.add.at(total, (h >> _SHIFT).astype(np.int64), 1)
+        if total.any():
+            counts = np.minimum(total, 65535).astype("<u2").reshape(CHUNKS, wide)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(CHUNKS, dtype=np.int32)), pa.array([c.tobytes() for c in counts], type=pa.binary())], names=["chunk", "counts"])
 
-    counts = docs.select("_text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    total = np.zeros(BUCKETS)
-    total[counts["bucket"].to_numpy()] = counts["n"].to_numpy()
-    mean = max(1.0, total.sum() / BUCKETS)
-    return np.clip(np.floor(np.log2(np.maximum(total, 1) / mean)), 0, 60).astype(np.uint8)
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for chunk, counts in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                own = np.frombuffer(counts.as_buffer(), dtype="<u2").astype(np.int64)
+                sums[chunk] = sums[chunk] + own if chunk in sums else own
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), type=pa.int32()), pa.array([x.tobytes() for x in sums.values()], type=pa.binary())], names=["chunk", "counts"])
+
+    schema = "chunk int, counts binary"
+    counts = docs.select("_text").mapInArrow(run, schema).repartition("chunk").mapInArrow(add, schema).toArrow()
+    total = np.zeros((CHUNKS, wide), dtype=np.float32)
+    for chunk, raw in zip(counts["chunk"].to_pylist(), counts["counts"], strict=True):
+        total[chunk] = np.frombuffer(raw.as_buffer(), dtype=np.int64)
+    mean = max(1.0, float(total.sum(dtype=np.float64)) / BUCKETS)
+    return np.clip(np.floor(np.log2(np.maximum(total.ravel(), 1) / mean)), 0, 60).astype(np.uint8)
 
 
 def bitmap(h: np.ndarray) -> np.ndarray:
@@ -245,7 +273,7 @@ def _possible(na: np.ndarray, nb: np.ndarray, maps_a: pa.Array, maps_b: pa.Array
     return np.array(good, dtype=np.int64)
 
 
-def possible(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def possible(pairs: DataFrame, marks: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) that the coarse bitmaps (a bit a shingle at least) do not rule out: a few hundredths of the bytes of whole sets, and most pairs of small groups end here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,67 +281,55 @@ def possible(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
             good = pa.array(_possible(batch.column(2).to_numpy(), batch.column(3).to_numpy(), batch.column(4), batch.column(5), num, den))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(good), batch.column(1).take(good)], names=["a", "b"])
 
-    first = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("coarse").alias("ba")), "a")
-    both = first.join(sets.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("coarse").alias("bb")), "b")
+    first = pairs.join(marks.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("coarse").alias("ba")), "a")
+    both = first.join(marks.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("coarse").alias("bb")), "b")
     return both.select("a", "b", "na", "nb", "ba", "bb").mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets reach the similarity."""
-    wanted = stored(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "wanted")
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
 
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def whole_sets(ids: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """(doc_id, shingles) of the texts of ``ids``: the hashes of the whole set, ascending, 8 bytes each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for first, h, at in _sets(b.column(1), size):
-                bytes_of = (h >> _U(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-                values = [bytes_of[x:z].tobytes() for x, z in zip(at[:-1], at[1:], strict=True)]
+                values = [h[x:z].tobytes() for x, z in zip(at[:-1], at[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(values)), pa.array(values, type=pa.binary())], names=["doc_id", "shingles"])
 
     # ids alone, and only where they are few: beyond that the texts are shuffled
-    few = wanted.count() <= BROADCAST_IDS
-    texts = docs.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
-    held = texts.select("doc_id", "_text").mapInArrow(whole, T.StructType([docs.schema["doc_id"], T.StructField("shingles", T.BinaryType())]))
-    held = stored(held, "whole-sets")
+    few = ids.count() <= BROADCAST_IDS
+    texts = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    return stored(texts.select("doc_id", "_text").mapInArrow(run, T.StructType([docs.schema["doc_id"], T.StructField("shingles", T.BinaryType())])), "whole-sets")
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def wide(raw: bytes) -> np.ndarray:
-            out = np.zeros((len(raw) // 5, 8), dtype=np.uint8)
-            out[:, :5] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 5)
-            return out.view("<u8").ravel()
 
+def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets reach the similarity."""
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good, last, own = [], None, None
             left, right = batch.column(2), batch.column(3)
             for k, b in enumerate(batch.column(1).to_pylist()):
                 if b != last:
-                    last, own = b, wide(right[k].as_py())
-                other = wide(left[k].as_py())
-                both = len(np.intersect1d(own, other))
+                    last, own = b, np.frombuffer(right[k].as_buffer(), dtype=_U)
+                other = np.frombuffer(left[k].as_buffer(), dtype=_U)
+                both = len(np.intersect1d(own, other, assume_unique=True))
                 if den * both >= num * (len(own) + len(other) - both):
                     good.append(k)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(good, type=pa.int64())), batch.column(1).take(pa.array(good, type=pa.int64()))], names=["a", "b"])
+            good = pa.array(good, type=pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(good), batch.column(1).take(good)], names=["a", "b"])
 
-    first = pairs.join(held.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
-    return first.join(held.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b").select("a", "b", "sa", "sb").mapInArrow(verify, "a long, b long")
+    first = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
+    return first.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b").select("a", "b", "sa", "sb").mapInArrow(verify, "a long, b long")
 
 
-def links(sets: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """Verified links (a, b) between the representatives in ``sets`` that join all that link.
+def _small(num: int, den: int):
+    """Pairs of groups of one leaf: rows (key, n, pos, doc_id), sorted."""
 
-    A large group of near copies may hold as many links as pairs.  So large
-    groups are traversed twice: first, in each record's ``MAIN`` largest groups,
-    its ``CLOSEST`` likeliest partners are verified; then all groups are
-    traversed without the pairs of records that are in one component already,
-    and every pair left is verified.
-    """
-    keyed = sets.select("doc_id", F.col("n").cast("int").alias("n"), "usual", F.posexplode("keys").alias("pos", "key"))
-    # a usual bucket holds a few times the mean at most, so no key of it is hot and one shuffle counts and keeps its rows
-    usual = keyed.where("pos < usual").drop("usual").withColumn("c", F.count("*").over(Window.partitionBy("key")))
-    hot = keyed.where("pos >= usual").drop("usual")
-    hot = hot.join(hot.groupBy("key").agg(F.count("*").alias("c")), "key").select(usual.columns)
-    live = stored(usual.unionByName(hot).where("c > 1"), "groups")
-
-    def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_groups(batches, 1, 200_000):
             key, n, pos, ids = (table.column(k).to_numpy() for k in range(4))
             out_a, out_b = [], []
@@ -331,69 +347,183 @@ def links(sets: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> Da
                 pairs = np.unique(np.stack([np.concatenate(out_a), np.concatenate(out_b)]), axis=1)
                 yield _pair_batch(pairs[0], pairs[1])
 
-    def large(best: int):
-        """Pairs of large groups; ``best``: only each record's so many likeliest, or all at 0."""
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            seen: set[tuple[int, int]] = set()
-            for table in _whole_groups(batches, 3, 4096):
-                key, lo, hi, own, n, ids, comps = (table.column(k).to_numpy() for k in range(7))
-                maps = table.column(7).to_pylist()
-                change = np.ones(len(key), dtype=bool)
-                change[1:] = (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
-                starts = np.append(np.flatnonzero(change), len(key))
-                for s, e in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-                    if (comps[s:e] == comps[s]).all():
-                        continue
-                    parts = (own[s:e] == hi[s]).astype(np.int8) if lo[s] != hi[s] else np.zeros(e - s, dtype=np.int8)
-                    if lo[s] != hi[s] and (parts.all() or not parts.any()):
-                        continue
-                    found = list(group_pairs(n[s:e], [np.frombuffer(m, dtype=_U) for m in maps[s:e]], ids[s:e], parts, comps[s:e], num, den))
-                    if not found:
-                        continue
-                    a, b, bound = (np.concatenate(x) for x in zip(*found, strict=True))
-                    a, b = np.minimum(a, b), np.maximum(a, b)
-                    if best:
-                        top = closest(a, b, bound, best)
-                        a, b = a[top], b[top]
-                    new = list({p for p in zip(a.tolist(), b.tolist(), strict=True) if p not in seen})
-                    if len(seen) > 1_000_000:
-                        seen.clear()
-                    seen.update(new)
-                    if new:
-                        yield _pair_batch(np.array([p[0] for p in new]), np.array([p[1] for p in new]))
-
-        return run
-
-    few = live.where(F.col("c") <= LEAF).select("key", F.col("n").cast("long").alias("n"), F.col("pos").cast("long").alias("pos"), "doc_id")
-    near = few.repartition("key").sortWithinPartitions("key", "n", "doc_id").mapInArrow(small, "a long, b long")
-    blocks = F.ceil(F.col("c") / F.lit(BLOCK)).cast("int")
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("c").desc(), "key"))
-    many = stored(live.where(F.col("c") > LEAF).withColumn("main", rank <= MAIN).withColumn("own", F.pmod(F.xxhash64("doc_id"), blocks).cast("int")).join(sets.select("doc_id", "bits"), "doc_id").select("key", "own", blocks.alias("blocks"), F.col("n").cast("long").alias("n"), "doc_id", "main", "bits"), "large-groups")
+    return run
 
-    def dealt(comps: DataFrame | None, best: int) -> DataFrame:
-        rows = many
-        if comps is None:
-            rows = rows.where("main").withColumn("comp", F.col("doc_id"))
-        else:
-            rows = rows.join(comps, F.col("doc_id") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "doc_id"))
-            open_ = rows.groupBy("key").agg((F.min("comp") < F.max("comp")).alias("open")).where("open").select("key")
-            rows = rows.join(open_, "key", "left_semi")
-        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        rows = rows.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "n", "doc_id", "comp", "bits")
-        return rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "n", "doc_id").mapInArrow(large(best), "a long, b long")
 
-    first = stored(possible(near.distinct(), sets, num, den).unionByName(dealt(None, CLOSEST)).distinct(), "pairs")
-    linked = stored(verified(first, docs, size, num, den), "links")
-    rest = stored(dealt(components(linked), 0).distinct().join(first, ["a", "b"], "left_anti"), "pairs-left")
-    return linked.unionByName(verified(rest, docs, size, num, den))
+def _large(best: int, num: int, den: int):
+    """Pairs of larger groups: rows (key, lo, hi, part, n, doc_id, comp, bits), sorted; ``best``: only each record's so many likeliest, or all at 0."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
+        for table in _whole_groups(batches, 3, 4096):
+            key, lo, hi, part, n, ids, comps = (table.column(k).to_numpy() for k in range(7))
+            maps = table.column(7).to_pylist()
+            change = np.ones(len(key), dtype=bool)
+            change[1:] = (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
+            starts = np.append(np.flatnonzero(change), len(key))
+            for s, e in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                if (comps[s:e] == comps[s]).all():
+                    continue
+                parts = part[s:e].astype(np.int8)
+                if not best and lo[s] != hi[s] and (parts.all() or not parts.any()):
+                    continue
+                found = list(group_pairs(n[s:e], [np.frombuffer(m, dtype=_U) for m in maps[s:e]], ids[s:e], parts if not best else np.zeros_like(parts), comps[s:e], num, den))
+                if not found:
+                    continue
+                a, b, bound = (np.concatenate(x) for x in zip(*found, strict=True))
+                a, b = np.minimum(a, b), np.maximum(a, b)
+                if best:
+                    top = closest(a, b, bound, best)
+                    a, b = a[top], b[top]
+                new = list({p for p in zip(a.tolist(), b.tolist(), strict=True) if p not in seen})
+                if len(seen) > 100_000:
+                    seen.clear()
+                seen.update(new)
+                if new:
+                    yield _pair_batch(np.array([p[0] for p in new]), np.array([p[1] for p in new]))
+
+    return run
+
+
+def _dealt(rows: DataFrame, marks: DataFrame, best: int, num: int, den: int) -> DataFrame:
+    """Pairs of rows (key, lo, hi, part, doc_id, comp), dealt by (key, lo, hi); the likeliest are found by coarse bitmaps, all by fine ones."""
+    rows = rows.join(marks.select("doc_id", "n", F.col("coarse" if best else "bits").alias("bits")), "doc_id").select("key", "lo", "hi", "part", F.col("n").cast("long").alias("n"), "doc_id", "comp", "bits")
+    return rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "n", "doc_id").mapInArrow(_large(best, num, den), "a long, b long")
+
+
+def _block(blocks: Column) -> Column:
+    return F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
+
+
+def _first_rows(many: DataFrame) -> DataFrame:
+    """Each record in its ``MAIN`` largest groups, in its own block and as a neighbour in the one before."""
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("c").desc(), "key"))
+    rows = many.withColumn("rank", rank).where(F.col("rank") <= MAIN)
+    blocks = F.ceil(F.col("c") / F.lit(BLOCK)).cast("int")
+    rows = rows.withColumn("blocks", blocks).withColumn("own", _block(F.col("blocks")))
+    rows = rows.withColumn("part", F.explode(F.when(F.col("blocks") > 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    lo = F.pmod(F.col("own") - F.col("part"), F.col("blocks"))
+    return rows.select("key", lo.alias("lo"), lo.alias("hi"), "part", "doc_id", F.col("doc_id").alias("comp"))
+
+
+def _open_rows(many: DataFrame, comps: DataFrame) -> DataFrame:
+    """Records of the groups that are no component: blocks of the largest component meet blocks of the others, and these each other."""
+    rows = many.join(comps, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
+    shares = rows.groupBy("key", "comp").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("y"))
+    groups = shares.groupBy("key").agg(F.sum("m").alias("c"), F.max(F.struct("m", "comp")).alias("most"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y")).where("most.m < c")
+    # of groups of equal members one
+    groups = groups.groupBy("c", "x", "y").agg(F.min(F.struct("key", "most")).alias("g")).select("g.key", "c", F.col("g.most.m").alias("m"), F.col("g.most.comp").alias("main"))
+    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    # a group of one block meets itself
+    one = F.col("c") <= BLOCK
+    groups = groups.select("key", F.when(one, F.lit(None)).otherwise(F.col("main")).alias("main"), F.when(one, 0).otherwise(blocks(F.col("m"))).alias("inner"), F.when(one, 1).otherwise(blocks(F.col("c") - F.col("m"))).alias("outer"))
+    rows = rows.join(groups, "key")
+    inside = F.col("comp").eqNullSafe(F.col("main"))
+    rows = rows.withColumn("own", F.when(inside, _block(F.col("inner"))).otherwise(F.col("inner") + _block(F.col("outer"))))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.when(inside, F.col("inner")).otherwise(F.lit(0)), F.col("inner") + F.col("outer") - 1)))
+    lo, hi = F.least("own", "other"), F.greatest("own", "other")
+    return rows.select("key", lo.alias("lo"), hi.alias("hi"), ((F.col("own") == hi) & (lo < hi)).cast("int").alias("part"), "doc_id", "comp")
+
+
+def links(sets: DataFrame, marks: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Verified links (a, b) between representatives that join all that link, and the whole sets of all that occur in them.
+
+    ``sets`` has the representatives' keys (doc_id, n, usual, keys), ``marks``
+    their fine and coarse bitmaps (doc_id, n, bits, coarse).
+    """
+    keyed = sets.select("doc_id", F.col("n").cast("int").alias("n"), "usual", F.posexplode("keys").alias("pos", "key"))
+    # a usual bucket holds a few times the mean at most, so no key of it is hot and one shuffle counts and keeps its rows
+    usual = keyed.where("pos < usual").drop("usual").withColumn("c", F.count("*").over(Window.partitionBy("key")))
+    hot = keyed.where("pos >= usual").drop("usual")
+    hot = hot.join(hot.groupBy("key").agg(F.count("*").alias("c")), "key").select(usual.columns)
+    live = stored(usual.unionByName(hot).where("c > 1"), "groups")
+    few = live.where(F.col("c") <= LEAF).select("key", F.col("n").cast("long").alias("n"), F.col("pos").cast("long").alias("pos"), "doc_id")
+    near = few.repartition("key").sortWithinPartitions("key", "n", "doc_id").mapInArrow(_small(num, den), "a long, b long")
+    many = live.where(F.col("c") > LEAF).select("key", "doc_id", "c")
+    first = stored(possible(near.distinct(), marks, num, den).unionByName(_dealt(_first_rows(many), marks, CLOSEST, num, den)).distinct(), "pairs")
+    wanted = stored(_ends(first), "wanted")
+    held = whole_sets(wanted, docs, size)
+    linked = stored(verified(first, held, num, den), "links")
+    rest = stored(_dealt(_open_rows(many, components(linked)), marks, 0, num, den).distinct().join(first, ["a", "b"], "left_anti"), "pairs-left")
+    discard(live, first)
+    if rest.isEmpty():
+        return linked, held
+    more = stored(_ends(rest).join(wanted, "doc_id", "left_anti"), "wanted")
+    held = held.unionByName(whole_sets(more, docs, size))
+    return linked.unionByName(stored(verified(rest, held, num, den), "links")), held
+
+
+def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets: rare shingles pair by pair, usual ones by products of dense columns, shingles of all sets as a constant."""
+    n = len(sets)
+    shingles, cols = np.unique(np.concatenate(sets), return_inverse=True)
+    rows = np.repeat(np.arange(n), [len(x) for x in sets])
+    often = np.bincount(cols, minlength=len(shingles))
+    out = np.full((n, n), float((often == n).sum()), dtype=np.float32)
+    rare = (often > 1) & (often < 12) & (often < n)
+    own = np.flatnonzero(rare[cols])
+    own = own[np.argsort(cols[own], kind="stable")]
+    c, r = cols[own], rows[own]
+    for step in range(1, 11):
+        i = np.flatnonzero(c[step:] == c[:-step])
+        if not len(i):
+            break
+        np.add.at(out, (r[i], r[i + step]), 1)
+        np.add.at(out, (r[i + step], r[i]), 1)
+    usual = np.flatnonzero((often >= 12) & (often < n))
+    place = np.full(len(shingles), -1)
+    place[usual] = np.arange(len(usual))
+    at = place[cols]
+    wide = max(256, (1 << 21) // n)
+    for k in range(0, len(usual), wide):
+        inside = (at >= k) & (at < k + wide)
+        m = np.zeros((n, min(wide, len(usual) - k)), dtype=np.float32)
+        m[rows[inside], at[inside] - k] = 1
+        out += m @ m.T
+    return out
+
+
+def link_counts(comps: DataFrame, weights: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(doc_id, linked): how many documents of other texts each representative links with; ``weights`` has (rep, copies)."""
+    sizes = comps.groupBy("component").agg(F.count("*").alias("c"))
+    blocks = F.ceil(F.col("c") / F.lit(COUNT_BLOCK)).cast("int")
+    rows = comps.join(sizes, "component").join(weights, F.col("node") == F.col("rep")).select(F.col("node").alias("doc_id"), "component", "copies", blocks.alias("blocks"))
+    rows = rows.withColumn("own", _block(F.col("blocks"))).join(sets, "doc_id")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    lo, hi = F.least("own", "other"), F.greatest("own", "other")
+    rows = rows.select("component", lo.alias("lo"), hi.alias("hi"), F.col("own").alias("own"), "doc_id", "copies", "shingles")
 
-def join(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id) of every row; ids are integers."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_groups(batches, 3, 512):
+            comp, lo, hi, own, ids, copies = (table.column(k).to_numpy() for k in range(6))
+            raw = table.column(6).combine_chunks()
+            change = np.ones(len(comp), dtype=bool)
+            change[1:] = (comp[1:] != comp[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
+            starts = np.append(np.flatnonzero(change), len(comp))
+            linked = np.zeros(len(comp), dtype=np.int64)
+            for s, e in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                if e - s == 1:
+                    continue
+                sets = [np.frombuffer(raw[k].as_buffer(), dtype=_U) for k in range(s, e)]
+                n = np.array([len(x) for x in sets])
+                both = _overlaps(sets).astype(np.int64)
+                ok = (den + num) * both >= num * (n[:, None] + n[None, :])
+                ok &= ids[s:e, None] != ids[None, s:e]
+                if lo[s] != hi[s]:
+                    ok &= own[s:e, None] != own[None, s:e]
+                linked[s:e] = ok @ copies[s:e]
+            good = np.flatnonzero(linked)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[good]), pa.array(linked[good])], names=["doc_id", "linked"])
+
+    counted = rows.repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi", "doc_id").mapInArrow(run, "doc_id long, linked long")
+    return counted.groupBy("doc_id").agg(F.sum("linked").alias("linked"))
+
+
+def join(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", counts: bool = True) -> DataFrame:
+    """(id, n_shingles, component_id, n_links) of every row; ids are integers.  ``n_links``: how many other documents it links with, equal texts included; without ``counts`` there is no such column."""
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
-    shared = docs.sparkSession.sparkContext.broadcast(bucket_levels(rows, size))  # BUCKETS bytes
+    shared = docs.sparkSession.sparkContext.broadcast(bucket_levels(rows, size))  # a byte a bucket
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = shared.value
@@ -405,7 +535,7 @@ def join(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, id_col:
                     sums = np.concatenate([[_U(0)], np.cumsum(h, dtype=_U)])
                     sums2 = np.concatenate([[_U(0)], np.cumsum(mixed, dtype=_U)])
                     h1, h2 = sums[at[1:]] - sums[at[:-1]], sums2[at[1:]] - sums2[at[:-1]]
-                level = levels[(h >> _U(48)).astype(np.int64)]
+                level = levels[(h >> _SHIFT).astype(np.int64)]
                 keys, bits, coarse, ends, usual = [], [], [], [0], []
                 for k in range(n):
                     own = h[at[k] : at[k + 1]]
@@ -416,7 +546,7 @@ def join(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, id_col:
                     keys.append(own[order])
                     usual.append(int((high[order] < HOT_LEVEL).sum()))
                     ends.append(ends[-1] + take)
-                    own_map = bitmap(own) if size_k else np.zeros(0, dtype=_U)
+                    own_map = bitmap(own) if size_k else np.zeros((0,), dtype=_U)
                     bits.append(own_map.tobytes())
                     coarse.append(_fold(own_map[None, :], max(1, len(own_map) // 4)).tobytes() if size_k else b"")
                 flat = np.concatenate(keys) if keys else np.zeros(0, dtype=_U)
@@ -426,10 +556,20 @@ def join(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, id_col:
     schema = "doc_id long, n long, h1 long, h2 long, keys array<long>, usual int, bits binary, coarse binary"
     sets = stored(rows.mapInArrow(run, schema), "sets")
     same = ["n", "h1", "h2"]
-    first = sets.where("n > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("rep"))
+    live = "n > 0 and doc_id is not null"
+    first = stored(sets.where(live).groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
     # the representatives' own rows
-    own = sets.where("n > 0 and doc_id is not null").join(first.withColumnRenamed("rep", "doc_id"), ["doc_id", *same], "left_semi").dropDuplicates(["doc_id", *same])
-    found = components(links(own, rows, size, num, den))
-    member = first.join(found, F.col("rep") == F.col("node"), "left").select(*same, F.coalesce("component", "rep").alias("component"))
-    out = sets.select("doc_id", *same).join(member, same, "left")
-    return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    own = sets.where(live).join(first.select(F.col("rep").alias("doc_id"), *same), ["doc_id", *same], "left_semi").dropDuplicates(["doc_id", *same])
+    marks = stored(own.select("doc_id", "n", "bits", "coarse"), "marks")
+    linked, whole = links(own.select("doc_id", "n", "usual", "keys"), marks, rows, size, num, den)
+    found = components(linked)
+    member = first.join(found, F.col("rep") == F.col("node"), "left").select("rep", "copies", *same, F.coalesce("component", "rep").alias("component"))
+    if counts:
+        found = stored(found, "components")
+        member = member.join(link_counts(found, first.select("rep", "copies"), whole, num, den).withColumnRenamed("doc_id", "rep"), "rep", "left")
+        member = member.withColumn("n_links", F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).drop("linked")
+    out = sets.select("doc_id", *same).join(member.drop("rep", "copies"), same, "left")
+    found_columns = [F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")]
+    if counts:
+        found_columns.append(F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0).alias("n_links"))
+    return out.select(*found_columns)
