@@ -45,7 +45,7 @@ def test_session_ttl_bound_is_closed(spark):
 
 
 def test_json_arguments():
-    m = lambda: J.Masker([("PLZ", r"\b\d{5}\b", 0.5, "")])
+    m = lambda: J.Masker(J.compiled((("PLZ", r"\b\d{5}\b", 0.5, "", None),)))
     assert m().arguments('{"a": "50667", "n": 50667, "t": true}') == ('{"a": "<PLZ_0>", "n": "<PLZ_0>", "t": true}', "ok")
     assert m().arguments('{"a":  "x"}') == ('{"a":  "x"}', "ok")
     assert m().arguments('{"a": 1, "a": 2}')[1] == "blocked:duplicate_key"

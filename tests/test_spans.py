@@ -62,7 +62,7 @@ def test_mask_and_back(spark):
 
 
 def test_probe_and_artifacts(spark):
-    p = spark.range(1).select(P.probe(F.lit("<A_0>x<B_12> y")).alias("p")).first()["p"]
+    p = spark.range(1).select(P.probe(F.lit("<A_0>x<B_12> y"), F.array(F.lit("<A_0>"), F.lit("<B_12>"))).alias("p")).first()["p"]
     assert (p["text"], p["fillers"]) == (" x  y", [0, 2])
     art = lambda a, b: spark.range(1).select(P.is_artifact(F.lit(a), F.lit(b), F.lit(p["text"]), F.array(*map(F.lit, p["fillers"])))).first()[0]
     assert art(0, 1) and art(2, 4) and not art(0, 2) and not art(1, 1) and not art(3, 4)

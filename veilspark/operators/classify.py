@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +36,17 @@ PERSON_WORDS = (
 )
 
 
+def configured(given: Iterable[str] | None, variable: str, default: tuple[str, ...]) -> tuple[str, ...]:
+    """Words of a list: those given, else those of an environment variable (separated by commas), else the default; an empty list is an error, as it would switch a category off."""
+    if given is None:
+        raw = os.environ.get(variable)
+        given = default if raw is None else raw.split(",")
+    words = tuple(dict.fromkeys(w.strip() for w in given if w.strip()))
+    if not words:
+        raise ValueError(f"{variable} has no word")
+    return words
+
+
 def has_word(text: Column, words: tuple[str, ...], fold_umlauts: bool = False) -> Column:
     source = text
     if fold_umlauts:
@@ -71,7 +85,7 @@ def classify(df: DataFrame, text_col: str = "text", types_col: str | None = None
     out = out.withColumn("tier", F.greatest(F.col("heuristic_tier"), F.coalesce(requested, F.lit(1))))
     out = out.withColumn("reasons", F.array_sort(F.concat("_three", "_two", F.when(F.col("_person"), F.array(F.lit("personenbezug"))).otherwise(F.array().cast("array<string>")))))
     if signals:
-        out = out.withColumn("matched_signals", F.array_compact(F.array(*(first_word(text, words) for words in TIER3.values()), first_word(text, TIER2_WORDS))))
+        out = out.withColumn("matched_signals", F.array_compact(F.array(*(F.when(three[c], first_word(text, words)) for c, words in TIER3.items()), F.when(two["kontextwort"], first_word(text, TIER2_WORDS)))))
     return out.drop("_person", "_three", "_two")
 
 

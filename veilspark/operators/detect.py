@@ -100,17 +100,18 @@ def matches(text: Column, regex: str) -> Column:
     The pieces between matches and the matches themselves alternate, so running
     lengths give the offsets.
     """
-    rx = F.lit(regex)
-    hits, parts = F.regexp_extract_all(text, rx, F.lit(0)), F.split(text, regex, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<value:string,start:int,end:int>>").alias("out"))
-    pairs = F.zip_with(hits, F.slice(parts, F.lit(1), F.size(hits)), lambda h, p: F.struct(h.alias("h"), p.alias("p")))
+    rx, kind = F.lit(regex), "array<struct<value:string,start:int,end:int>>"
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
 
     def step(s: Column, x: Column) -> Column:
         a = s["at"] + F.length(x["p"])
         b = a + F.length(x["h"])
         return F.struct(b.alias("at"), F.concat(s["out"], F.array(F.struct(x["h"].alias("value"), a.alias("start"), b.alias("end")))).alias("out"))
 
-    return F.when(F.size(hits) > 0, F.aggregate(pairs, start, step)["out"]).otherwise(F.array().cast("array<struct<value:string,start:int,end:int>>"))
+    # one row of both arrays, so that each is made once however often it is named; texts without a match are left after the first search
+    both = F.array(F.struct(F.regexp_extract_all(text, rx, F.lit(0)).alias("hits"), F.split(text, regex, -1).alias("parts")))
+    found = F.transform(both, lambda x: F.aggregate(F.zip_with(x["hits"], F.slice(x["parts"], F.lit(1), F.size(x["hits"])), lambda h, p: F.struct(h.alias("h"), p.alias("p"))), start, step)["out"])
+    return F.when(text.rlike(regex), F.element_at(found, 1)).otherwise(F.array().cast(kind))
 
 
 def pattern_spans(text: Column, p: Pattern) -> Column:

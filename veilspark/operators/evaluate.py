@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..session import ship
 
 # Targets.
 TARGETS = {"recall": 0.95, "precision": 0.90, "disturbance": 0.10, "pattern": 0.98, "PERSON": 0.90, "LOCATION": 0.85, "ORGANIZATION": 0.75}
@@ -33,20 +33,18 @@ def candidates(truth: DataFrame, found: DataFrame, threshold: float = THRESHOLD)
 
 
 def match(pairs: DataFrame) -> DataFrame:
-    """One-to-one matches per case: best ratio, then longest overlap, then order."""
-    ship(pairs.sparkSession)
-
-    def greedy(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["ratio", "overlap", "gt", "pred"], ascending=[False, False, True, True], kind="stable")
-        used_t, used_p, keep = set(), set(), []
-        for i, (t, p) in enumerate(zip(part["gt"], part["pred"], strict=True)):
-            if t not in used_t and p not in used_p:
-                used_t.add(t)
-                used_p.add(p)
-                keep.append(i)
-        return part.iloc[keep]
+    """One-to-one matches per case: best ratio, then longest overlap, then order.
 
-    return pairs.groupBy("case_id").applyInPandas(greedy, pairs.schema)
+    A case's pairs in that order are folded with the entities and findings
+    used so far; a case of one pair needs no fold.
+    """
+    best = F.struct((-F.col("ratio")).alias("a"), (-F.col("overlap")).alias("b"), "gt", "pred", "ratio", "overlap")
+    ordered = pairs.groupBy("case_id").agg(F.array_sort(F.collect_list(best)).alias("_p"))
+    kept = F.aggregate(
+        "_p", F.slice("_p", 1, 0), lambda out, x: F.when(F.exists(out, lambda o: (o["gt"] == x["gt"]) | (o["pred"] == x["pred"])), out).otherwise(F.concat(out, F.array(x)))
+    )
+    chosen = ordered.select("case_id", F.explode(F.when(F.size("_p") == 1, F.col("_p")).otherwise(kept)).alias("m"))
+    return chosen.select("case_id", "m.gt", "m.pred", "m.ratio", "m.overlap").select(*pairs.columns)
 
 
 def tallies(truth: DataFrame, found: DataFrame, matched: DataFrame, cases: DataFrame) -> DataFrame:
@@ -66,8 +64,8 @@ def disturbance(cases: DataFrame, found: DataFrame) -> DataFrame:
     return negative.join(hit, "case_id", "left").agg(F.count("*").alias("negatives"), F.coalesce(F.sum("hit"), F.lit(0)).alias("disturbed"), F.avg(F.coalesce("hit", F.lit(0))).alias("disturbance"))
 
 
-def violations(metrics: DataFrame) -> DataFrame:
-    """Rows of ``tallies`` that miss a target."""
+def violations(metrics: DataFrame, disturbed: DataFrame | None = None) -> DataFrame:
+    """Rows of ``tallies`` that miss a target; with ``disturbance``'s row also a missed disturbance target, and a run without cases that have no entities, which proves nothing."""
     overall = metrics.where("entity_type IS NULL")
     typed = metrics.where(F.col("entity_type").isNotNull() & (F.col("support") >= MIN_SUPPORT))
     goal = F.lit(TARGETS["pattern"])
@@ -78,4 +76,37 @@ def violations(metrics: DataFrame) -> DataFrame:
         overall.where(F.col("precision") < TARGETS["precision"]).select(F.lit("precision").alias("target"), F.lit("all").alias("entity_type"), F.col("precision").alias("value")),
         typed.where(F.col("recall") < goal).select(F.lit("recall").alias("target"), "entity_type", F.col("recall").alias("value")),
     ]
-    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+    if disturbed is not None:
+        rows.append(disturbed.where(F.col("disturbance") > TARGETS["disturbance"]).select(F.lit("disturbance").alias("target"), F.lit("all").alias("entity_type"), F.col("disturbance").alias("value")))
+        rows.append(disturbed.where(F.col("negatives") == 0).select(F.lit("negatives").alias("target"), F.lit("all").alias("entity_type"), F.lit(0.0).alias("value")))
+    return reduce(DataFrame.unionByName, rows)
+
+
+def exit_code(violated: DataFrame) -> int:
+    """0 where every target is met, else 1."""
+    return int(not violated.isEmpty())
+
+
+def outside(truth: DataFrame, found: DataFrame, matched: DataFrame) -> DataFrame:
+    """(kind, entity_type, n): entities that are known gaps and found or not, values that occur more than once and so are ambiguous, and findings of cases with entities that match none."""
+    gaps = truth.where("expected = 'known_gap'").join(matched.select("case_id", "gt", F.lit(1).alias("hit")), ["case_id", "gt"], "left")
+    gaps = gaps.select(F.when(F.col("hit").isNull(), "gap_missed").otherwise("gap_found").alias("kind"), "entity_type")
+    twice = truth.where("occurrences > 1").select(F.lit("ambiguous").alias("kind"), "entity_type")
+    extra = found.join(truth.select("case_id").distinct(), "case_id", "left_semi").join(matched.select("case_id", "pred"), ["case_id", "pred"], "left_anti").select(F.lit("extra").alias("kind"), "entity_type")
+    return gaps.unionByName(twice).unionByName(extra).groupBy("kind", "entity_type").agg(F.count("*").alias("n"))
+
+
+def masked_before(cases: DataFrame, masked_col: str = "masked") -> DataFrame:
+    """Cases (case_id, entities, masked) whose must-detect values still stand in the masked text: the precondition of a round trip."""
+    left = F.filter("entities", lambda e: (e["expected_recall"] == "must_detect") & F.contains(F.col(masked_col), e["value"]))
+    return cases.withColumn("left", F.size(left)).where("left > 0").select("case_id", "left")
+
+
+def round_trip(df: DataFrame, original: str, masked: str, answer: str, restored: str) -> DataFrame:
+    """``df`` with ``trip``: ok, or what broke: a placeholder that the answer lost or changed, or one that the restored text still has though it was given out."""
+    shape = F.lit("<[A-Z][A-Z_]*_[0-9]+>")
+    given = F.array_distinct(F.regexp_extract_all(F.col(masked), shape, F.lit(0)))
+    own = F.regexp_extract_all(F.col(original), shape, F.lit(0))
+    lost = F.size(F.array_except(given, F.regexp_extract_all(F.col(answer), shape, F.lit(0)))) > 0
+    left = F.size(F.array_intersect(F.array_except(given, own), F.regexp_extract_all(F.col(restored), shape, F.lit(0)))) > 0
+    return df.withColumn("trip", F.when(lost, "placeholder_lost").when(left, "placeholder_left").otherwise("ok"))

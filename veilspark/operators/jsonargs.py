@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterable
+from functools import cache
 
 import pandas as pd
 import regex
@@ -61,16 +62,36 @@ def walk(node: object, change: Callable[[str], str], depth: int = 0) -> object:
     return node
 
 
+def _luhn(text: str) -> bool:
+    digits = [int(c) for c in text if c in "0123456789"]
+    doubled = [d if i % 2 == 0 else d * 2 - 9 * (d > 4) for i, d in enumerate(reversed(digits))]
+    return len(digits) >= 12 and sum(doubled) % 10 == 0
+
+
+def _iban(text: str) -> bool:
+    plain = text.replace(" ", "").upper()
+    turned = "".join(str(int(c, 36)) for c in plain[4:] + plain[:4])
+    return 15 <= len(plain) <= 34 and int(turned) % 97 == 1
+
+
+def _ipv4(text: str) -> bool:
+    return all(1 <= len(x) <= 3 and int(x) <= 255 for x in text.split("."))
+
+
+#: Python forms of the detectors' checks, by the detector's name.
+CHECKS: dict[str, Callable[[str], bool]] = {"iban": _iban, "card": _luhn, "ipv4": _ipv4}
+
+
 class Masker:
-    """Numbers values by type and first occurrence, across the texts of one request."""
+    """Numbers values by type and first occurrence, across the texts of one request; ``patterns`` are those of ``compiled``."""
 
-    def __init__(self, patterns: Iterable[tuple[str, str, float, str]]):
-        self.patterns = [(e, regex.compile(f + rx), s) for e, rx, s, f in patterns]
+    def __init__(self, patterns: Iterable[tuple[str, regex.Pattern, float, Callable[[str], bool] | None]]):
+        self.patterns = list(patterns)
         self.known: dict[tuple[str, str], str] = {}
         self.counts: dict[str, int] = {}
 
     def detect(self, text: str) -> list[tuple[str, int, int, float]]:
-        return [(e, m.start(), m.end(), s) for e, rx, s in self.patterns for m in rx.finditer(text) if m.end() > m.start()]
+        return [(e, m.start(), m.end(), s) for e, rx, s, check in self.patterns for m in rx.finditer(text) if m.end() > m.start() and (check is None or check(m.group()))]
 
     def mask(self, text: str) -> str:
         out, at = [], 0
@@ -102,22 +123,50 @@ class Masker:
             return None, f"blocked:{e}"
 
 
-def python_patterns(entities: Iterable[str]) -> list[tuple[str, str, float, str]]:
-    """Detector patterns for Python's regex module (Unicode is its default)."""
+def python_patterns(entities: Iterable[str]) -> list[tuple[str, str, float, str, str | None]]:
+    """(entity, pattern, score, flags, check) of the asked entities for Python's regex module (Unicode is its default); an entity without a Python form is an error, as it would stay in clear."""
     from .detect import PATTERNS
 
     wanted = set(entities)
-    return [(p.entity, p.regex, p.score, "(?ims)" if p.flags else "") for p in PATTERNS if p.entity in wanted and p.check is None]
+    found = [p for p in PATTERNS if p.entity in wanted]
+    missing = wanted - {p.entity for p in found} | {p.entity for p in found if p.check is not None and p.name not in CHECKS}
+    if missing:
+        raise ValueError(f"no detector inside arguments for {', '.join(sorted(missing))}")
+    return [(p.entity, p.regex, p.score, "(?ims)" if p.flags else "", p.name if p.check is not None else None) for p in found]
+
+
+@cache
+def compiled(patterns: tuple[tuple, ...]) -> tuple:
+    """Compiled once per worker."""
+    return tuple((e, regex.compile(f + rx), s, CHECKS[check] if check else None) for e, rx, s, f, check in patterns)
 
 
 def mask_arguments(df: DataFrame, entities: Iterable[str], column: str = "arguments") -> DataFrame:
     """Each row a request: adds ``masked`` and ``json_status``."""
     ship(df.sparkSession)
-    patterns = python_patterns(entities)
+    patterns = tuple(python_patterns(entities))
 
     @F.pandas_udf("masked string, json_status string")
     def run(texts: pd.Series) -> pd.DataFrame:
-        rows = [(None, "ok") if t is None else Masker(patterns).arguments(t) for t in texts]
+        rows = [(None, "ok") if t is None else Masker(compiled(patterns)).arguments(t) for t in texts]
+        return pd.DataFrame(rows, columns=["masked", "json_status"])
+
+    return df.withColumn("_j", run(F.col(column))).select(*[c for c in df.columns if c not in ("masked", "json_status")], "_j.masked", "_j.json_status")
+
+
+def mask_request_arguments(df: DataFrame, entities: Iterable[str], column: str = "arguments") -> DataFrame:
+    """Each row a request with an array of argument texts in their order: one numbering for all of them; adds ``masked`` (array) and ``json_status`` (the first that blocks, else ok)."""
+    ship(df.sparkSession)
+    patterns = tuple(python_patterns(entities))
+
+    @F.pandas_udf("masked array<string>, json_status string")
+    def run(lists: pd.Series) -> pd.DataFrame:
+        rows = []
+        for texts in lists:
+            masker = Masker(compiled(patterns))
+            made = [(None, "ok") if t is None else masker.arguments(t) for t in (texts if texts is not None else ())]
+            bad = [status for _, status in made if status != "ok"]
+            rows.append(([] if bad else [m for m, _ in made], bad[0] if bad else "ok"))
         return pd.DataFrame(rows, columns=["masked", "json_status"])
 
     return df.withColumn("_j", run(F.col(column))).select(*[c for c in df.columns if c not in ("masked", "json_status")], "_j.masked", "_j.json_status")

@@ -19,20 +19,27 @@ def split_spans(spans: Column, enabled: bool = True) -> tuple[Column, Column]:
     return F.filter(spans, lambda s: ~is_qi(s)), F.filter(spans, is_qi)
 
 
-def accumulate(turns: DataFrame, session: str, types: str, time: str | None = None, ttl: int | None = None, order: str | None = None, threshold: int = 3) -> DataFrame:
+def accumulate(turns: DataFrame, session: str, types: str, time: str | None = None, ttl: int | None = None, order: str | None = None, threshold: int = 3, kinds: tuple[str, ...] | None = None) -> DataFrame:
     """Adds ``seen`` (distinct types alive up to and with this turn), ``n_types`` and ``generalise``.
 
     With ``time`` (epoch seconds) and ``ttl`` a type recorded at or after now - ttl
     is alive (closed bound); otherwise turns follow ``order``.  A null session
-    sees its own turn only.
+    sees its own turn only.  ``kinds`` names all types there are: then each
+    type's last time is a running maximum, of constant size however long the
+    session; without it a turn's window of the time-to-live is read.
     """
     by = F.coalesce(F.col(session).cast("string"), F.concat(F.lit("\x00"), F.monotonically_increasing_id().cast("string")))
     keyed = turns.withColumn("_s", by)
+    if time is not None and ttl is not None and kinds is not None:
+        so_far = Window.partitionBy("_s").orderBy(F.col(time)).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        last = {k: F.max(F.when(F.array_contains(types, k), F.col(time))).over(so_far) for k in sorted(kinds)}
+        seen = F.array_compact(F.array(*(F.when(at >= F.col(time) - ttl, F.lit(k)) for k, at in last.items())))
+        return keyed.withColumn("seen", seen).withColumn("n_types", F.size("seen")).withColumn("generalise", F.col("n_types") >= max(1, threshold)).drop("_s")
     if time is not None and ttl is not None:
         frame = Window.partitionBy("_s").orderBy(F.col(time)).rangeBetween(-ttl, Window.currentRow)
     else:
         frame = Window.partitionBy("_s").orderBy(order or time).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = F.array_sort(F.array_distinct(F.flatten(F.collect_list(types).over(frame))))
+    seen = F.array_sort(F.array_distinct(F.flatten(F.collect_set(types).over(frame))))
     return keyed.withColumn("seen", seen).withColumn("n_types", F.size("seen")).withColumn("generalise", F.col("n_types") >= max(1, threshold)).drop("_s")
 
 

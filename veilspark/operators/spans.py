@@ -17,8 +17,7 @@ def islands(spans: DataFrame, keys: list[str]) -> DataFrame:
     """One row per island of overlapping spans: keys, start, end, entity_type, score.
 
     Coverage is the union; touching spans stay apart.  The type is that of the
-    best score, then the longest, then the first span.  (Where equal best
-    scores are bridged by a weaker span, ``resolve_exact`` decides by sweep.)
+    best score, then the longest, then the first span.
     """
     order = Window.partitionBy(*keys).orderBy("start", "end")
     before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
@@ -29,28 +28,25 @@ def islands(spans: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def sweep(found: list[tuple[str, int, int, float]]) -> list[tuple[str, int, int, float]]:
-    """Sequential resolution: strongest first, each later span widens the first kept one that it meets; then one pass from the left."""
-    kept: list[list] = []
-    for kind, a, b, score in sorted(found, key=lambda s: (-s[3], s[1] - s[2], s[1])):
-        met = next((k for k in kept if a < k[2] and b > k[1]), None)
-        if met is None:
-            kept.append([kind, a, b, score])
-        else:
-            met[1], met[2] = min(met[1], a), max(met[2], b)
-    out: list[list] = []
-    for k in sorted(kept, key=lambda s: (s[1], s[2])):
-        if out and k[1] < out[-1][2]:
-            last = out[-1]
-            last[2] = max(last[2], k[2])
-            if k[3] > last[3]:
-                last[0], last[3] = k[0], k[3]
-        else:
-            out.append(k)
-    return [tuple(k) for k in out]
+    """Union of overlapping intervals from their sorted ends; of each union's spans the best score, then the longest, then the first names it."""
+    ends = sorted([(a, 1) for _, a, b, _ in found if a < b] + [(b, -1) for _, a, b, _ in found if a < b])
+    unions, depth = [], 0
+    for at, step in ends:  # at one place an end comes before a start, so touching spans stay apart
+        if depth == 0:
+            begin = at
+        depth += step
+        if depth == 0:
+            unions.append((begin, at))
+    out = []
+    for begin, end in unions:
+        own = [s for s in found if begin <= s[1] < s[2] <= end]
+        kind, _, _, score = min(own, key=lambda s: (-s[3], s[1] - s[2], s[1]))
+        out.append((kind, begin, end, score))
+    return out
 
 
 def resolve_exact(df: DataFrame, spans_col: str = "spans") -> DataFrame:
-    """Spans resolved by ``sweep`` in one Arrow pass; parity for tied scores."""
+    """Spans resolved by ``sweep`` in one Arrow pass."""
     ship(df.sparkSession)
 
     @F.pandas_udf("array<struct<entity_type:string,start:int,end:int,score:double>>")
@@ -135,12 +131,20 @@ def placeholders_kept(masked: Column, answer: Column) -> Column:
     return found(masked) == found(answer)
 
 
-def probe(text: Column, placeholder: str = "<[A-Z][A-Z_]*_[0-9]+>") -> Column:
-    """struct<text, fillers>: placeholders as one blank each, and the blanks' offsets."""
-    parts = F.split(text, placeholder, -1)
+def probe(text: Column, placeholders: Column) -> Column:
+    """struct<text, fillers>: the placeholders of the map (an array of them) as one blank each, and the blanks' offsets.
+
+    Only placeholders that were given out are blanked; other text of their
+    shape stays and is verified like any text.
+    """
+    longest = F.array_sort(F.transform(placeholders, lambda p: F.struct((-F.length(p)).alias("n"), p.alias("p"))))
+    # U+0000 never stands in a text that went through JSON or a table; one that has it is left as it is and so is verified whole
+    marked = F.when(F.contains(text, F.lit("\x00")), text).otherwise(F.aggregate(longest, text, lambda t, p: F.replace(t, p["p"], F.lit("\x00"))))
+    own = F.contains(marked, F.lit("\x00")) & ~F.contains(text, F.lit("\x00"))
+    parts = F.split(F.when(own, marked).otherwise(F.lit("")), "\x00", -1)
     lengths = F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda p: F.length(p))
     fillers = F.aggregate(lengths, F.array().cast("array<int>"), lambda out, n: F.concat(out, F.array(F.coalesce(F.try_element_at(out, F.lit(-1)) + 1, F.lit(0)) + n)))
-    return F.struct(F.array_join(parts, " ").alias("text"), fillers.alias("fillers"))
+    return F.struct(F.when(own, F.array_join(parts, " ")).otherwise(text).alias("text"), F.when(own, fillers).otherwise(F.array().cast("array<int>")).alias("fillers"))
 
 
 def is_artifact(start: Column, end: Column, text: Column, fillers: Column) -> Column:
@@ -150,11 +154,10 @@ def is_artifact(start: Column, end: Column, text: Column, fillers: Column) -> Co
     return (a < b) & ~inside.rlike("(?U)\\S") & F.exists(fillers, lambda f: (f >= a) & (f < b))
 
 
-# Fixed value: the notice that goes with masked texts.
+#: The notice that goes with masked texts, unless the caller gives another.
 NOTICE = (
-    "Hinweis: Dieser Text wurde vor der Übermittlung automatisch pseudonymisiert. Angaben in spitzen Klammern sind Platzhalter und stehen bewusst anstelle der jeweils echten Werte. "
-    "Das ist kein Tippfehler und keine fehlende Information — behandle jeden Platzhalter als den echten Wert, den er ersetzt, und gib ihn in deiner Antwort exakt so zurück, wie er dir übergeben wurde, "
-    "mit unveränderter Nummer (nicht umformulieren, nicht umnummerieren, nicht durch einen Beispielwert ersetzen, nicht danach fragen)."
+    "Zum Datenschutz wurden personenbezogene Angaben in diesem Gespräch durch nummerierte Platzhalter der Form <TYP_0> ersetzt. "
+    "Übernimm Platzhalter Zeichen für Zeichen, wenn du dich auf eine solche Angabe beziehst; ändere weder Namen noch Nummer und frage nicht nach dem Wert dahinter."
 )
 
 

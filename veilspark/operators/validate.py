@@ -25,37 +25,90 @@ def unknown_fields(raw: Column, allowed: tuple[str, ...] = MASKED_FIELDS + CHECK
     return F.array_except(F.json_object_keys(raw), _lit(allowed))
 
 
-def _kind(raw: Column, path: str) -> Column:
-    """Type of a JSON field: its schema, VOID for null, null if absent."""
-    return F.schema_of_variant(F.try_variant_get(F.try_parse_json(raw), path, "variant"))
+CACHE_FIELDS = ("type", "ttl")
 
 
-def message_reason(raw: Column) -> Column:
-    """Reason code of the first rule that a message breaks, or null.  Codes never carry the message's values."""
+def _field(v: Column, path: str) -> Column:
+    """A field of a variant as a variant; null where absent."""
+    return F.try_variant_get(v, path, "variant")
+
+
+def _is(v: Column, *kinds: str, absent: bool = True) -> Column:
+    """Whether a variant has one of the kinds; JSON null and absence count as ``absent``."""
+    kind = F.schema_of_variant(v)
+    ok = F.lit(False)
+    for k in kinds:
+        ok = ok | (kind.startswith(k + "<") if k in ("OBJECT", "ARRAY") else kind == k)
+    return F.coalesce(ok | (kind == "VOID") if absent else ok, F.lit(absent))
+
+
+def _only(v: Column, allowed: tuple[str, ...]) -> Column:
+    """Whether an object has no key beyond ``allowed``."""
+    return F.coalesce(F.size(F.array_except(F.json_object_keys(F.to_json(v)), _lit(allowed))) == 0, F.lit(False))
+
+
+def _text_in(v: Column, path: str, allowed: tuple[str, ...], absent: bool = True) -> Column:
+    """Whether a field is one of the texts; a number or flag that prints alike is none."""
+    own = _field(v, path)
+    given = F.coalesce(F.schema_of_variant(own), F.lit("VOID"))
+    return F.when(given == "VOID", F.lit(absent)).otherwise((given == "STRING") & F.coalesce(F.try_variant_get(v, path, "string").isin(*allowed), F.lit(False)))
+
+
+def _id_ok(v: Column, path: str) -> Column:
+    own = F.coalesce(F.schema_of_variant(_field(v, path)), F.lit("VOID"))
+    return F.when(own == "VOID", F.lit(True)).otherwise((own == "STRING") & F.coalesce(S.opaque_id_ok(F.try_variant_get(v, path, "string")), F.lit(False)))
+
+
+def _function_ok(v: Column, absent: bool = True) -> Column:
+    """A function payload: an object of a name and arguments, both texts."""
+    inner = _is(v, "OBJECT", absent=False) & _only(v, FUNCTION_FIELDS) & _is(_field(v, "$.name"), "STRING") & _is(_field(v, "$.arguments"), "STRING")
+    return F.when(F.coalesce(F.schema_of_variant(v), F.lit("VOID")) == "VOID", F.lit(absent)).otherwise(inner)
+
+
+def _cache_ok(v: Column) -> Column:
+    """A caching marker: null, or an object of a known type and time-to-live."""
+    inner = _is(v, "OBJECT", absent=False) & _only(v, CACHE_FIELDS) & _text_in(v, "$.type", CACHE_TYPES, absent=False) & _text_in(v, "$.ttl", CACHE_TTLS)
+    return F.when(F.coalesce(F.schema_of_variant(v), F.lit("VOID")) == "VOID", F.lit(True)).otherwise(inner)
+
+
+def _call_ok(c: Column) -> Column:
+    return (
+        _is(c, "OBJECT", absent=False) & _only(c, CALL_FIELDS) & _id_ok(c, "$.id") & _text_in(c, "$.type", ("function",))
+        & _is(_field(c, "$.index"), "BIGINT", "BOOLEAN") & _function_ok(_field(c, "$.function"))
+    )
+
+
+def _part_ok(p: Column, policy: str | None, service: bool) -> Column:
+    """A content part: a text with its text, or an image that the policy lets through; a caching marker in it is checked like a message's."""
+    linked = _field(p, "$.image_url")
+    url = F.when(F.schema_of_variant(linked) == "STRING", F.try_variant_get(p, "$.image_url", "string")).when(F.schema_of_variant(_field(p, "$.image_url.url")) == "STRING", F.try_variant_get(p, "$.image_url.url", "string"))
+    text = _text_in(p, "$.type", ("text",), absent=False) & _is(_field(p, "$.text"), "STRING", absent=False)
+    image = _text_in(p, "$.type", ("image_url",), absent=False) & (image_policy(url, policy, service) != "block")
+    return _is(p, "OBJECT", absent=False) & _cache_ok(_field(p, "$.cache_control")) & (text | image)
+
+
+def message_reason(raw: Column, images: str | None = None, service: bool = False) -> Column:
+    """Reason code of the first rule that a message breaks, or null.  Codes never carry the message's values.
+
+    Types are those of the parsed JSON, so a number, flag or object never
+    passes for a text.  JSON with repeated keys is no object.  ``images`` and
+    ``service`` are those of ``image_policy``: by default images block.
+    """
     v = F.try_parse_json(raw)
-    text = lambda path: F.try_variant_get(v, path, "string")
-    is_text = lambda path: F.coalesce(_kind(raw, path).isin("STRING", "VOID"), F.lit(True))
-    calls = F.from_json(F.get_json_object(raw, "$.tool_calls"), "array<string>")
-    call_ok = lambda c: (
-        (F.size(F.array_except(F.coalesce(F.json_object_keys(c), F.array(F.lit("?"))), _lit(CALL_FIELDS))) == 0)
-        & F.coalesce(F.get_json_object(c, "$.type") == "function", F.lit(True))
-        & F.coalesce(F.get_json_object(c, "$.index").rlike("\\A-?[0-9]+\\z"), F.lit(True))
-        & (F.size(F.array_except(F.coalesce(F.json_object_keys(F.get_json_object(c, "$.function")), F.array().cast("array<string>")), _lit(FUNCTION_FIELDS))) == 0)
-        & F.coalesce(S.opaque_id_ok(F.get_json_object(c, "$.id")), F.lit(True))
-    )
-    parts = F.from_json(F.get_json_object(raw, "$.content"), "array<string>")
-    part_ok = lambda p: F.coalesce(F.get_json_object(p, "$.type").isin(*PART_TYPES), F.lit(False))
-    content = _kind(raw, "$.content")
+    array = lambda path: F.try_variant_get(v, path, "array<variant>")
+    calls, content = _field(v, "$.tool_calls"), _field(v, "$.content")
+    listed = _is(content, "ARRAY", absent=False)
     return (
-        F.when(v.isNull() | ~F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False)), "not_an_object")
+        F.when(v.isNull() | ~_is(v, "OBJECT", absent=False), "not_an_object")
         .when(F.size(unknown_fields(raw)) > 0, "unknown_field")
-        .when(~F.coalesce(text("$.role").isin(*ROLES), _kind(raw, "$.role").isNull() | (_kind(raw, "$.role") == "VOID")), "role")
-        .when(~(is_text("$.name") & is_text("$.refusal") & is_text("$.reasoning_content")), "text_field")
-        .when(_kind(raw, "$.cache_control").isNotNull() & ~F.coalesce(text("$.cache_control.type").isin(*CACHE_TYPES) & F.coalesce(text("$.cache_control.ttl").isin(*CACHE_TTLS), F.lit(True)), F.lit(False)), "cache_control")
-        .when(~F.coalesce(S.opaque_id_ok(text("$.tool_call_id")), F.lit(True)), "opaque_id")
-        .when(_kind(raw, "$.tool_calls").isNotNull() & (_kind(raw, "$.tool_calls") != "VOID") & ~F.coalesce(F.forall(calls, call_ok), F.lit(False)), "tool_calls")
-        .when(~F.coalesce(content.isin("STRING", "VOID") | content.startswith("ARRAY"), F.lit(True)), "content")
-        .when(F.coalesce(content.startswith("ARRAY"), F.lit(False)) & ~F.coalesce(F.forall(parts, part_ok), F.lit(False)), "content_part")
+        .when(~_text_in(v, "$.role", ROLES), "role")
+        .when(~(_is(_field(v, "$.name"), "STRING") & _is(_field(v, "$.refusal"), "STRING") & _is(_field(v, "$.reasoning_content"), "STRING")), "text_field")
+        .when(~_cache_ok(_field(v, "$.cache_control")), "cache_control")
+        .when(~_id_ok(v, "$.tool_call_id"), "opaque_id")
+        .when(~_is(calls, "ARRAY") | ~F.coalesce(F.forall(array("$.tool_calls"), _call_ok), F.lit(True)), "tool_calls")
+        .when(~_function_ok(_field(v, "$.function_call")), "function_call")
+        .when(~_is(content, "STRING", "ARRAY"), "content")
+        .when(listed & ~F.coalesce(F.forall(array("$.content"), lambda p: _part_ok(p, images, service)), F.lit(False)), "content_part")
     )
 
 

@@ -146,28 +146,26 @@ def _line_spans(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), at.cast("int").alias("start"), (at + 3 + F.col("l_suppkey") % 9).cast("int").alias("end"), F.concat(F.lit("T"), F.col("l_linenumber").cast("string")).alias("entity_type"), (1.0 / (1 + F.col("l_linenumber"))).alias("score"))
 
 
-@query(
-    f"""WITH s AS (SELECT * FROM {_SPANS}), m AS (SELECT *, max("end") OVER (PARTITION BY doc ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM s),
+_ISLANDS_SQL = f"""WITH s AS (SELECT * FROM {_SPANS}), m AS (SELECT *, max("end") OVER (PARTITION BY doc ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM s),
     n AS (SELECT *, sum(CASE WHEN b IS NULL OR start >= b THEN 1 ELSE 0 END) OVER (PARTITION BY doc ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS g FROM m)
     SELECT doc, CAST(min(start) AS INTEGER) AS start, CAST(max("end") AS INTEGER) AS "end", arg_max(entity_type, score) AS entity_type FROM n GROUP BY doc, g"""
-)
+
+
+@query(_ISLANDS_SQL)
 def overlap_islands(spark, sf_dir):
     return P.islands(_line_spans(spark, sf_dir), ["doc"]).select("doc", "start", "end", "entity_type")
 
 
-@query()
+@query(_ISLANDS_SQL)
 def overlap_exact(spark, sf_dir):
     grouped = _line_spans(spark, sf_dir).groupBy("doc").agg(F.collect_list(F.struct("entity_type", "start", "end", "score")).alias("spans"))
-    return P.resolve_exact(grouped).select("doc", F.explode("spans").alias("s")).select("doc", "s.*")
-
-
-_TEXT_TYPES = ("EMAIL_ADDRESS", "IP_ADDRESS", "CREDIT_CARD", "PHONE_NUMBER", "IBAN_CODE")
+    return P.resolve_exact(grouped).select("doc", F.explode("spans").alias("s")).select("doc", "s.start", "s.end", "s.entity_type")
 
 
 @query()
 def mask_documents(spark, sf_dir):
-    found = D.detect(_documents(spark, sf_dir), entities=_TEXT_TYPES)
-    done = P.mask_rows(found.where(F.size("spans") > 0))
+    """Every document, masked for all types; one without a hit is as it was."""
+    done = P.mask_rows(D.detect(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")))
     return done.select("id", "masked", F.size("reid_map").alias("n_values"))
 
 
@@ -220,12 +218,14 @@ def stop_word_guard(spark, sf_dir):
 
 
 @query(
-    r"""WITH m AS (SELECT c_custkey AS id, 'Rueckfrage zu <PERSON_' || CAST(c_custkey % 12 AS VARCHAR) || '> und <DE_PLZ_0>, danke.' AS text FROM customer)
-    SELECT id, regexp_replace(text, '<[A-Z][A-Z_]*_[0-9]+>', ' ', 'g') AS probe, '14,20' AS fillers FROM m"""
+    r"""WITH m AS (SELECT c_custkey AS id, '<PERSON_' || CAST(c_custkey % 12 AS VARCHAR) || '>' AS own, 'Rueckfrage zu <PERSON_' || CAST(c_custkey % 12 AS VARCHAR) || '> und <DE_PLZ_0>, danke.' AS text FROM customer)
+    SELECT id, replace(text, own, ' ') AS probe, CAST(strpos(text, own) - 1 AS VARCHAR) AS fillers FROM m"""
 )
 def probe_builder(spark, sf_dir):
-    text = F.concat(F.lit("Rueckfrage zu <PERSON_"), (F.col("c_custkey") % 12).cast("string"), F.lit("> und <DE_PLZ_0>, danke."))
-    made = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), P.probe(text).alias("p"))
+    """Only the placeholder that was given out is blanked; the other one is text."""
+    own = F.concat(F.lit("<PERSON_"), (F.col("c_custkey") % 12).cast("string"), F.lit(">"))
+    text = F.concat(F.lit("Rueckfrage zu "), own, F.lit(" und <DE_PLZ_0>, danke."))
+    made = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), P.probe(text, F.array(own)).alias("p"))
     return made.select("id", F.col("p.text").alias("probe"), F.array_join(F.transform("p.fillers", lambda x: x.cast("string")), ",").alias("fillers"))
 
 
@@ -289,7 +289,7 @@ def _event_types(spark, sf_dir):
 
 @query("SELECT event_id, CAST(count(DISTINCT event_type) OVER (PARTITION BY user_id ORDER BY CAST(floor(epoch(ts)) AS BIGINT) RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW) AS INTEGER) AS n_types FROM events")
 def qi_session_ttl(spark, sf_dir):
-    return Q.accumulate(_event_types(spark, sf_dir), "user_id", "types", time="at", ttl=86400).select("event_id", "n_types")
+    return Q.accumulate(_event_types(spark, sf_dir), "user_id", "types", time="at", ttl=86400, kinds=("click", "error", "purchase", "signup", "view")).select("event_id", "n_types")
 
 
 @query("SELECT event_id, CAST(count(DISTINCT event_type) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS INTEGER) AS n_types, count(DISTINCT event_type) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) >= 3 AS generalise FROM events")

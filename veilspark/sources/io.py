@@ -25,11 +25,22 @@ def requests(spark: SparkSession, path: str, fmt: str = "json", stream: bool = F
 
 
 def messages(raw: DataFrame, request_col: str = "request_id") -> DataFrame:
-    """One row per message of requests that are processed; requests without messages give none."""
-    known = F.get_json_object("raw", "$.call_type")
-    open_ = raw.where(known.isNull() | known.isin(*CALL_TYPES))
-    parts = F.from_json(F.get_json_object("raw", "$.messages"), "array<string>")
-    return open_.select(request_col, F.posexplode(parts).alias("msg_idx", "raw"))
+    """(request, msg_idx, raw, status) of requests that are processed, one row per message.
+
+    Requests without messages give none.  Where ``messages`` is no array, or
+    the request no JSON object, nothing could be checked: the request gives one
+    row without a message and with status ``blocked``.
+    """
+    v = F.try_parse_json("raw")
+    known = F.try_variant_get(v, "$.call_type", "string")
+    open_ = raw.where(v.isNull() | known.isNull() | known.isin(*CALL_TYPES)).withColumn("_v", F.try_parse_json("raw"))
+    given = F.schema_of_variant(F.try_variant_get("_v", "$.messages", "variant"))
+    object_ = F.coalesce(F.schema_of_variant("_v").startswith("OBJECT<"), F.lit(False))
+    bad = ~object_ | ~F.coalesce((given == "VOID") | given.startswith("ARRAY<"), F.lit(True))
+    parts = F.transform(F.try_variant_get("_v", "$.messages", "array<variant>"), lambda m: F.to_json(m))
+    rows = F.when(bad, F.array(F.lit(None).cast("string"))).otherwise(parts)
+    out = open_.select(request_col, bad.alias("_bad"), F.posexplode(rows).alias("msg_idx", "raw"))
+    return out.select(request_col, "msg_idx", "raw", F.when(F.col("_bad"), "blocked").otherwise("ok").alias("status"))
 
 
 def write_session_table(df: DataFrame, path: str) -> None:
@@ -61,10 +72,10 @@ def write_report(df: DataFrame, path: str) -> None:
 
 
 class RuleFile:
-    """A rule file that is read again only when its time or size changes; a bad file keeps the last good rules."""
+    """A rule file that is read again only when its time or size changes; a bad or missing file keeps the last good rules and says so in ``error``."""
 
     def __init__(self, path: str | os.PathLike):
-        self.path, self.rules, self.key, self.error = Path(path), R.RuleSet(), None, None
+        self.path, self.rules, self.key, self.error, self.loaded = Path(path), R.RuleSet(), None, None, False
 
     def get(self) -> R.RuleSet:
         try:
@@ -72,9 +83,10 @@ class RuleFile:
             key = (s.st_mtime_ns, s.st_size)
             if key != self.key:
                 self.rules, self.error = R.load(_parse(self.path.read_text(encoding="utf-8"))), None
-                self.key = key
-        except FileNotFoundError:
-            self.rules, self.key, self.error = R.RuleSet(), None, None
+                self.key, self.loaded = key, True
+        except FileNotFoundError as e:
+            # a file that was never there has no rules; one that goes away takes none with it
+            self.key, self.error = None, type(e).__name__ if self.loaded else None
         except (OSError, ValueError) as e:
             self.error = type(e).__name__
         return self.rules

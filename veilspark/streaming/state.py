@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,45 +10,48 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-# Fixed value: characters that a window holds beyond the longest placeholder.
-MARGIN = 10
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 class Window:
-    """Holds back the last characters of a stream of texts so that a torn placeholder is never emitted."""
+    """Restores placeholders in a stream of texts.
 
-    def __init__(self, reid: dict[str, str], held: str = ""):
-        self.pairs = sorted(reid.items(), key=lambda p: (-len(p[0]), p[0]))
-        self.size = (len(self.pairs[0][0]) + MARGIN) if self.pairs else 0
-        self.held = held
+    What is held back is the longest tail that is a proper beginning of some
+    placeholder: all before it can't be part of one that is still to come, so
+    it is restored and said at once.
+    """
 
-    def _replace(self) -> None:
-        for p, v in self.pairs:
-            self.held = self.held.replace(p, v)
+    def __init__(self, reid: dict[str, str], held: str = ""):
+        self.reid, self.held = reid, held
+        self.beginnings = {p[:k] for p in reid for k in range(1, len(p))}
+        self.longest = max(map(len, reid), default=1) - 1
+        self.any = re.compile("|".join(re.escape(p) for p in sorted(reid, key=len, reverse=True))) if reid else None
 
     def feed(self, text: str) -> str:
-        if not self.pairs:
-            return text
-        self.held += text
-        self._replace()
-        cut = max(0, len(self.held) - (self.size - 1))
-        out, self.held = self.held[:cut], self.held[cut:]
-        return out
+        whole = self.held + text
+        tail = next((k for k in range(min(self.longest, len(whole)), 0, -1) if whole[-k:] in self.beginnings), 0)
+        said, self.held = whole[: len(whole) - tail], whole[len(whole) - tail :]
+        return self._restored(said)
 
     def flush(self) -> str:
-        self._replace()
-        out, self.held = self.held, ""
-        return out
+        said, self.held = self.held, ""
+        return self._restored(said)
+
+    def _restored(self, text: str) -> str:
+        return self.any.sub(lambda m: self.reid[m.group()], text) if self.any else text
+
+
+_DELTA = ["stream_id", "channel", "call_index", "seq", "text", "finish_reason"]
 
 
 class Reidentifier(StatefulProcessor):
-    """Per (stream, channel, call): the held text is the only state; ``finish_reason`` ends it."""
+    """Per (stream, channel, call): the held text is the only state; ``finish_reason`` ends it, or else silence of ``idle_ms``, after which the held text is said with the reason ``idle``."""
 
-    def __init__(self, reid: dict[str, str], escaped: dict[str, str]):
-        self.reid, self.escaped = reid, escaped
+    def __init__(self, reid: dict[str, str], escaped: dict[str, str], idle_ms: int | None = None):
+        self.reid, self.escaped, self.idle_ms = reid, escaped, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.held = handle.getValueState("held", "text string")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
@@ -63,16 +67,36 @@ class Reidentifier(StatefulProcessor):
             self.held.update((window.held,))
         else:
             self.held.clear()
-        yield pd.DataFrame(out, columns=["stream_id", "channel", "call_index", "seq", "text", "finish_reason"])
+        self._renew(timerValues, bool(window.held))
+        yield pd.DataFrame(out, columns=_DELTA)
+
+    def _renew(self, timerValues, waiting: bool) -> None:
+        if self.idle_ms is None:
+            return
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        if waiting:
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        rest = self.held.get()[0] if self.held.exists() else ""
+        self.held.clear()
+        said = Window(self.escaped if key[1] == "arguments" else self.reid, rest).flush()
+        yield pd.DataFrame([(*key, None, said, "idle")] if said else [], columns=_DELTA)
 
     def close(self) -> None:
         pass
 
 
-def reidentify_stream(deltas: DataFrame, reid: dict[str, str], escaped: dict[str, str] | None = None) -> DataFrame:
-    """Deltas (stream_id, channel, call_index, seq, text, finish_reason) with placeholders restored; argument channels take the escaped map."""
+def reidentify_stream(deltas: DataFrame, reid: dict[str, str], escaped: dict[str, str] | None = None, idle_ms: int | None = None) -> DataFrame:
+    """Deltas (stream_id, channel, call_index, seq, text, finish_reason) with placeholders restored; argument channels take the escaped map.
+
+    Rows are put in order inside a micro-batch, so a source has to give a
+    stream's rows in order of their batches.  With ``idle_ms`` a stream that
+    falls silent without an end is flushed by a timer.
+    """
     return deltas.groupBy("stream_id", "channel", "call_index").transformWithStateInPandas(
-        Reidentifier(reid, escaped if escaped is not None else reid), "stream_id string, channel string, call_index int, seq long, text string, finish_reason string", "Append", "none"
+        Reidentifier(reid, escaped if escaped is not None else reid, idle_ms), "stream_id string, channel string, call_index int, seq long, text string, finish_reason string", "Append", "none" if idle_ms is None else "processingTime"
     )
 
 
@@ -91,11 +115,12 @@ def shred(df: DataFrame, text: Column, *keys: str) -> DataFrame:
 class SessionTypes(StatefulProcessor):
     """Types seen per session with their last time; types older than the time-to-live at a turn's own time don't count."""
 
-    def __init__(self, ttl: float, threshold: int):
-        self.ttl, self.threshold = ttl, threshold
+    def __init__(self, ttl: float, threshold: int, expires: bool = True):
+        self.ttl, self.threshold, self.expires = ttl, threshold, expires
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getMapState("seen", "qi_type string", "at double")
+        # entries leave the state some time after they stopped to count
+        self.seen = handle.getMapState("seen", "qi_type string", "at double", int(2 * self.ttl * 1000) if self.expires else None)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         part = pd.concat(list(rows)).sort_values("at", kind="stable")
@@ -115,4 +140,4 @@ class SessionTypes(StatefulProcessor):
 
 def session_types_stream(turns: DataFrame, ttl: float, threshold: int = 3) -> DataFrame:
     """Turns (session, at, qi_type) with the number of live types."""
-    return turns.groupBy("session").transformWithStateInPandas(SessionTypes(ttl, threshold), "session string, at double, n_types int, generalise boolean", "Append", "none")
+    return turns.groupBy("session").transformWithStateInPandas(SessionTypes(ttl, threshold), "session string, at double, n_types int, generalise boolean", "Append", "processingTime")
