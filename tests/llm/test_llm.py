@@ -188,6 +188,21 @@ def test_html(spark):
     assert [r["n_chars"] for r in rows] == [len(html_extract.main_text(page)), 0, 0]
 
 
+def test_names_that_only_sound_like_boilerplate():
+    text = "The article has some words here and a few more of them"
+    for opening in ("<div class='post comments-open'>", "<article class='side-effects'>", "<article><section id='legal-history'>", "<div class='searching-for-truth'>"):
+        assert html_extract.main_text(f"<body><nav><a href=x>Home</a></nav>{opening}<p>{text}</p></div></body>") == text
+    for opening in ("<div class='site-footer'>", "<div id='ad-slot-2'>", "<div class='comment-list'>", "<article class='comment'>", "<div role='navigation'>"):
+        assert html_extract.main_text(f"<body><article><p>{text}</p></article>{opening}<p>Not this one at all</p></div></body>") == text
+
+
+def test_html_edges(spark):
+    rows = spark.createDataFrame([(1, "u", "<p>x y z", "clash"), (1, "u", "<p>x y z", "clash"), (2, None, "<p>" + "word " * 60_000, None)], "page_id int, url string, html string, text string")
+    got = html_extract.extract(rows).orderBy("page_id").collect()
+    assert [r["n_chars"] for r in got] == [5, 5, 299_999] and got[0]["text"] == "x y z"
+    assert html_extract.extract(rows.limit(0)).count() == 0
+
+
 def test_benchmark_passages(spark, docs, empty):
     item = "the quick brown fox jumps over the lazy dog while seven wizards watch the red moon rise above the quiet sea tonight"
     near = item.replace("lazy", "lazy")

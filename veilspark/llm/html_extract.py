@@ -25,6 +25,7 @@ import html
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -45,11 +46,27 @@ INLINE = frozenset(("a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "c
 BOILER = frozenset(("nav", "footer", "aside", "form", "menu", "dialog", "fieldset"))
 CONTENT = frozenset(("article", "main"))
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
-_BOILER_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|adsense|banner|sponsor(?:ed)?|promo(?:tion)?s?|cookies?|consent|gdpr|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|nav|navbar|navigation|menu|menubar|breadcrumbs?|sidebar|side|widget|footer|foot|header|masthead|topbar|toolbar|share|sharing|social|related|recommended|comments?|commentlist|disqus|replies|reply|respond|discussion|pagination|pager|search|tags?|copyright|legal|disclaimer|skip|contentinfo|complementary)(?:$|[\s_-])"
-    r"|(?:^|[\s_-])(?:ad|cookie|comment|sidebar|footer|nav|menu|sponsor|promo)[a-z]*(?:$|[\s_-])",
-    re.I,
+#: Parts of class, id and role names that speak of boilerplate ...
+_BOILER_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising adsense banner sponsor sponsored promo promos promotion promotions cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login "
+    "nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar widget widgets footer header masthead topbar toolbar share sharing social related recommended comment comments commentlist disqus replies reply respond discussion "
+    "pagination pager search tags copyright legal disclaimer skip contentinfo complementary".split()
 )
+#: ... and those that only say where or what kind of box it is.
+_BOX_WORDS = frozenset("site main page global primary secondary top bottom left right center sticky fixed mobile desktop area bar block blocks body box button buttons col column container content form frame group holder inner item items link links list module outer panel row section slot space title unit wrap wrapper zone side foot the and".split())
+_PART = re.compile(r"[^0-9a-z]+")
+
+
+@lru_cache(4096)
+def _boiler_name(names: str) -> bool:
+    """Whether one of the names is boilerplate's: it has a word of it, and all its other words only name a box.  So ``site-footer`` and ``ad-slot-2`` are, ``comments-open``, ``side-effects`` and ``legal-history`` are not."""
+    for name in names.lower().split():
+        words = [w for w in _PART.split(name) if w and not w.isdigit()]
+        if any(w in _BOILER_WORDS for w in words) and all(w in _BOILER_WORDS or w in _BOX_WORDS for w in words):
+            return True
+    return False
+
+
 _CONTENT_NAME = re.compile(r"(?:^|[\s_-])(?:article|articlebody|body|content|entry|main|post|story|text)(?:$|[\s_-])", re.I)
 
 
@@ -86,9 +103,9 @@ def blocks(page: str) -> list[Block]:
     def push(name: str, attributes: str) -> None:
         nonlocal boiler, named, content, silent, links, heading, listed
         names = " ".join(m[1].strip("\"'") for m in _NAMES.finditer(attributes)) if attributes else ""
-        is_content = name in CONTENT or bool(names and _CONTENT_NAME.search(names) and not _BOILER_NAME.search(names))
+        is_content = (name in CONTENT and not _boiler_name(names)) or bool(names and _CONTENT_NAME.search(names) and not _boiler_name(names))
         is_boiler = name in BOILER or (name == "header" and not content)
-        is_named = bool(names and name not in ("html", "body", "article", "main") and _BOILER_NAME.search(names))
+        is_named = bool(names and name not in ("html", "body", "main") and _boiler_name(names))
         is_silent = name in SILENT or bool(attributes and _HIDDEN.search(attributes))
         stack.append((name, is_boiler, is_named, is_content, is_silent))
         boiler, named, content, silent = boiler + is_boiler, named + is_named, content + is_content, silent + is_silent
@@ -197,6 +214,12 @@ EXAMPLES = (
     (200, 0.0, 10, 0.0, 8, 0.2, 0, 0, 1, 0, 0, 1),
     (3, 0.0, 7, 0.0, 8, 0.1, 0, 0, 1, 0, 0, 1),
     (1, 0.0, 7, 0.0, 11, 0.1, 0, 0, 1, 1, 0, 1),
+    # the only block, or the last one, after a menu
+    (12, 0.0, 1, 1.0, 0, 0.0, 0, 0, 1, 0, 0, 1),
+    (30, 0.0, 2, 1.0, 0, 0.0, 0, 0, 1, 0, 0, 1),
+    (2, 0.0, 1, 1.0, 0, 0.0, 0, 0, 1, 0, 0, 1),
+    (5, 0.0, 1, 1.0, 3, 0.0, 0, 0, 1, 1, 0, 1),
+    (3, 0.0, 3, 1.0, 2, 0.0, 0, 0, 1, 0, 0, 1),
     # a content element's own boilerplate
     (2, 1.0, 1, 1.0, 2, 1.0, 0, 1, 1, 0, 1, 0),
     (12, 0.0, 40, 0.0, 60, 0.0, 0, 1, 1, 0, 0, 0),
@@ -228,6 +251,11 @@ EXAMPLES = (
     (4, 0.0, 0, 0.0, 1, 1.0, 1, 0, 0, 1, 0, 0),
     (3, 0.0, 50, 0.0, 20, 0.0, 0, 1, 0, 1, 0, 0),
     # pages without a content element
+    (45, 0.0, 2, 1.0, 0, 0.0, 0, 0, 0, 0, 0, 1),
+    (14, 0.0, 1, 1.0, 2, 1.0, 0, 0, 0, 0, 0, 1),
+    (11, 0.0, 3, 1.0, 0, 0.0, 0, 0, 0, 0, 0, 1),
+    (2, 0.0, 1, 1.0, 1, 1.0, 0, 0, 0, 0, 0, 0),
+    (4, 0.0, 3, 1.0, 0, 0.0, 0, 0, 0, 0, 0, 0),
     (45, 0.0, 38, 0.0, 52, 0.0, 0, 0, 0, 0, 0, 1),
     (80, 0.1, 9, 0.0, 66, 0.0, 0, 0, 0, 0, 0, 1),
     (30, 0.0, 6, 0.0, 0, 0.0, 0, 0, 0, 0, 0, 1),
