@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from . import kernel
 from ..session import ship
-from .common import held_out, labelled_sample
+from .common import give_back, held_out, labelled_sample
 
 MAX_EXAMPLES = 6000
 BITS = 18
@@ -186,7 +186,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", bound: int
     order = np.argsort(np.array(got["doc_id"].to_pylist()), kind="stable") if got.num_rows else np.zeros(0, int)
     lists = got["ids"].combine_chunks() if got.num_rows else None
     rows = [np.asarray(lists[int(i)].values) for i in order]
-    return fit(rows, np.array([got["label"][int(i)].as_py() for i in order], dtype=int))
+    model = fit(rows, np.array([got["label"][int(i)].as_py() for i in order], dtype=int))
+    del got, lists, rows
+    give_back()
+    return model
 
 
 def _scored(column: pa.Array, model: Model) -> Iterator[tuple[int, np.ndarray]]:

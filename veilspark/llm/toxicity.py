@@ -40,7 +40,7 @@ from pyspark.sql import types as T
 
 from ..session import ship
 from . import kernel
-from .common import held_out, labelled_sample
+from .common import give_back, held_out, labelled_sample
 from .nbsvm import logistic_fit
 
 MAX_EXAMPLES = 6_000
@@ -252,6 +252,7 @@ def build(counts: Sparse, labels: np.ndarray, ids: pa.Array, terms: np.ndarray,
         mark = kernel.splitmix(examples.cols.astype(_U) * _U(0x9E3779B97F4A7C15) + examples.values.astype(_U))
         sums = np.concatenate([[_U(0)], np.cumsum(mark, dtype=_U)])
         signature = sums[examples.at[1:]] - sums[examples.at[:-1]]
+    del mark, sums
     vectors = unit(examples, weight)
     # entries of one leading term lie together, so that blocks differ in their bounds
     lead = np.zeros(len(own), dtype=np.int64)
@@ -333,13 +334,16 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int =
     at = np.asarray(lists.offsets).astype(np.int64)
     hashes = np.asarray(lists.flatten()).view(_U)
     terms, cols = np.unique(hashes, return_inverse=True)
-    rows = np.repeat(np.arange(len(y)), np.diff(at))
-    inside = np.lexsort((cols, rows))
-    counts = Sparse(at - at[0], cols[inside], np.asarray(times.flatten())[inside].astype(np.int64)).take(order)
+    cols = cols.astype(np.int32)
+    # a row's hashes ascend, and so do their places
+    counts = Sparse(at - at[0], cols, np.asarray(times.flatten())).take(order)
     ids = got["doc_id"].combine_chunks().take(pa.array(order))
-    del got, lists, times, hashes, rows, inside, cols
+    del got, lists, times, hashes, cols
     df, n = document_frequencies(docs, terms)
-    return build(counts, y[order], ids, terms, df, n)
+    judge = build(counts, y[order], ids, terms, df, n)
+    del counts
+    give_back()
+    return judge
 
 
 def _judged(column: pa.Array, judge: Judge, threshold: float) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, list]]:
