@@ -453,7 +453,7 @@ def notice_injection(spark, sf_dir):
     n = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
     msgs = o.select(F.col("o_custkey").alias("request_id"), n.alias("msg_idx"), F.when(F.col("o_orderkey") % 5 == 0, "system").otherwise("user").alias("role"), F.lit("hi").alias("content"))
     told = P.inject_notice(msgs, msgs.select("request_id"))
-    return told.groupBy("request_id").agg(F.count(F.when(F.col("content").contains("pseudonymisiert"), 1)).cast("int").alias("notices"))
+    return told.groupBy("request_id").agg(F.count(F.when(F.col("content").contains(P.NOTICE), 1)).cast("int").alias("notices"))
 
 
 @query("SELECT s_suppkey AS id, 'kategorie' AS category FROM supplier")
