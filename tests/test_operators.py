@@ -117,3 +117,24 @@ def test_reports_are_whole_or_refused(spark, tmp_path):
     with pytest.raises(ValueError):
         io.write_report(spark.range(10_001), str(path))
     assert not path.exists()
+
+
+def test_session_state_and_idle_flush(spark, tmp_path):
+    spark.createDataFrame([("a", 0.0, "x"), ("a", 5.0, "y"), ("a", 50.0, "x"), ("b", 1.0, "x")], "session string, at double, qi_type string").coalesce(1).write.parquet(str(tmp_path / "in"))
+    turns = spark.readStream.schema("session string, at double, qi_type string").parquet(str(tmp_path / "in"))
+    q = ST.session_types_stream(turns, ttl=20.0, threshold=2).writeStream.format("memory").queryName("session_out").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(90)
+    assert {tuple(r) for r in spark.table("session_out").collect()} == {("a", 0.0, 1, False), ("a", 5.0, 2, True), ("a", 50.0, 1, False), ("b", 1.0, 1, False)}
+    schema = "stream_id string, channel string, call_index int, seq long, text string, finish_reason string"
+    spark.createDataFrame([("s", "content", 0, 0, "a <P_", None)], schema).coalesce(1).write.parquet(str(tmp_path / "d"))
+    deltas = ST.reidentify_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "d")), {"<P_0>": "Ada"}, idle_ms=1)
+    q = deltas.writeStream.format("memory").queryName("idle_out").option("checkpointLocation", str(tmp_path / "cp2")).trigger(processingTime="1 second").start()
+    try:
+        for _ in range(40):
+            q.awaitTermination(1)
+            rows = spark.table("idle_out").collect()
+            if len(rows) > 1:
+                break
+    finally:
+        q.stop()
+    assert [(r["text"], r["finish_reason"]) for r in rows] == [("a ", None), ("<P_", "idle")]
