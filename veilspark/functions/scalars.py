@@ -141,6 +141,12 @@ def data_url_outcome(url: Column) -> Column:
     )
 
 
+def cleared(detail: Column, secrets: Column) -> Column:
+    """A text for logs without any of the array's values, longest first; a null array clears nothing."""
+    ordered = F.array_sort(F.transform(F.filter(secrets, lambda s: F.coalesce(s, F.lit("")) != ""), lambda s: F.struct((-F.length(s)).alias("n"), s.alias("s"))))
+    return F.when(secrets.isNull(), detail).otherwise(F.aggregate(ordered, detail, lambda d, s: F.replace(d, s["s"], F.lit("[…]"))))
+
+
 def field_fingerprint(name: Column) -> Column:
     """First 8 hex digits of the hash of a quoted field name, to report a field without its name."""
     return F.substring(F.sha2(F.concat(F.lit("'"), name, F.lit("'")), 256), 1, 8)

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +37,37 @@ PERSON_WORDS = (
 )
 
 
+@dataclass(frozen=True)
+class Keywords:
+    """The lists that a classification uses; an empty one is an error, as it would switch a category off."""
+
+    tier3: Mapping[str, tuple[str, ...]] = field(default_factory=lambda: TIER3)
+    tier2_words: tuple[str, ...] = TIER2_WORDS
+    tier2_patterns: Mapping[str, str] = field(default_factory=lambda: TIER2_PATTERNS)
+    person_types: tuple[str, ...] = PERSON_TYPES
+    person_words: tuple[str, ...] = PERSON_WORDS
+
+    def __post_init__(self) -> None:
+        if not self.tier3 or any(not words for words in (*self.tier3.values(), self.tier2_words, self.tier2_patterns, self.person_types, self.person_words)):
+            raise ValueError("a keyword list is empty")
+
+    @classmethod
+    def of(cls, raw: object) -> Keywords:
+        """From a parsed document; every list has to be there and hold texts."""
+        if not isinstance(raw, dict):
+            raise ValueError("keyword lists are a mapping")
+
+        def texts(given: object) -> tuple[str, ...]:
+            if not isinstance(given, list) or not all(isinstance(w, str) and w.strip() for w in given):
+                raise ValueError("a keyword list holds texts")
+            return tuple(given)
+
+        tier3, patterns = raw.get("tier3_special_categories"), raw.get("tier2_patterns")
+        if not isinstance(tier3, dict) or not isinstance(patterns, dict) or not all(isinstance(p, str) and p for p in patterns.values()):
+            raise ValueError("categories and patterns are mappings")
+        return cls({k: texts(v) for k, v in tier3.items()}, texts(raw.get("tier2_context_words")), dict(patterns), texts(raw.get("person_linking_entities")), texts(raw.get("person_indicators")))
+
+
 def configured(given: Iterable[str] | None, variable: str, default: tuple[str, ...]) -> tuple[str, ...]:
     """Words of a list: those given, else those of an environment variable (separated by commas), else the default; an empty list is an error, as it would switch a category off."""
     if given is None:
@@ -63,29 +95,50 @@ def first_word(text: Column, words: tuple[str, ...]) -> Column:
     return out
 
 
-def classify(df: DataFrame, text_col: str = "text", types_col: str | None = None, level_col: str | None = None, fold_umlauts: bool = False, signals: bool = False) -> DataFrame:
+def _names(found: dict[str, Column]) -> Column:
+    return F.array_compact(F.array(*(F.when(hit, F.lit(n)) for n, hit in found.items())))
+
+
+def _found(text: Column, types: Column | None, words: Keywords, fold_umlauts: bool) -> tuple[Column, dict[str, Column], dict[str, Column]]:
+    """(person, hits of the third tier's categories, of the second's) of a text that isn't null."""
+    person = has_word(text, words.person_words, fold_umlauts)
+    if types is not None:
+        person = person | F.coalesce(F.arrays_overlap(types, F.array(*(F.lit(t) for t in words.person_types))), F.lit(False))
+    three = {c: has_word(text, w, fold_umlauts) for c, w in words.tier3.items()}
+    two = {"kontextwort": has_word(text, words.tier2_words, fold_umlauts)} | {n: F.coalesce(text.rlike("(?iU)" + rx), F.lit(False)) for n, rx in words.tier2_patterns.items()}
+    return person, three, two
+
+
+def _any(hits: Iterable[Column]) -> Column:
+    out = F.lit(False)
+    for h in hits:
+        out = out | h
+    return out
+
+
+def tier(text: Column, types: Column | None = None, keywords: Keywords | None = None, fold_umlauts: bool = False) -> Column:
+    """The heuristic tier of one text, also inside arrays."""
+    person, three, two = _found(text, types, keywords or Keywords(), fold_umlauts)
+    return F.coalesce(F.when(~person, 1).when(_any(three.values()), 3).when(_any(two.values()), 2).otherwise(1), F.lit(2))
+
+
+def classify(df: DataFrame, text_col: str = "text", types_col: str | None = None, level_col: str | None = None, fold_umlauts: bool = False, signals: bool = False, keywords: Keywords | None = None) -> DataFrame:
     """Adds ``heuristic_tier``, ``tier`` (not lowered by a requested level) and ``reasons``; ``matched_signals`` on request.
 
     A null text classifies as tier 1 of an empty one; a null result of any
     predicate counts as tier 2, never 1.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    if not TIER3 or any(not words for words in TIER3.values()):
-        raise ValueError("special categories are not configured")
-    person = has_word(text, PERSON_WORDS, fold_umlauts)
-    if types_col:
-        person = person | F.coalesce(F.arrays_overlap(F.col(types_col), F.array(*(F.lit(t) for t in PERSON_TYPES))), F.lit(False))
-    three = {c: has_word(text, words, fold_umlauts) for c, words in TIER3.items()}
-    two = {"kontextwort": has_word(text, TIER2_WORDS, fold_umlauts)} | {n: F.coalesce(text.rlike("(?iU)" + rx), F.lit(False)) for n, rx in TIER2_PATTERNS.items()}
-    names = lambda found: F.array_compact(F.array(*(F.when(hit, F.lit(n)) for n, hit in found.items())))
-    out = df.withColumn("_person", person).withColumn("_three", names(three)).withColumn("_two", names(two))
+    words = keywords or Keywords()
+    person, three, two = _found(text, F.col(types_col) if types_col else None, words, fold_umlauts)
+    out = df.withColumn("_person", person).withColumn("_three", _names(three)).withColumn("_two", _names(two))
     tier = F.when((F.size("_three") > 0) & F.col("_person"), 3).when((F.size("_two") > 0) & F.col("_person"), 2).otherwise(1)
     out = out.withColumn("heuristic_tier", F.coalesce(tier, F.lit(2)))
     requested = F.col(level_col) if level_col else F.lit(None).cast("int")
     out = out.withColumn("tier", F.greatest(F.col("heuristic_tier"), F.coalesce(requested, F.lit(1))))
     out = out.withColumn("reasons", F.array_sort(F.concat("_three", "_two", F.when(F.col("_person"), F.array(F.lit("personenbezug"))).otherwise(F.array().cast("array<string>")))))
     if signals:
-        out = out.withColumn("matched_signals", F.array_compact(F.array(*(F.when(three[c], first_word(text, words)) for c, words in TIER3.items()), F.when(two["kontextwort"], first_word(text, TIER2_WORDS)))))
+        out = out.withColumn("matched_signals", F.array_compact(F.array(*(F.when(F.array_contains("_three", c), first_word(text, w)) for c, w in words.tier3.items()), F.when(F.array_contains("_two", "kontextwort"), first_word(text, words.tier2_words)))))
     return out.drop("_person", "_three", "_two")
 
 

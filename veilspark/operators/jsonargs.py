@@ -89,6 +89,7 @@ class Masker:
         self.patterns = list(patterns)
         self.known: dict[tuple[str, str], str] = {}
         self.counts: dict[str, int] = {}
+        self.found: set[str] = set()
 
     def detect(self, text: str) -> list[tuple[str, int, int, float]]:
         return [(e, m.start(), m.end(), s) for e, rx, s, check in self.patterns for m in rx.finditer(text) if m.end() > m.start() and (check is None or check(m.group()))]
@@ -96,6 +97,7 @@ class Masker:
     def mask(self, text: str) -> str:
         out, at = [], 0
         for kind, a, b, _ in sweep(self.detect(text)):
+            self.found.add(kind)
             key = (kind, text[a:b])
             if key not in self.known:
                 self.known[key] = f"<{kind}_{self.counts.get(kind, 0)}>"
@@ -104,6 +106,17 @@ class Masker:
             at = b
         return "".join(out) + text[at:]
 
+    def verified(self, made: str) -> tuple[str | None, str]:
+        bare = made
+        for p in sorted(self.known.values(), key=len, reverse=True):
+            bare = bare.replace(p, " ")
+        left = sorted({k for k, a, b, _ in self.detect(bare) if bare[a:b].strip()})
+        return (None, "blocked:left:" + ",".join(left)) if left else (made, "ok")
+
+    def plain(self, text: str) -> tuple[str | None, str]:
+        """(masked text, status) of a text that is no JSON."""
+        return self.verified(self.mask(text))
+
     def arguments(self, text: str) -> tuple[str | None, str]:
         """(masked text, status); unchanged arguments stay byte for byte, a hit that is left blocks."""
         try:
@@ -114,11 +127,7 @@ class Masker:
             else:
                 new = walk(tree, self.mask)
                 made = text if new == tree else json.dumps(new, ensure_ascii=False, allow_nan=False)
-            bare = made
-            for p in sorted(self.known.values(), key=len, reverse=True):
-                bare = bare.replace(p, " ")
-            left = sorted({k for k, a, b, _ in self.detect(bare) if bare[a:b].strip()})
-            return (None, "blocked:left:" + ",".join(left)) if left else (made, "ok")
+            return self.verified(made)
         except Blocked as e:
             return None, f"blocked:{e}"
 
@@ -172,6 +181,56 @@ def mask_request_arguments(df: DataFrame, entities: Iterable[str], column: str =
     return df.withColumn("_j", run(F.col(column))).select(*[c for c in df.columns if c not in ("masked", "json_status")], "_j.masked", "_j.json_status")
 
 
+_CALL = "struct<name:string,arguments:string>"
+
+
+def mask_calls(df: DataFrame, entities: Iterable[str], column: str = "calls") -> DataFrame:
+    """Each row a request with an array of calls (name, arguments) in their order: adds ``masked`` (the same array), ``entity_types`` (those found in each call's arguments and name) and ``json_status``.
+
+    Names are masked as plain text, arguments as JSON, all with one numbering.
+    A name in which something is left blocks like arguments do.
+    """
+    ship(df.sparkSession)
+    patterns = tuple(python_patterns(entities))
+
+    @F.pandas_udf(f"masked array<{_CALL}>, entity_types array<array<string>>, json_status string")
+    def run(lists: pd.Series) -> pd.DataFrame:
+        rows = []
+        for calls in lists:
+            masker = Masker(compiled(patterns))
+            made, kinds, bad = [], [], []
+            for c in calls if calls is not None else ():
+                masker.found = set()
+                parts = [(None, "ok") if c is None or c[k] is None else masker.plain(c[k]) if k == "name" else masker.arguments(c[k]) for k in ("name", "arguments")]
+                bad += [status for _, status in parts if status != "ok"]
+                made.append({"name": parts[0][0], "arguments": parts[1][0]})
+                kinds.append(sorted(masker.found))
+            rows.append(([] if bad else made, kinds, bad[0] if bad else "ok"))
+        return pd.DataFrame(rows, columns=["masked", "entity_types", "json_status"])
+
+    added = ("masked", "entity_types", "json_status")
+    return df.withColumn("_j", run(F.col(column))).select(*[c for c in df.columns if c not in added], *(f"_j.{c}" for c in added))
+
+
+def gate_calls(df: DataFrame, entities: Iterable[str], column: str = "calls", approved: str | None = None) -> DataFrame:
+    """``mask_calls`` behind the tiers: adds ``tier``, ``status`` and ``reason_code`` of each row's worst call.
+
+    The words of a tier are looked for in a call's whole raw arguments and in
+    its name, as a word and the person that it is about often stand in
+    different fields; a person may also be one of the types found anywhere in
+    the call.  A blocked row has an empty ``masked``.
+    """
+    from . import classify as C
+
+    masked = mask_calls(df, entities, column)
+    texts = F.flatten(F.zip_with(column, "entity_types", lambda c, t: F.array(F.struct(c["name"].alias("text"), t.alias("types")), F.struct(c["arguments"].alias("text"), t.alias("types")))))
+    tiers = F.transform(texts, lambda x: C.tier(F.coalesce(x["text"], F.lit("")), x["types"]))
+    gated = C.gate(masked.withColumn("tier", F.coalesce(F.array_max(tiers), F.lit(1))), approved)
+    reason = F.coalesce("reason_code", F.when(F.col("json_status") != "ok", F.col("json_status")))
+    gated = gated.withColumn("reason_code", reason).withColumn("status", F.when(reason.isNull(), "ok").otherwise("blocked"))
+    return gated.withColumn("masked", F.when(F.col("status") == "ok", F.col("masked")).otherwise(F.array().cast(f"array<{_CALL}>")))
+
+
 def reidentify_json(text: str, reid: dict[str, str]) -> str:
     """Placeholders in keys and values replaced; without any the text stays byte for byte, broken JSON is replaced as text."""
     names = sorted((p for p in reid if p in text), key=len, reverse=True)

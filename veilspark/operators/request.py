@@ -21,7 +21,7 @@ from . import spans as P
 ORDER = ("msg_idx", "field_idx")
 
 
-def mask_fields(fields: DataFrame, entities: Iterable[str] = D.ENTITIES, request: str = "request_id", text: str = "text", approved: str | None = None, threshold: int | None = 3) -> DataFrame:
+def mask_fields(fields: DataFrame, entities: Iterable[str] = D.ENTITIES, request: str = "request_id", text: str = "text", approved: str | None = None, threshold: int | None = 3, content: str | None = None) -> DataFrame:
     """(request, msg_idx, field_idx, masked, n_spans, status, reason_code) of every field.
 
     1. Every text is classified as it came; one field that the tiers block
@@ -29,6 +29,8 @@ def mask_fields(fields: DataFrame, entities: Iterable[str] = D.ENTITIES, request
     2. Spans are detected and their overlaps resolved.  Quasi-identifiers are
        pooled over the request: from ``threshold`` distinct types on they are
        generalised; below it, or at None, they are masked like all others.
+       ``content`` names a boolean column, false for fields beside the content
+       (names, arguments): theirs don't count and are always masked.
     3. Values are numbered over the whole request in the order of its fields.
     4. The masked text, without the placeholders that were given out, is
        searched again: what is found blocks the request.
@@ -38,16 +40,17 @@ def mask_fields(fields: DataFrame, entities: Iterable[str] = D.ENTITIES, request
     """
     entities = tuple(entities)
     key = [request, *ORDER]
-    told = C.gate(C.classify(fields.select(*key, F.col(text).alias("_t"), *([approved] if approved else [])), "_t"), approved)
-    found = D.detect(told.select(*key, "_t", "reason_code"), "_t", entities).withColumn("_s", P.resolve(P.valid(F.col("spans"), F.col("_t"))))
-    spans = found.select(*key, F.posexplode("_s").alias("_k", "_s"), "_t")
-    spans = spans.select(*key, "_k", F.col("_s.entity_type").alias("entity_type"), F.col("_s.start").alias("start"), F.col("_s.end").alias("end"), F.substring("_t", F.col("_s.start") + 1, F.col("_s.end") - F.col("_s.start")).alias("value"))
+    told = C.gate(C.classify(fields.select(*key, F.col(text).alias("_t"), *([approved] if approved else []), (F.coalesce(F.col(content), F.lit(True)) if content else F.lit(True)).alias("_c")), "_t"), approved)
+    found = D.detect(told.select(*key, "_t", "_c", "reason_code"), "_t", entities).withColumn("_s", P.resolve(P.valid(F.col("spans"), F.col("_t"))))
+    spans = found.select(*key, F.posexplode("_s").alias("_k", "_s"), "_t", "_c")
+    spans = spans.select(*key, "_k", "_c", F.col("_s.entity_type").alias("entity_type"), F.col("_s.start").alias("start"), F.col("_s.end").alias("end"), F.substring("_t", F.col("_s.start") + 1, F.col("_s.end") - F.col("_s.start")).alias("value"))
     named = P.number(spans, [request], [*ORDER, "start"])
     if threshold is not None:
-        kinds = F.collect_set(F.when(F.col("entity_type").isin(*Q.QI_TYPES), F.col("entity_type")))
+        kinds = F.collect_set(F.when(F.col("_c") & F.col("entity_type").isin(*Q.QI_TYPES), F.col("entity_type")))
         pooled = spans.groupBy(request).agg((F.size(kinds) >= max(1, threshold)).alias("_general"))
         general = Q.S.generalize(F.col("entity_type"), F.col("value"))
-        named = named.join(pooled, request).withColumn("placeholder", F.when(F.col("_general") & F.col("entity_type").isin(*Q.QI_TYPES), F.coalesce(general, F.col("value"))).otherwise(F.col("placeholder"))).withColumn("_given", ~(F.col("_general") & F.col("entity_type").isin(*Q.QI_TYPES)))
+        made = F.col("_general") & F.col("_c") & F.col("entity_type").isin(*Q.QI_TYPES)
+        named = named.join(pooled, request).withColumn("placeholder", F.when(made, F.coalesce(general, F.col("value"))).otherwise(F.col("placeholder"))).withColumn("_given", ~made)
     else:
         named = named.withColumn("_given", F.lit(True))
     made = named.groupBy(*key).agg(F.collect_list(F.struct("start", "end", "placeholder")).alias("_p"), F.array_compact(F.collect_set(F.when(F.col("_given"), F.col("placeholder")))).alias("_given"), F.array_compact(F.collect_set(F.when(~F.col("_given"), F.col("placeholder")))).alias("_told"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 from .detect import Pattern, quoted
+from .spans import mask_rows
 
 # Limits and default scores.
 SCORES = {"term": 0.9, "regex": 0.85}
@@ -127,6 +129,20 @@ def load(document: object) -> RuleSet:
     return out
 
 
+def safe_reason(name: str, kind: str, detail: str = "", secrets: Iterable[str] = ()) -> str:
+    """A reason for logs: the rule's name, what is wrong, and a detail without any of the secrets (longest first, so that none is left in part)."""
+    for s in sorted(filter(None, secrets), key=len, reverse=True):
+        detail = detail.replace(s, "[…]")
+    return f"rule {name!r}: {kind}" + (f" ({detail})" if detail else "")
+
+
+def preview(df: DataFrame, rules: list[Rule], text_col: str = "text", budget: float = BUDGET) -> DataFrame:
+    """What rules would do to texts: ``rule_spans``, ``rule_status``, ``masked`` and ``reid_map``; a blocked text has no masked one."""
+    done = mask_rows(scan(df, rules, text_col, budget), text_col, "rule_spans")
+    ok = F.col("rule_status") == "ok"
+    return done.withColumn("masked", F.when(ok, F.col("masked"))).withColumn("reid_map", F.when(ok, F.col("reid_map")))
+
+
 def native_patterns(rules: list[Rule]) -> list[Pattern]:
     """Reviewed rules as detector patterns, to run inside the JVM without a time limit."""
     return [Pattern(entity_type(r.entity), r.name, r.pattern, r.score, "(?msU)" if r.case_sensitive else "(?imsU)") for r in rules]

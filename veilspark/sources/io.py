@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import rules as R
+from ..operators.classify import Keywords
+from ..operators.jsonargs import Masker
 
 # Call types that are processed.
 CALL_TYPES = ("completion", "text_completion", "acompletion")
@@ -123,11 +125,39 @@ class RuleFile:
             raise R.RuleError("no such rule")
         self.save(left)
 
+    def preview(self, text: str) -> tuple[list[dict], str]:
+        """(findings of the active rules by place, the text as it would leave); a text whose scan takes too long is refused."""
+        named = {(R.entity_type(r.entity), r.compiled().pattern): r.name for r in self.get().active}
+        patterns = [(R.entity_type(r.entity), r.compiled(), r.score) for r in self.rules.active]
+        found = R.scan_text(patterns, text)
+        if found is None:
+            raise R.RuleError("the scan takes too long")
+        hits = [{"name": named[k, rx.pattern], "entity_type": k, "start": a, "end": b} for kind, rx, score in patterns for k, a, b, _ in R.scan_text([(kind, rx, score)], text) or ()]
+        return sorted(hits, key=lambda h: (h["start"], h["end"], h["name"])), Masker((k, rx, s, None) for k, rx, s in patterns).mask(text)
+
     def describe(self) -> dict:
         rules = self.get()
         return {"active": [{"name": r.name, "entity": R.entity_type(r.entity), "type": r.kind, "score": r.score} for r in rules.active], "quarantined": [{"name": n, "reason": w} for n, w in rules.quarantined], "load_error": self.error, "permission_warning": self.permission_warning()}
 
 
+def keywords(path: str | os.PathLike | None = None, variable: str = "SENSITIVITY_KEYWORDS_PATH") -> Keywords:
+    """Keyword lists of the classification: from ``path``, else from the file that an environment variable names, else the built-in ones.
+
+    The document has ``tier3_special_categories`` (lists by category),
+    ``tier2_context_words``, ``tier2_patterns`` (by name),
+    ``person_linking_entities`` and ``person_indicators``.  A file that can't
+    be read, a missing or empty list is an error: nothing is classified blindly.
+    """
+    chosen = path or os.environ.get(variable)
+    if not chosen:
+        return Keywords()
+    try:
+        raw = _parse(Path(chosen).read_text(encoding="utf-8"))
+        return Keywords.of(raw)
+    except (OSError, ValueError) as e:
+        raise ValueError(f"keyword lists can't be used ({type(e).__name__})") from e
+
+
 def _parse(text: str) -> object:
     try:
         import yaml
