@@ -23,7 +23,8 @@ _LIMIT = 0x250
 _LETTER, _NUMBER, _OTHER, _SPACE = 0, 1, 2, 3
 _BLANKS = (*range(9, 14), 32, 0x85, 0xA0)
 _CLASS = np.array([_SPACE if c in _BLANKS else {"L": _LETTER, "N": _NUMBER}.get(unicodedata.category(chr(c))[0], _OTHER) for c in range(_LIMIT)], dtype=np.uint8)
-_SLICE = 1 << 21
+#: Code points handled at once (a longer text is a slice of its own); the temporary arrays of a slice take about 100 bytes for each.
+_SLICE = 1 << 19
 _POW = _powers(_BASE, _SLICE + 1)
 _INV = _powers(pow(_BASE, -1, 1 << 64), _SLICE + 1)
 _HASH = splitmix(np.arange(_LIMIT, dtype=_U))
