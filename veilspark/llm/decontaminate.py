@@ -38,6 +38,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..session import ship
 from . import kernel
+from .common import lean
 from .toxicity import LETTERS
 
 SHINGLE = 5
@@ -228,6 +229,7 @@ def find(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, id
 
     arrow = to_arrow_schema(schema)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = shared.value
         for b in batches:
@@ -253,6 +255,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, t
     names = docs.columns
     at, length_at = names.index(text_col), names.index(length_col) if length_col in names else -1
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = shared.value
         for b in batches:

@@ -49,7 +49,7 @@ from pyspark.sql import types as T
 
 from ..session import ship
 from . import kernel
-from .common import discard, stored
+from .common import discard, lean, stored
 from .components import components
 
 LEAF = 32
@@ -91,6 +91,7 @@ def bucket_levels(docs: DataFrame, size: int) -> np.ndarray:
     """
     wide = BUCKETS // CHUNKS
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, dtype=np.int64)
         for b in batches:
@@ -276,6 +277,7 @@ def _possible(na: np.ndarray, nb: np.ndarray, maps_a: pa.Array, maps_b: pa.Array
 def possible(pairs: DataFrame, marks: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) that the coarse bitmaps (a bit a shingle at least) do not rule out: a few hundredths of the bytes of whole sets, and most pairs of small groups end here."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = pa.array(_possible(batch.column(2).to_numpy(), batch.column(3).to_numpy(), batch.column(4), batch.column(5), num, den))
@@ -293,6 +295,7 @@ def _ends(pairs: DataFrame) -> DataFrame:
 def whole_sets(ids: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     """(doc_id, shingles) of the texts of ``ids``: the hashes of the whole set, ascending, 8 bytes each."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for first, h, at in _sets(b.column(1), size):
@@ -329,6 +332,7 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
 def _small(num: int, den: int):
     """Pairs of groups of one leaf: rows (key, n, pos, doc_id), sorted."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_groups(batches, 1, 200_000):
             key, n, pos, ids = (table.column(k).to_numpy() for k in range(4))
@@ -353,6 +357,7 @@ def _small(num: int, den: int):
 def _large(best: int, num: int, den: int):
     """Pairs of larger groups: rows (key, lo, hi, part, n, doc_id, comp, bits), sorted; ``best``: only each record's so many likeliest, or all at 0."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         for table in _whole_groups(batches, 3, 4096):
@@ -493,6 +498,7 @@ def link_counts(comps: DataFrame, weights: DataFrame, sets: DataFrame, num: int,
     lo, hi = F.least("own", "other"), F.greatest("own", "other")
     rows = rows.select("component", lo.alias("lo"), hi.alias("hi"), F.col("own").alias("own"), "doc_id", "copies", "shingles")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_groups(batches, 3, 512):
             comp, lo, hi, own, ids, copies = (table.column(k).to_numpy() for k in range(6))
@@ -525,6 +531,7 @@ def join(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, id_col:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
     shared = docs.sparkSession.sparkContext.broadcast(bucket_levels(rows, size))  # a byte a bucket
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = shared.value
         for b in batches:

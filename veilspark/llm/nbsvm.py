@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from . import kernel
 from ..session import ship
-from .common import give_back, held_out, labelled_sample
+from .common import give_back, held_out, labelled_sample, lean
 
 MAX_EXAMPLES = 6000
 BITS = 18
@@ -173,6 +173,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", bound: int
     """Fit on at most ``bound`` labelled rows of the training folds."""
     ship(docs.sparkSession)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for first, ids, at in features(b.column("text")):
@@ -209,6 +210,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 ** BITS weights, whatever the input
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for first, s in _scored(b.column("text"), shared.value):
@@ -225,6 +227,7 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFram
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for first, s in _scored(b.column(at), shared.value):

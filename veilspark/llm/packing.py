@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from .bpe import PieceEncoder
 from ..session import ship
-from .common import stored
+from .common import lean, stored
 
 OPEN = 16
 MIN_CUT = 8
@@ -104,6 +104,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, i
         + [T.StructField("_open", T.BooleanType()), T.StructField("_group", T.IntegerType())]
     )
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 

@@ -40,7 +40,7 @@ from pyspark.sql import types as T
 
 from ..session import ship
 from . import kernel
-from .common import give_back, held_out, labelled_sample
+from .common import give_back, held_out, labelled_sample, lean
 from .nbsvm import logistic_fit
 
 MAX_EXAMPLES = 6_000
@@ -289,6 +289,7 @@ def document_frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray
     """Document frequency of each term, and the number of documents, over all of ``docs``: counted per task, then added up."""
     shared = docs.sparkSession.sparkContext.broadcast(terms)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = shared.value
         total, n = np.zeros(len(terms), dtype=np.int64), 0
@@ -312,6 +313,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int =
     ship(docs.sparkSession)
     sample = labelled_sample(docs, labels, label, bound).select("doc_id", F.col("text").cast("string").alias("text"), "label")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for w in kernel.words(b.column("text"), LETTERS):
@@ -372,6 +374,7 @@ def score(docs: DataFrame, judge: Judge, threshold: float = 0.3) -> DataFrame:
     ship(spark)
     shared = spark.sparkContext.broadcast(judge)  # bounded by MAX_EXAMPLES texts
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = shared.value
         for b in batches:
@@ -395,6 +398,7 @@ def keep_clean(docs: DataFrame, judge: Judge, threshold: float = 0.3) -> DataFra
     shared = docs.sparkSession.sparkContext.broadcast(judge)
     at = docs.columns.index("text")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for first, scores, _, _, _ in _judged(b.column(at), shared.value, 2.0):
