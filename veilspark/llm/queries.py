@@ -1,11 +1,11 @@
-"""The ten operators over their whole tables, as registered queries, and the SQL that checks those that SQL can express."""
+"""The operators over their whole tables, as registered queries, and the SQL that checks those that SQL can express."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, imatch, jaccard_join, license_scan, nbsvm, packing, sharding, toxicity, url_filter
+from . import decontaminate, filter_audit, hard_negatives, html_extract, imatch, jaccard_join, license_scan, nbsvm, packing, sharding, toxicity, url_filter
 from .common import read
 
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -61,13 +61,22 @@ def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.match(read(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label=label)
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_html_text, op3_toxicity, op4_decontamination, op5_shards, op6_url_filter, op7_license_scan, op8_packing, op9_jaccard_join, op10_imatch, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_html_text, op3_toxicity, op4_decontamination, op5_shards, op6_url_filter, op7_license_scan, op8_packing, op9_jaccard_join, op10_imatch, op11_hard_negatives, op13_filter_audit, pipeline)}
 
 ORACLES = {
     # longest rule first; a rule fits its host and every subdomain when the path starts with its path
@@ -92,4 +101,56 @@ ORACLES = {
         SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.org/es/', 'example.org/en/1', 'com/de/') THEN 'block' ELSE 'allow' END AS verdict
         FROM judged
     """,
+    # all anchors against all rows, positives and negatives by window
+    "op11_hard_negatives": """
+        WITH v AS (
+            SELECT vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label,
+                   list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT a.vec_id AS anchor_id, c.vec_id AS id, a.label = c.label AS same, CAST(list_inner_product(a.e, c.e) AS BIGINT) AS score
+            FROM v a JOIN v c ON a.vec_id % 50 = 0 AND a.vec_id <> c.vec_id
+        ), p AS (
+            SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+        ), n AS (
+            SELECT p.anchor_id, p.positive_id, p.positive_score, s.id AS negative_id, s.score AS negative_score,
+                   CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.id) AS INTEGER) AS rank
+            FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 50 * p.positive_score <= 100 * s.score AND 100 * s.score <= 95 * p.positive_score
+        )
+        SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+    """,
+    # every order is played step by step on the documents' own masks; the Shapley sum is the sum over all orders
+    "op13_filter_audit": """
+        WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents
+        ), w AS (SELECT *, list_filter(string_split_regex(text, '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> '') AS words FROM d
+        ), f AS (
+            SELECT doc_id, part,
+                   CAST(len(words) < 200 AS INTEGER) AS a, CAST(100 * len(list_distinct(words)) < 50 * len(words) AS INTEGER) AS b,
+                   CAST(100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 3 * length(text) AS INTEGER) AS c,
+                   CAST(regexp_matches(text, '[#$%&*|]') AS INTEGER) AS d, CAST(coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), FALSE) AS INTEGER) AS e
+            FROM w
+        ), l AS (SELECT doc_id, max(quality) AS q, max(toxic) AS t FROM labels GROUP BY doc_id
+        ), m AS (
+            SELECT part, [a, b, c, d, e] AS fails, a + b + c + d + e AS n_fails, count(*) AS n, count(CASE WHEN q = 1 THEN 1 END) AS good, count(CASE WHEN t = 1 THEN 1 END) AS toxic
+            FROM f LEFT JOIN l ON f.doc_id = l.doc_id GROUP BY ALL
+        ), x(i) AS (VALUES (1), (2), (3), (4), (5)
+        ), o AS (
+            SELECT [x1.i, x2.i, x3.i, x4.i, x5.i] AS p FROM x x1, x x2, x x3, x x4, x x5
+            WHERE len(list_distinct([x1.i, x2.i, x3.i, x4.i, x5.i])) = 5
+        ), t AS (SELECT p, array_to_string(list_transform(p, lambda i: substr('ABCDE', i, 1)), '') AS filter_order, x.i AS step FROM o, x
+        ), g AS (
+            SELECT part, filter_order, step, p[step] AS own, n, n_fails, good, toxic, fails[p[step]] = 1 AS failed,
+                   coalesce(list_max(list_transform(p[1:step - 1], lambda i: fails[i])), 0) = 1 AS gone
+            FROM m, t
+        ), r AS (
+            SELECT part, filter_order, step, any_value(own) AS own, CAST(sum(CASE WHEN NOT gone AND NOT failed THEN n ELSE 0 END) AS BIGINT) AS kept,
+                   CAST(sum(CASE WHEN NOT gone AND failed THEN n ELSE 0 END) AS BIGINT) AS removed, CAST(sum(CASE WHEN gone AND failed THEN n ELSE 0 END) AS BIGINT) AS redundant,
+                   CAST(sum(CASE WHEN failed AND n_fails = 1 THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+                   CAST(sum(CASE WHEN NOT gone AND failed THEN good ELSE 0 END) AS BIGINT) AS good_lost, CAST(sum(CASE WHEN NOT gone AND failed THEN toxic ELSE 0 END) AS BIGINT) AS toxic_lost
+            FROM g GROUP BY part, filter_order, step
+        )
+        SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM r
+    """,
 }
