@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, filter_audit, hard_negatives, html_extract, imatch, jaccard_join, license_scan, nbsvm, packing, sharding, toxicity, url_filter
+from . import decontaminate, filter_audit, hard_negatives, html_extract, imatch, jaccard_join, license_scan, nbsvm, packing, sharding, substring_dedup, toxicity, url_filter
 from .common import read
 
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -66,6 +66,10 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label=label)
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digests(read(spark, sf_dir, "documents"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -76,7 +80,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_html_text, op3_toxicity, op4_decontamination, op5_shards, op6_url_filter, op7_license_scan, op8_packing, op9_jaccard_join, op10_imatch, op11_hard_negatives, op13_filter_audit, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_html_text, op3_toxicity, op4_decontamination, op5_shards, op6_url_filter, op7_license_scan, op8_packing, op9_jaccard_join, op10_imatch, op11_hard_negatives, op12_substring_dedup, op13_filter_audit, pipeline)}
 
 ORACLES = {
     # longest rule first; a rule fits its host and every subdomain when the path starts with its path
@@ -121,6 +125,21 @@ ORACLES = {
         )
         SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
     """,
+    # windows of 35 words by doubling, their counts, and the words that no repeated window covers
+    "op12_substring_dedup": """
+        WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> '') AS words FROM documents
+        ), w AS (SELECT doc_id, unnest(words) AS w, unnest(range(1, len(words) + 1)) AS i FROM d
+        ), w2 AS (SELECT doc_id, i, w, w || ' ' || lead(w, 1) OVER o AS b FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+        ), w4 AS (SELECT *, b || ' ' || lead(b, 2) OVER o AS c FROM w2 WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+        ), w8 AS (SELECT *, c || ' ' || lead(c, 4) OVER o AS e FROM w4 WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+        ), w16 AS (SELECT *, e || ' ' || lead(e, 8) OVER o AS f FROM w8 WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+        ), w35 AS (SELECT doc_id, i, w, f || ' ' || lead(f, 16) OVER o || ' ' || lead(b, 32) OVER o || ' ' || lead(w, 34) OVER o AS x FROM w16 WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+        ), r AS (SELECT doc_id, i, w, coalesce(count(x) OVER (PARTITION BY x) > 1, FALSE) AND x IS NOT NULL AS again FROM w35
+        ), c AS (SELECT doc_id, i, w, coalesce(max(CAST(again AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW), 0) = 1 AS gone FROM r
+        ), k AS (SELECT doc_id, count(*) AS n_words, count(CASE WHEN gone THEN 1 END) AS n_removed, coalesce(string_agg(CASE WHEN NOT gone THEN w END, ' ' ORDER BY i), '') AS kept FROM c GROUP BY doc_id
+        )
+        SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k ON d.doc_id = k.doc_id
+    """,
     # every order is played step by step on the documents' own masks; the Shapley sum is the sum over all orders
     "op13_filter_audit": """
         WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents
