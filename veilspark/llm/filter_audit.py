@@ -27,6 +27,8 @@ from math import factorial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 FILTERS = "ABCDE"
 #: Of each row: a seed that the second half of a text's 128-bit identity starts from.
 _SEED = 0x51F15EED
@@ -64,7 +66,8 @@ def failures(docs: DataFrame) -> DataFrame:
     )
     told = told.select("doc_id", "part", "_h1", "_h2", (F.col("_w.n") < 200).alias("A"), (100 * F.col("_w.d").cast("long") < 50 * F.col("_w.n").cast("long")).alias("B"), (100 * F.col("_upper").cast("long") > 3 * F.col("_n").cast("long")).alias("C"), "D")
     first = docs.where(F.col("doc_id").isNotNull()).select("doc_id", h1.alias("_h1"), h2.alias("_h2")).groupBy("_h1", "_h2").agg(F.min("doc_id").alias("_first"), F.count("*").alias("_copies")).where("_copies > 1")
-    joined = told.join(first, ["_h1", "_h2"], "left")
+    # written first: a join with it may be split where one text holds very many rows
+    joined = told.join(stored(first.select("_h1", "_h2", "_first"), "firsts"), ["_h1", "_h2"], "left")
     return joined.select("doc_id", "part", "A", "B", "C", "D", F.coalesce(F.col("doc_id") > F.col("_first"), F.lit(False)).alias("E"))
 
 
