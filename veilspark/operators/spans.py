@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,6 +114,67 @@ def mask_rows(df: DataFrame, text_col: str = "text", spans_col: str = "spans") -
     return done.withColumn("reid_map", reid).drop("_r", "_v", "_d", "_p")
 
 
+_NUMBERED = "struct<masked:array<string>,reid_map:array<struct<placeholder:string,value:string>>>"
+
+
+def masked_tokens(tokens: list[dict]) -> tuple[list[str | None], dict[str, str]]:
+    """Masked texts of a request's tokens (text, spans) and its map: one numbering by first occurrence.
+
+    Spans with a ``general`` form get that form and no number; where one of them
+    overlaps a span without, it is left to that one.
+    """
+    known: dict[tuple[str, str], str] = {}
+    counts: dict[str, int] = {}
+    out: list[str | None] = []
+    for token in tokens:
+        text = token["text"]
+        if text is None:
+            out.append(None)
+            continue
+        fit = [s for s in token["spans"] or () if s["entity_type"] and 0 <= s["start"] < s["end"] <= len(text)]
+        direct = sweep([(s["entity_type"], s["start"], s["end"], s["score"]) for s in fit if s.get("general") is None])
+        general = {(s["start"], s["end"], s["entity_type"]): s["general"] for s in fit if s.get("general") is not None}
+        puts = [(a, b, kind, None) for kind, a, b, _ in direct]
+        if general:
+            quasi = sweep([(s["entity_type"], s["start"], s["end"], s["score"]) for s in fit if s.get("general") is not None])
+            at = 0
+            for kind, a, b, _ in quasi:
+                while at < len(direct) and direct[at][2] <= a:
+                    at += 1
+                if at == len(direct) or direct[at][1] >= b:
+                    puts.append((a, b, kind, general.get((a, b, kind))))  # a union wider than its best span gets a placeholder
+            puts.sort()
+        parts, end = [], 0
+        for a, b, kind, made in puts:
+            if made is None:
+                value = (kind, text[a:b])
+                if value not in known:
+                    known[value] = f"<{kind}_{counts.get(kind, 0)}>"
+                    counts[kind] = counts.get(kind, 0) + 1
+                made = known[value]
+            parts += [text[end:a], made]
+            end = b
+        out.append("".join([*parts, text[end:]]) if parts else text)
+    return out, {placeholder: value for (_, value), placeholder in known.items()}
+
+
+def numbered(df: DataFrame, tokens: str, out: str) -> DataFrame:
+    """Adds ``out`` (masked, reid_map) of an array of tokens, each a struct of a text and its spans; a null array has none.  Linear in texts and spans."""
+    ship(df.sparkSession)
+
+    @F.arrow_udf(_NUMBERED)
+    def run(rows: pa.Array) -> pa.Array:
+        made = []
+        for row in rows.to_pylist():
+            masked, known = masked_tokens(row or [])
+            made.append({"masked": masked, "reid_map": [{"placeholder": p, "value": v} for p, v in known.items()]})
+        return pa.array(made, pa.struct([("masked", pa.list_(pa.string())), ("reid_map", pa.list_(pa.struct([("placeholder", pa.string()), ("value", pa.string())])))]))
+
+    # neither the tokens nor the result may be copied into other columns, where Python can't run: what isn't deterministic stays where it is
+    held = df.withColumn(tokens, F.when(F.monotonically_increasing_id() >= 0, F.col(tokens)))
+    return held.withColumn(out, run.asNondeterministic()(F.col(tokens)))
+
+
 def reidentify(text: Column, reid_map: Column) -> Column:
     """Placeholders replaced by their values one after the other, longest placeholder first; unknown ones stay."""
     ordered = F.transform(F.array_sort(F.transform(reid_map, lambda m: F.struct((-F.length(m["placeholder"])).alias("n"), m["placeholder"].alias("p"), m["value"].alias("v")))), lambda x: x)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
@@ -100,6 +101,109 @@ def reidentify_stream(deltas: DataFrame, reid: dict[str, str], escaped: dict[str
     )
 
 
+_UNION = ["stream_id", "seq", "channel", "call_index", "text", "finish_reason", "placeholder", "value"]
+_SAID = "stream_id string, channel string, call_index int, seq long, text string, finish_reason string"
+
+
+class KeyedReidentifier(StatefulProcessor):
+    """Per stream: its own map, and what is held back in each of its channels.
+
+    The map comes as rows of the stream, in the batch of its first delta or
+    before (or as initial state), and may leave the state after some time.  A row without a channel is an end without text: it flushes
+    every channel.  A channel that has nothing to say keeps its row, so that
+    chunks of other kinds pass through.
+    """
+
+    def __init__(self, idle_ms: int | None, keep_ms: int | None):
+        self.idle_ms, self.keep_ms = idle_ms, keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.reid = handle.getMapState("reid", "placeholder string", "value string", self.keep_ms)
+        self.held = handle.getMapState("held", "channel string, call_index int", "text string")
+
+    def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues) -> None:
+        for placeholder, value in zip(initialState["placeholder"], initialState["value"], strict=True):
+            if placeholder is not None and value is not None:
+                self.reid.updateValue((placeholder,), (value,))
+
+    def _maps(self) -> tuple[dict[str, str], dict[str, str]]:
+        plain = {k[0]: v[0] for k, v in self.reid.iterator()}
+        return plain, {k: json.dumps(v, ensure_ascii=False)[1:-1] for k, v in plain.items()}
+
+    def _windows(self) -> dict[tuple, str]:
+        return {(k[0], k[1]): v[0] for k, v in self.held.iterator()}
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        part = pd.concat(list(rows))
+        told = part[part["placeholder"].notna() & part["value"].notna()]
+        for placeholder, value in zip(told["placeholder"], told["value"], strict=True):
+            self.reid.updateValue((placeholder,), (value,))
+        plain, escaped = self._maps()
+        held, windows, out = self._windows(), {}, []
+
+        def window(channel: str, call: int) -> Window:
+            if (channel, call) not in windows:
+                windows[channel, call] = Window(escaped if channel == "arguments" else plain, held.get((channel, call), ""))
+            return windows[channel, call]
+
+        for seq, channel, call, text, reason in part[part["placeholder"].isna()].sort_values("seq", kind="stable")[["seq", "channel", "call_index", "text", "finish_reason"]].itertuples(index=False):
+            call, text, reason = (None if pd.isna(x) else x for x in (call, text, reason))
+            if channel is None or pd.isna(channel):
+                if reason:  # the stream's end: whatever is held is said before it
+                    out += [(key[0], c, n if n >= 0 else None, seq, window(c, n).flush(), None) for c, n in sorted({*held, *windows}) if window(c, n).held]
+                out.append((key[0], None, None, seq, text, reason))
+                continue
+            own = window(channel, -1 if call is None else int(call))
+            said = None if text is None else own.feed(text)
+            if reason:
+                said = (said or "") + own.flush()
+            out.append((key[0], channel, None if call is None else int(call), seq, said, reason))
+        for name, w in windows.items():
+            if w.held:
+                self.held.updateValue(name, (w.held,))
+            elif name in held:
+                self.held.removeKey(name)
+        if self.idle_ms is not None:
+            for old in list(self.handle.listTimers()):
+                self.handle.deleteTimer(old)
+            if any(w.held for w in windows.values()) or set(held) - set(windows):
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
+        yield self._frame(out)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        plain, escaped = self._maps()
+        out = [(key[0], c, n if n >= 0 else None, None, Window(escaped if c == "arguments" else plain, rest).flush(), "idle") for (c, n), rest in sorted(self._windows().items())]
+        self.held.clear()
+        yield self._frame(out)
+
+    @staticmethod
+    def _frame(rows: list[tuple]) -> pd.DataFrame:
+        frame = pd.DataFrame(rows, columns=_DELTA)
+        return frame.astype({"call_index": "Int32", "seq": "Int64"})
+
+    def close(self) -> None:
+        pass
+
+
+def reidentify_streams(deltas: DataFrame, maps: DataFrame, idle_ms: int | None = None, keep_ms: int | None = None, initial: DataFrame | None = None) -> DataFrame:
+    """Deltas (stream_id, channel, call_index, seq, text, finish_reason) restored with the map of their own stream.
+
+    ``maps`` has rows (stream_id, placeholder, value) and may be a stream like
+    the deltas; ``initial`` are such rows of streams that are open when the
+    query starts.  A delta whose stream has no map passes as it is: a
+    placeholder that stays is no leak.  Maps leave the state ``keep_ms`` after
+    they were written; without it and ``idle_ms`` the query needs no clock, and
+    can end by itself.  Otherwise like ``reidentify_stream``.
+    """
+    none = lambda kind: F.lit(None).cast(kind)
+    kinds = dict(stream_id="string", seq="long", channel="string", call_index="int", text="string", finish_reason="string", placeholder="string", value="string")
+    left = deltas.select(*(F.col(c).cast(kinds[c]) if c in deltas.columns else none(kinds[c]).alias(c) for c in _UNION))
+    right = maps.select(*(F.col(c).cast(kinds[c]) if c in ("stream_id", "placeholder", "value") else none(kinds[c]).alias(c) for c in _UNION))
+    opened = initial.groupBy("stream_id") if initial is not None else None
+    return left.unionByName(right).groupBy("stream_id").transformWithStateInPandas(KeyedReidentifier(idle_ms, keep_ms), _SAID, "Append", "none" if idle_ms is None and keep_ms is None else "processingTime", initialState=opened)
+
+
 def reassemble(deltas: DataFrame, keys: list[str], seq: str = "seq", text: str = "text") -> DataFrame:
     """Batch form: the whole text of each stream."""
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(seq, text))), lambda s: s[text]), "")
