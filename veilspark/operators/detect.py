@@ -23,6 +23,8 @@ class Pattern:
     score: float
     flags: str = FLAGS
     check: Callable[[Column], Column] | None = None
+    #: What any text with a match holds, cheap to look for; "" where nothing is.
+    needs: str = ""
 
 
 # Patterns and scores.
@@ -52,29 +54,30 @@ def deny_list(terms: Iterable[str]) -> str:
     return r"(?<!\w)(?:" + "|".join(quoted(t) for t in sorted(terms, key=lambda t: (-len(t), t))) + r")(?!\w)"
 
 
+_DIGIT, _BIRTH = r"(?U)\d", "(?iU)geb|jahrgang"
 PATTERNS = (
-    Pattern("DE_STEUER_ID", "tax_id", r"\b\d{2}[ ]?\d{3}[ ]?\d{3}[ ]?\d{3}\b", 0.4),
-    Pattern("DE_SOZIALVERSICHERUNG", "social_security", r"\b\d{2}[ ]?\d{6}[ ]?[A-Z][ ]?\d{3}\b", 0.6),
-    Pattern("DE_HANDELSREGISTER", "register", r"\bHR[AB][ ]?\d{1,6}\b", 0.7),
-    Pattern("DE_KFZ_KENNZEICHEN", "plate", r"\b[A-ZÄÖÜ]{1,3}-[A-Z]{1,2}[ ]?\d{1,4}\b", 0.5),
-    Pattern("DE_STRASSE", "street_one_word", _NAME + r"(?:straße|strasse|str\.|weg|allee|platz|gasse|ring|damm|ufer|steig|chaussee|pfad)" + _HOUSE, 0.85),
-    Pattern("DE_STRASSE", "street_two_words", _NAME + r"[ ](?:straße|strasse|allee|platz|gasse|ring|damm|ufer|steig|chaussee|pfad)" + _HOUSE, 0.4),
-    Pattern("DE_PLZ", "postal_code", r"\b\d{5}\b", 0.35),
-    Pattern("DE_GEBURTSJAHR", "birth_year", r"(?<=(?:geboren|jahrgang|geburtsjahr|geb\.)[ ]{0,4})(?:19\d{2}|20[0-2]\d)\b", 0.6),
-    Pattern("DE_GEBURTSDATUM", "birth_date", r"(?<=(?:geboren(?:[ ]{1,8}am)?|geburtsdatum|geb\.)[ :]{0,4})\d{1,2}\.\d{1,2}\.(?:\d{4}|\d{2})\b", 0.65),
-    Pattern("DE_TVOED_STUFE", "pay_grade", r"\b(?:TVöD|TVoeD|TV-L|Besoldungsgruppe|Entgeltgruppe|BesGr)[ ]*[A-W]?[ ]?\d{1,2}\b", 0.6),
-    Pattern("DE_TVOED_STUFE", "pay_grade_short", r"\b(?:EG|E|A|B|R|W)[ ]?\d{1,2}\b", 0.3),
+    Pattern("DE_STEUER_ID", "tax_id", r"\b\d{2}[ ]?\d{3}[ ]?\d{3}[ ]?\d{3}\b", 0.4, needs=_DIGIT),
+    Pattern("DE_SOZIALVERSICHERUNG", "social_security", r"\b\d{2}[ ]?\d{6}[ ]?[A-Z][ ]?\d{3}\b", 0.6, needs=_DIGIT),
+    Pattern("DE_HANDELSREGISTER", "register", r"\bHR[AB][ ]?\d{1,6}\b", 0.7, needs=_DIGIT),
+    Pattern("DE_KFZ_KENNZEICHEN", "plate", r"\b[A-ZÄÖÜ]{1,3}-[A-Z]{1,2}[ ]?\d{1,4}\b", 0.5, needs=_DIGIT),
+    Pattern("DE_STRASSE", "street_one_word", _NAME + r"(?:straße|strasse|str\.|weg|allee|platz|gasse|ring|damm|ufer|steig|chaussee|pfad)" + _HOUSE, 0.85, needs=_DIGIT),
+    Pattern("DE_STRASSE", "street_two_words", _NAME + r"[ ](?:straße|strasse|allee|platz|gasse|ring|damm|ufer|steig|chaussee|pfad)" + _HOUSE, 0.4, needs=_DIGIT),
+    Pattern("DE_PLZ", "postal_code", r"\b\d{5}\b", 0.35, needs=_DIGIT),
+    Pattern("DE_GEBURTSJAHR", "birth_year", r"(?<=(?:geboren|jahrgang|geburtsjahr|geb\.)[ ]{0,4})(?:19\d{2}|20[0-2]\d)\b", 0.6, needs=_BIRTH),
+    Pattern("DE_GEBURTSDATUM", "birth_date", r"(?<=(?:geboren(?:[ ]{1,8}am)?|geburtsdatum|geb\.)[ :]{0,4})\d{1,2}\.\d{1,2}\.(?:\d{4}|\d{2})\b", 0.65, needs=_BIRTH),
+    Pattern("DE_TVOED_STUFE", "pay_grade", r"\b(?:TVöD|TVoeD|TV-L|Besoldungsgruppe|Entgeltgruppe|BesGr)[ ]*[A-W]?[ ]?\d{1,2}\b", 0.6, needs=_DIGIT),
+    Pattern("DE_TVOED_STUFE", "pay_grade_short", r"\b(?:EG|E|A|B|R|W)[ ]?\d{1,2}\b", 0.3, needs=_DIGIT),
     Pattern("DE_GENDER", "gender", deny_list(GENDERS), 0.9),
     Pattern("DE_BERUF", "profession", deny_list(PROFESSIONS), 0.7),
-    Pattern("DE_AKTENZEICHEN", "court_reference", r"\b(?:\d{1,4}|[IVX]{1,4})[ ][A-ZÄÖÜ][A-Za-zÄÖÜ]{0,4}[ ]\d{1,5}/\d{2,4}\b", 0.55),
-    Pattern("DE_AKTENZEICHEN", "office_reference", r"\b\d{1,4}-\d{1,6}\.\d{1,3}-\d{1,3}/\d{1,4}\b", 0.5),
+    Pattern("DE_AKTENZEICHEN", "court_reference", r"\b(?:\d{1,4}|[IVX]{1,4})[ ][A-ZÄÖÜ][A-Za-zÄÖÜ]{0,4}[ ]\d{1,5}/\d{2,4}\b", 0.55, needs=_DIGIT),
+    Pattern("DE_AKTENZEICHEN", "office_reference", r"\b\d{1,4}-\d{1,6}\.\d{1,3}-\d{1,3}/\d{1,4}\b", 0.5, needs=_DIGIT),
     Pattern("DE_FIRMA", "company", rf"\b(?-i:{_CAPITAL}(?:[ ]+(?:&[ ]+)?{_CAPITAL}){{0,4}})[ ]+(?-i:{_FORMS})(?![A-Za-zÄÖÜäöüß])", 0.6),
     # approximations of what external recognisers find
-    Pattern("EMAIL_ADDRESS", "email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", 1.0, ""),
-    Pattern("PHONE_NUMBER", "phone", r"(?:\+|0)[0-9](?:[ /()-]{0,2}[0-9]){6,13}", 0.4, ""),
-    Pattern("IBAN_CODE", "iban", r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?", 1.0, "", S.iban_ok),
-    Pattern("CREDIT_CARD", "card", r"[0-9](?:[ -]?[0-9]){12,18}", 1.0, "", S.luhn_ok),
-    Pattern("IP_ADDRESS", "ipv4", r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}", 0.95, "", S.ipv4_ok),
+    Pattern("EMAIL_ADDRESS", "email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", 1.0, "", needs="@"),
+    Pattern("PHONE_NUMBER", "phone", r"(?:\+|0)[0-9](?:[ /()-]{0,2}[0-9]){6,13}", 0.4, "", needs=_DIGIT),
+    Pattern("IBAN_CODE", "iban", r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?", 1.0, "", S.iban_ok, needs=_DIGIT),
+    Pattern("CREDIT_CARD", "card", r"[0-9](?:[ -]?[0-9]){12,18}", 1.0, "", S.luhn_ok, needs=_DIGIT),
+    Pattern("IP_ADDRESS", "ipv4", r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}", 0.95, "", S.ipv4_ok, needs=_DIGIT),
 )
 # Words that raise a score when they stand near.
 CONTEXT = {
@@ -94,15 +97,18 @@ CONTEXT = {
 ENTITIES = tuple(dict.fromkeys(p.entity for p in PATTERNS))
 
 
-def matches(text: Column, regex: str) -> Column:
+#: Hits whose offsets are made in one go.
+BLOCK = 256
+
+
+def matches(text: Column, regex: str, needs: str = "") -> Column:
     """array<struct<value,start,end>> of all matches, with code-point offsets and no UDF.
 
     The pieces between matches and the matches themselves alternate, so running
-    lengths give the offsets.
+    lengths give the offsets.  ``needs`` is a pattern that any text with a match
+    has, and that is looked for first.
     """
     rx, kind = F.lit(regex), "array<struct<value:string,start:int,end:int>>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
-
     def step(s: Column, x: Column) -> Column:
         a = s["at"] + F.length(x["p"])
         b = a + F.length(x["h"])
@@ -110,19 +116,40 @@ def matches(text: Column, regex: str) -> Column:
 
     # one row of both arrays, so that each is made once however often it is named; texts without a match are left after the first search
     both = F.array(F.struct(F.regexp_extract_all(text, rx, F.lit(0)).alias("hits"), F.split(text, regex, -1).alias("parts")))
-    found = F.transform(both, lambda x: F.aggregate(F.zip_with(x["hits"], F.slice(x["parts"], F.lit(1), F.size(x["hits"])), lambda h, p: F.struct(h.alias("h"), p.alias("p"))), start, step)["out"])
-    return F.when(text.rlike(regex), F.element_at(found, 1)).otherwise(F.array().cast(kind))
+    pairs = lambda x: F.zip_with(x["hits"], F.slice(x["parts"], F.lit(1), F.size(x["hits"])), lambda h, p: F.struct(h.alias("h"), p.alias("p")))
+
+    def block(s: Column, own: Column) -> Column:
+        # a block of hits goes on from where the last one ended; arrays grow by blocks, so very many hits cost little more than their number
+        done = F.array(F.aggregate(own, F.struct(s["at"].alias("at"), F.array().cast(kind).alias("out")), step))
+        return F.get(F.transform(done, lambda d: F.struct(d["at"].alias("at"), F.concat(s["out"], F.array(d["out"])).alias("out"))), F.lit(0))
+
+    def spans(x: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / BLOCK).cast("int")), lambda k: F.slice(x, k * BLOCK + 1, F.lit(BLOCK)))
+        return F.flatten(F.aggregate(blocks, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind}>").alias("out")), block)["out"])
+
+    found = F.transform(F.transform(both, pairs), spans)
+    hit = text.rlike(needs) & text.rlike(regex) if needs else text.rlike(regex)
+    return F.when(hit, F.element_at(found, 1)).otherwise(F.array().cast(kind))
 
 
 def pattern_spans(text: Column, p: Pattern) -> Column:
     """Spans of one pattern, as array<SPAN>."""
-    found = matches(text, p.flags + p.regex)
+    found = matches(text, p.flags + p.regex, p.needs)
     if p.check is not None:
         check = p.check
         found = F.filter(found, lambda m: check(m["value"]))
     return F.transform(found, lambda m: F.struct(F.lit(p.entity).alias("entity_type"), m["start"].alias("start"), m["end"].alias("end"), F.lit(p.score).alias("score")))
 
 
+def spans_of(text: Column, patterns: Iterable[Pattern]) -> Column:
+    """Spans of all patterns: those that need a digit are left at once by a text without one."""
+    patterns = list(patterns)
+    empty = F.array().cast(f"array<{SPAN}>")
+    digits = [pattern_spans(text, p) for p in patterns if p.needs in (_DIGIT, _BIRTH)]
+    others = [pattern_spans(text, p) for p in patterns if p.needs not in (_DIGIT, _BIRTH)]
+    return F.concat(F.when(text.rlike(_DIGIT), F.concat(empty, *digits)).otherwise(empty), *others)
+
+
 def not_blank(text: Column) -> Column:
     return F.coalesce(text.rlike("(?U)\\S"), F.lit(False))
 
@@ -136,7 +163,7 @@ def detect(df: DataFrame, text_col: str = "text", entities: Iterable[str] = ENTI
     """
     wanted = set(entities)
     chosen = [p for p in PATTERNS if p.entity in wanted] + list(rules)
-    columns = [pattern_spans(F.col(text_col), p) for p in chosen]
+    columns = [spans_of(F.col(text_col), chosen)]
     if ner is not None:
         columns.append(ner(df))
     empty = F.array().cast(f"array<{SPAN}>")

@@ -13,6 +13,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
 from . import classify as C
 from . import detect as D
 from . import qi as Q
@@ -41,7 +42,8 @@ def mask_fields(fields: DataFrame, entities: Iterable[str] = D.ENTITIES, request
     entities = tuple(entities)
     key = [request, *ORDER]
     told = C.gate(C.classify(fields.select(*key, F.col(text).alias("_t"), *([approved] if approved else []), (F.coalesce(F.col(content), F.lit(True)) if content else F.lit(True)).alias("_c")), "_t"), approved)
-    found = D.detect(told.select(*key, "_t", "_c", "reason_code"), "_t", entities).withColumn("_s", P.resolve(P.valid(F.col("spans"), F.col("_t"))))
+    # made once and written: numbering, pooling and masking read the spans again
+    found = written(D.detect(told.select(*key, "_t", "_c", "reason_code"), "_t", entities).withColumn("_s", P.resolve(P.valid(F.col("spans"), F.col("_t")))).drop("spans"), "fields")
     spans = found.select(*key, F.posexplode("_s").alias("_k", "_s"), "_t", "_c")
     spans = spans.select(*key, "_k", "_c", F.col("_s.entity_type").alias("entity_type"), F.col("_s.start").alias("start"), F.col("_s.end").alias("end"), F.substring("_t", F.col("_s.start") + 1, F.col("_s.end") - F.col("_s.start")).alias("value"))
     named = P.number(spans, [request], [*ORDER, "start"])
@@ -57,7 +59,8 @@ def mask_fields(fields: DataFrame, entities: Iterable[str] = D.ENTITIES, request
     out = found.join(made, key, "left").withColumn("masked", F.when(F.col("_p").isNull(), F.col("_t")).otherwise(P.mask(F.col("_t"), F.col("_p"))))
     none = F.array().cast("array<string>")
     out = out.withColumn("_probe", P.probe(F.col("masked"), F.array_union(F.coalesce("_given", none), F.coalesce("_told", none))))
-    again = D.detect(out.select(*key, "reason_code", "masked", F.size("_s").alias("n_spans"), F.col("_probe.text").alias("_q"), F.col("_probe.fillers").alias("_f")), "_q", entities, out="_left")
+    # a text without a hit is as it was, so nothing can be found in it now
+    again = D.detect(out.select(*key, "reason_code", "masked", F.size("_s").alias("n_spans"), F.when(F.size("_s") > 0, F.col("_probe.text")).alias("_q"), F.col("_probe.fillers").alias("_f")), "_q", entities, out="_left")
     left = F.filter("_left", lambda s: ~P.is_artifact(s["start"], s["end"], F.col("_q"), F.col("_f")))
     again = again.withColumn("reason_code", F.coalesce("reason_code", F.when(F.size(left) > 0, "left_after_masking")))
     bad = again.groupBy(request).agg(F.min("reason_code").alias("_why"))

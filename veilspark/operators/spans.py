@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -38,10 +40,14 @@ def sweep(found: list[tuple[str, int, int, float]]) -> list[tuple[str, int, int,
         depth += step
         if depth == 0:
             unions.append((begin, at))
+    begins = [begin for begin, _ in unions]
+    own: list[list] = [[] for _ in unions]
+    for s in found:
+        if s[1] < s[2]:
+            own[bisect_right(begins, s[1]) - 1].append(s)
     out = []
-    for begin, end in unions:
-        own = [s for s in found if begin <= s[1] < s[2] <= end]
-        kind, _, _, score = min(own, key=lambda s: (-s[3], s[1] - s[2], s[1]))
+    for (begin, end), group in zip(unions, own, strict=True):
+        kind, _, _, score = min(group, key=lambda s: (-s[3], s[1] - s[2], s[1]))
         out.append((kind, begin, end, score))
     return out
 
@@ -96,24 +102,6 @@ def mask(text: Column, spans: Column) -> Column:
     return F.aggregate(ordered, text, lambda t, s: F.concat(F.substring(t, F.lit(1), s["start"]), s["placeholder"], F.substring(t, s["end"] + 1, F.length(t))))
 
 
-def mask_rows(df: DataFrame, text_col: str = "text", spans_col: str = "spans") -> DataFrame:
-    """Each row is a request of its own: adds ``masked`` and ``reid_map`` (placeholder, value), natively."""
-    done = df.withColumn("_r", resolve(valid(F.col(spans_col), F.col(text_col))))
-    values = F.transform("_r", lambda s: F.struct(s["entity_type"].alias("t"), F.substring(F.col(text_col), s["start"] + 1, s["end"] - s["start"]).alias("v"), s["start"].alias("start"), s["end"].alias("end")))
-    done = done.withColumn("_v", values)
-    done = done.withColumn("_d", F.array_distinct(F.transform("_v", lambda s: F.struct(s["t"].alias("t"), s["v"].alias("v")))))
-
-    def named(s: Column) -> Column:
-        same = F.filter("_d", lambda d: d["t"] == s["t"])
-        n = F.array_position(F.transform(same, lambda d: d["v"]), s["v"]) - 1
-        return F.concat(F.lit("<"), s["t"], F.lit("_"), n.cast("string"), F.lit(">"))
-
-    done = done.withColumn("_p", F.transform("_v", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), named(s).alias("placeholder"), s["v"].alias("value"))))
-    done = done.withColumn("masked", mask(F.col(text_col), F.col("_p")))
-    reid = F.array_distinct(F.transform("_p", lambda s: F.struct(s["placeholder"].alias("placeholder"), s["value"].alias("value"))))
-    return done.withColumn("reid_map", reid).drop("_r", "_v", "_d", "_p")
-
-
 _NUMBERED = "struct<masked:array<string>,reid_map:array<struct<placeholder:string,value:string>>>"
 
 
@@ -175,6 +163,17 @@ def numbered(df: DataFrame, tokens: str, out: str) -> DataFrame:
     return held.withColumn(out, run.asNondeterministic()(F.col(tokens)))
 
 
+def mask_rows(df: DataFrame, text_col: str = "text", spans_col: str = "spans") -> DataFrame:
+    """Each row is a request of its own: adds ``masked`` and ``reid_map`` (placeholder, value).
+
+    Overlaps, numbers and the text are made by ``numbered``, in time linear in
+    text and spans.  A null text has a null ``masked`` and an empty map.
+    """
+    spans = F.transform(F.coalesce(F.col(spans_col), F.array().cast("array<struct<entity_type:string,start:int,end:int,score:double>>")), lambda s: F.struct(*(s[c].alias(c) for c in ("entity_type", "start", "end", "score")), F.lit(None).cast("string").alias("general")))
+    made = numbered(df.withColumn("_t", F.array(F.struct(F.col(text_col).alias("text"), spans.alias("spans")))), "_t", "_d")
+    return made.select(*(c for c in df.columns if c not in ("masked", "reid_map")), F.get("_d.masked", F.lit(0)).alias("masked"), F.col("_d.reid_map").alias("reid_map"))
+
+
 def reidentify(text: Column, reid_map: Column) -> Column:
     """Placeholders replaced by their values one after the other, longest placeholder first; unknown ones stay."""
     ordered = F.transform(F.array_sort(F.transform(reid_map, lambda m: F.struct((-F.length(m["placeholder"])).alias("n"), m["placeholder"].alias("p"), m["value"].alias("v")))), lambda x: x)

@@ -101,7 +101,7 @@ def detected(requests: DataFrame, raw: str = "raw", entities: Iterable[str] = D.
     broken = F.get(F.filter(F.transform(F.flatten("_texts"), lambda t: t["bad"]), lambda b: b.isNotNull()), F.lit(0))
     out = out.withColumn("_reason", F.coalesce(whole, F.get(F.filter(reasons, lambda r: r.isNotNull()), F.lit(0)), broken))
     empty = F.array().cast(f"array<{D.SPAN}>")
-    spans = lambda t: F.when(D.not_blank(t), F.concat(empty, *(D.pattern_spans(t, p) for p in chosen))).otherwise(empty)
+    spans = lambda t: F.when(D.not_blank(t), D.spans_of(t, chosen)).otherwise(empty)
     return out.withColumn("_spans", F.transform("_texts", lambda ts: F.transform(ts, lambda t: F.transform(t["pieces"], lambda p: spans(p["text"])))))
 
 
@@ -181,12 +181,11 @@ def _rebuilt(text: Column, masked: Column) -> Column:
 def _left(new: Column, old: Column, reid: Column, wanted: set[str]) -> Column:
     """The reason ``left_after_masking`` where the arguments of a call still hold a hit outside of the placeholders."""
     chosen = [p for p in D.PATTERNS if p.entity in wanted]
-    empty = F.array().cast(f"array<{D.SPAN}>")
     names = F.transform(reid, lambda m: m["placeholder"])
 
     def left(t: Column) -> Column:
         probe = P.probe(t, names)
-        return F.exists(F.array(probe), lambda p: F.exists(F.concat(empty, *(D.pattern_spans(p["text"], x) for x in chosen)), lambda s: ~P.is_artifact(s["start"], s["end"], p["text"], p["fillers"])))
+        return F.exists(F.array(probe), lambda p: F.exists(D.spans_of(p["text"], chosen), lambda s: ~P.is_artifact(s["start"], s["end"], p["text"], p["fillers"])))
 
     checked = F.exists(F.arrays_zip(new.alias("n"), old.alias("o")), lambda x: x["o"]["args"] & (x["n"] != x["o"]["text"]) & left(x["n"]))
     return F.when(checked, "left_after_masking")

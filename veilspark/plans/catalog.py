@@ -21,6 +21,7 @@ from ..operators import qi as Q
 from ..operators import rules as R
 from ..operators import spans as P
 from ..operators import validate as V
+from ..session import spread
 from ..streaming import state as ST
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,7 +106,7 @@ _LUHN = "(SELECT sum(CASE WHEN (i - 1) % 2 = 0 THEN CAST(d[i] AS INT) ELSE CAST(
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text").where("text IS NOT NULL")
+    return spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text").where("text IS NOT NULL"))
 
 
 @query(_spans_sql(_DOCS, _EMAIL))
@@ -165,7 +166,7 @@ def overlap_exact(spark, sf_dir):
 @query()
 def mask_documents(spark, sf_dir):
     """Every document, masked for all types; one without a hit is as it was."""
-    done = P.mask_rows(D.detect(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")))
+    done = P.mask_rows(D.detect(spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))))
     return done.select("id", "masked", F.size("reid_map").alias("n_values"))
 
 
@@ -254,7 +255,7 @@ def tier_gate_counts(spark, sf_dir):
 
 @query()
 def tier_conversations(spark, sf_dir):
-    return C.classify(table(spark, sf_dir, "conversations"), signals=True).groupBy("role", "tier").agg(F.count("*").alias("n"), F.sum(F.size("matched_signals")).cast("long").alias("n_signals"))
+    return C.classify(spread(table(spark, sf_dir, "conversations")), signals=True).groupBy("role", "tier").agg(F.count("*").alias("n"), F.sum(F.size("matched_signals")).cast("long").alias("n_signals"))
 
 
 _REGIONS = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in S.PLZ_REGIONS.items())

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import classify as C
 from ..operators import qi as Q
 from ..operators import tree as T
-from ..session import shared_dir, ship, written
+from ..session import shared_dir, ship, spread, written
 from ..sources.sessions import SessionStore
 from ..streaming import state as ST
 from .catalog import _REGIONS, query, table
@@ -68,7 +68,7 @@ _BLOCKED = f"(role = 'user' OR {_has(C.PERSON_WORDS)}) AND ({_has([w for ws in C
 )
 def mask_request_json(spark, sf_dir):
     """One numbering for content, names and calls of every conversation, with the map."""
-    made = T.mask_request_json(T.detected(_requests(spark, sf_dir)), ("conv_id",))
+    made = T.mask_request_json(T.detected(spread(_requests(spark, sf_dir))), ("conv_id",))
     reid = F.array_join(F.transform("reid_map", lambda m: F.concat(m["placeholder"], F.lit("="), m["value"])), " ")
     return made.select("conv_id", "masked", reid.alias("reid"), "n_values", "status")
 
@@ -83,7 +83,7 @@ def _map_json(reid_map):
 )
 def request_roundtrip(spark, sf_dir):
     """Masked requests, their messages as a model's replies, restored by each request's own map: contents and arguments are those that came.  Blocked requests have no reply."""
-    made = written(T.mask_request_json(T.detected(_requests(spark, sf_dir)), ("conv_id",)).where("status = 'ok'"), "masked")
+    made = written(T.mask_request_json(T.detected(spread(_requests(spark, sf_dir))), ("conv_id",)).where("status = 'ok'"), "masked")
     choices = F.transform(F.try_variant_get(F.try_parse_json("masked"), "$.messages", "array<variant>"), lambda m: F.concat(F.lit('{"message":'), F.to_json(m), F.lit("}")))
     replies = made.select("conv_id", F.concat(F.lit('{"choices":['), F.array_join(choices, ","), F.lit("]}")).alias("raw"))
     back = T.restore_replies(replies, made.select("conv_id", _map_json(F.col("reid_map")).alias("reid")), "conv_id")

@@ -57,3 +57,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/veilspark/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Bytes of a table for each core, up to which it is dealt anew: its files may have fewer pieces than there are cores.
+SMALL = 32 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over the cores where it is so small that its files would keep a few of them busy only; a large one stays as it is read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(2 * cores) if int(str(size)) < cores * SMALL else df
