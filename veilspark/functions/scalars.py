@@ -56,6 +56,25 @@ def ipv4_ok(address: Column) -> Column:
     return F.forall(F.split(address, "\\."), lambda x: F.length(x).between(1, 3) & (x.cast("int") <= 255))
 
 
+# The calling codes of two digits (1 and 7 stand alone, all others have three), and lengths of national numbers where they are fixed.
+TWO_DIGIT_CODES = ("20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "53", "54", "55", "56", "57", "58", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "93", "94", "95", "98")
+NATIONAL_LENGTHS = {"1": (10, 10), "7": (10, 10), "33": (9, 9), "34": (9, 9), "41": (9, 9), "44": (7, 10), "49": (6, 13)}
+#: Digits of a number with a leading zero, in Germany.
+TRUNK_LENGTHS = (7, 13)
+
+
+def phone_ok(number: Column) -> Column:
+    """Whether the digits fit a numbering plan: the calling code by its prefix, then as many digits as its numbers have (15 in all at most); with a leading zero as many as a domestic number has."""
+    digits = F.regexp_replace(number, "[^0-9]", "")
+    plain = F.when(digits.startswith("00"), F.substring(digits, F.lit(3), F.length(digits))).otherwise(digits)
+    size = F.when(F.substring(plain, 1, 1).isin("1", "7"), 1).when(F.substring(plain, 1, 2).isin(*TWO_DIGIT_CODES), 2).otherwise(3)
+    code, rest = F.substring(plain, F.lit(1), size), F.length(plain) - size
+    fits = (rest >= 5) & (F.length(plain) <= 15)
+    for known, (low, high) in NATIONAL_LENGTHS.items():
+        fits = F.when(code == known, rest.between(low, high)).otherwise(fits)
+    return F.when(number.startswith("+") | digits.startswith("00"), ~plain.startswith("0") & fits).otherwise(F.length(digits).between(*TRUNK_LENGTHS))
+
+
 def generalize_plz(value: Column) -> Column:
     first = F.regexp_extract(F.coalesce(value, F.lit("")), "[0-9]", 0)
     table = F.create_map(*(F.lit(x) for pair in PLZ_REGIONS.items() for x in pair))

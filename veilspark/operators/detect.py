@@ -54,6 +54,22 @@ def deny_list(terms: Iterable[str]) -> str:
     return r"(?<!\w)(?:" + "|".join(quoted(t) for t in sorted(terms, key=lambda t: (-len(t), t))) + r")(?!\w)"
 
 
+_H16, _OCTET = "[0-9A-Fa-f]{1,4}", "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+
+
+def _ipv6() -> str:
+    """An address grammar as a pattern: eight groups, or fewer around one ``::``; the last two may be an IPv4 address; a zone may follow."""
+    v4 = rf"{_OCTET}(?:\.{_OCTET}){{3}}"
+    forms = [f"(?:{_H16}:){{7}}{_H16}", f"(?:{_H16}:){{6}}{v4}"]
+    for left in range(8):
+        head = "::" if left == 0 else f"{_H16}(?::{_H16}){{{left - 1}}}::"
+        tails = [f"(?:{_H16}:){{0,{5 - left}}}{v4}"] if left <= 5 else []
+        if left < 7:
+            tails.append(f"{_H16}(?::{_H16}){{0,{6 - left}}}")
+        forms.append(head + "(?:" + "|".join(tails) + ")" + ("?" if left else "") if tails else head)
+    return r"(?<![0-9A-Za-z_:.])(?:" + "|".join(forms) + r")(?:%[0-9A-Za-z]+)?(?![0-9A-Za-z_:]|\.[0-9])"
+
+
 _DIGIT, _BIRTH = r"(?U)\d", "(?iU)geb|jahrgang"
 PATTERNS = (
     Pattern("DE_STEUER_ID", "tax_id", r"\b\d{2}[ ]?\d{3}[ ]?\d{3}[ ]?\d{3}\b", 0.4, needs=_DIGIT),
@@ -74,10 +90,11 @@ PATTERNS = (
     Pattern("DE_FIRMA", "company", rf"\b(?-i:{_CAPITAL}(?:[ ]+(?:&[ ]+)?{_CAPITAL}){{0,4}})[ ]+(?-i:{_FORMS})(?![A-Za-zÄÖÜäöüß])", 0.6),
     # approximations of what external recognisers find
     Pattern("EMAIL_ADDRESS", "email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", 1.0, "", needs="@"),
-    Pattern("PHONE_NUMBER", "phone", r"(?:\+|0)[0-9](?:[ /()-]{0,2}[0-9]){6,13}", 0.4, "", needs=_DIGIT),
+    Pattern("PHONE_NUMBER", "phone", r"(?<![0-9A-Za-z_+])(?:\+|0)[0-9](?:[ /()-]{0,2}[0-9]){6,13}(?![0-9])", 0.4, "", S.phone_ok, needs=_DIGIT),
     Pattern("IBAN_CODE", "iban", r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?", 1.0, "", S.iban_ok, needs=_DIGIT),
-    Pattern("CREDIT_CARD", "card", r"[0-9](?:[ -]?[0-9]){12,18}", 1.0, "", S.luhn_ok, needs=_DIGIT),
-    Pattern("IP_ADDRESS", "ipv4", r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}", 0.95, "", S.ipv4_ok, needs=_DIGIT),
+    Pattern("CREDIT_CARD", "card", r"(?<![0-9A-Za-z_])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z_])", 1.0, "", S.luhn_ok, needs=_DIGIT),
+    Pattern("IP_ADDRESS", "ipv4", r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])", 0.95, "", S.ipv4_ok, needs=_DIGIT),
+    Pattern("IP_ADDRESS", "ipv6", _ipv6(), 0.95, "", needs="::|:[0-9A-Fa-f]{1,4}:"),
 )
 # Words that raise a score when they stand near.
 CONTEXT = {

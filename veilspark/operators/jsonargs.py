@@ -11,6 +11,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import scalars as S
 from ..session import ship
 from .spans import sweep
 
@@ -78,8 +79,18 @@ def _ipv4(text: str) -> bool:
     return all(1 <= len(x) <= 3 and int(x) <= 255 for x in text.split("."))
 
 
+def _phone(text: str) -> bool:
+    digits = "".join(c for c in text if c in "0123456789")
+    if not text.startswith("+") and not digits.startswith("00"):
+        return S.TRUNK_LENGTHS[0] <= len(digits) <= S.TRUNK_LENGTHS[1]
+    plain = digits.removeprefix("00")
+    size = 1 if plain[:1] in ("1", "7") else 2 if plain[:2] in S.TWO_DIGIT_CODES else 3
+    low, high = S.NATIONAL_LENGTHS.get(plain[:size], (5, 15 - size))
+    return not plain.startswith("0") and low <= len(plain) - size <= high
+
+
 #: Python forms of the detectors' checks, by the detector's name.
-CHECKS: dict[str, Callable[[str], bool]] = {"iban": _iban, "card": _luhn, "ipv4": _ipv4}
+CHECKS: dict[str, Callable[[str], bool]] = {"iban": _iban, "card": _luhn, "ipv4": _ipv4, "phone": _phone}
 
 
 class Masker:

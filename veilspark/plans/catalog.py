@@ -100,8 +100,14 @@ for _name, (_entity, _names, _rx, _group) in _OWN_PATTERNS.items():
 _DOCS = "(SELECT doc_id AS id, text FROM documents WHERE text IS NOT NULL)"
 _EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 _IP = r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"
-_CARD = r"[0-9](?:[ -]?[0-9]){12,18}"
-_PHONE = r"(?:\+|0)[0-9](?:[ /()-]{0,2}[0-9]){6,13}"
+_CARD = r"\b[0-9](?:[ -]?[0-9]){12,18}\b"
+# edges by one consumed character at each side
+_PHONE = r"(^|[^0-9A-Za-z_+])((?:\+|0)[0-9](?:[ /()-]{0,2}[0-9]){6,13})([^0-9]|$)"
+_PLAIN = "regexp_replace(regexp_replace(value, '[^0-9]', '', 'g'), '^00', '')"
+_CODE = f"CASE WHEN {_PLAIN}[1] IN ('1', '7') THEN 1 WHEN {_PLAIN}[1:2] IN ({', '.join(repr(c) for c in S.TWO_DIGIT_CODES)}) THEN 2 ELSE 3 END"
+_PLAN = f"""CASE WHEN value LIKE '+%' OR regexp_replace(value, '[^0-9]', '', 'g') LIKE '00%' THEN {_PLAIN} NOT LIKE '0%' AND length({_PLAIN}) - {_CODE} BETWEEN
+    CASE {_PLAIN}[1:{_CODE}] {" ".join(f"WHEN '{c}' THEN {a}" for c, (a, _) in S.NATIONAL_LENGTHS.items())} ELSE 5 END AND CASE {_PLAIN}[1:{_CODE}] {" ".join(f"WHEN '{c}' THEN {b}" for c, (_, b) in S.NATIONAL_LENGTHS.items())} ELSE 15 - {_CODE} END
+    ELSE length(regexp_replace(value, '[^0-9]', '', 'g')) BETWEEN {S.TRUNK_LENGTHS[0]} AND {S.TRUNK_LENGTHS[1]} END"""
 _LUHN = "(SELECT sum(CASE WHEN (i - 1) % 2 = 0 THEN CAST(d[i] AS INT) ELSE CAST(d[i] AS INT) * 2 - CASE WHEN CAST(d[i] AS INT) > 4 THEN 9 ELSE 0 END END) % 10 = 0 FROM (SELECT d, unnest(range(1, len(d) + 1)) AS i FROM (SELECT string_split(reverse(regexp_replace(value, '[^0-9]', '', 'g')), '') AS d)))"
 
 
@@ -124,7 +130,7 @@ def detect_card_luhn(spark, sf_dir):
     return _spans_of(_documents(spark, sf_dir), "CREDIT_CARD")
 
 
-@query(_spans_sql(_DOCS, _PHONE))
+@query(_spans_sql(_DOCS, _PHONE, 2, keep=_PLAN))
 def detect_phone(spark, sf_dir):
     return _spans_of(_documents(spark, sf_dir), "PHONE_NUMBER")
 
