@@ -171,3 +171,23 @@ def test_filter_audit_matches_brute_force(spark):
     assert {(r["part"], r["filter_order"], r["step"]): [r[n] for n in names] for r in got} == audited(rows, labels)
     assert len(got) == 600 * 4
     assert filter_audit.audit(spark.createDataFrame([], DOCS), table).count() == 0
+
+
+def test_wrappers_and_bare_notices():
+    from veilspark.llm import html_extract
+
+    para = "The river rose in the night and the people of the valley moved their cattle to the higher ground before dawn came over the hills. "
+    p = lambda n: f"<p>{para * n}</p>"
+    text = lambda n: (para * n).strip()
+    pages = {
+        f"<body><form id=aspnetForm><div>{p(2)}{p(1)}</div></form></body>": [2, 1], f"<main><form>{p(2)}{p(1)}</form></main>": [2, 1], f"<body class='tags'><div class='tags'>{p(2)}{p(1)}{p(1)}</div></body>": [2, 1, 1],
+        f"<article class='story'><div class='social-header'>{p(2)}{p(1)}</div></article>": [2, 1],
+        f"<body><div>We use cookies on this site to improve your visit, accept</div><article>{p(2)}{p(2)}</article></body>": [2, 2], f"<body>{p(2)}{p(2)}<div>Copyright 2020 All rights reserved</div></body>": [2, 2],
+        f"<body><form>{p(1)}</form><article>{p(2)}</article></body>": [2], f"<body><div class='footer'>{p(1)}</div></body>": [], f"<body><nav><a>one</a><a>two</a></nav>{p(3)}</body>": [3],
+    }
+    for page, kept in pages.items():
+        assert html_extract.main_text(page) == " ".join(text(n) for n in kept)
+    # without the shares and the notices' words the tree can't tell some of them
+    names = [html_extract.FEATURES.index(f) for f in ("boiler", "boiler_name", "notice")]
+    blind = html_extract.grow([tuple(0.0 if k in names else float(x) for k, x in enumerate(r[:-1])) + (r[-1],) for r in html_extract.EXAMPLES])
+    assert sum(html_extract.main_text(page, blind) == " ".join(text(n) for n in kept) for page, kept in pages.items()) < len(pages)

@@ -3,9 +3,11 @@
 A page is cut at block-level tags into flat blocks of text.  Each block has its
 word count and link density (share of words inside links), those of the block
 before and after it, and what encloses it: a content element (article, main),
-a boilerplate element (nav, header outside of content, footer, aside, form,
-menu ...), a name (class, id, role) that speaks of content or boilerplate, and
-whether it is a heading.  A decision tree grown by Gini gain on the small
+boilerplate elements (nav, header outside of content, footer, aside, form,
+menu ...) and elements with boilerplate names (class, id, role), each as the
+share of the page's words that stand outside of it (a form or a named box around
+the whole page says nothing of a block), whether it is a heading, and how many
+of its words only notices have.  A decision tree grown by Gini gain on the small
 labelled table ``EXAMPLES`` keeps or drops the block.  Scripts, styles, other
 non-text elements, comments of the markup and the head are never text.
 
@@ -70,13 +72,25 @@ def _boiler_name(names: str) -> bool:
 _CONTENT_NAME = re.compile(r"(?:^|[\s_-])(?:article|articlebody|body|content|entry|main|post|story|text)(?:$|[\s_-])", re.I)
 
 
+@dataclass
+class Enclosing:
+    """An element that may be boilerplate, and what it holds."""
+
+    words: int = 0
+    blocks: int = 0
+
+    def outside(self, total: int) -> float:
+        """Share of the page's words outside of it; an element of one block is no wrapper, whatever its share."""
+        return 1.0 - self.words / total if self.blocks > 1 else 1.0
+
+
 @dataclass
 class Block:
     parts: list[str] = field(default_factory=list)
     words: int = 0
     linked: int = 0
-    boiler: bool = False
-    boiler_name: bool = False
+    boiler: list[Enclosing] = field(default_factory=list)
+    boiler_name: list[Enclosing] = field(default_factory=list)
     content: bool = False
     heading: bool = False
     listed: bool = False
@@ -89,7 +103,9 @@ def blocks(page: str) -> list[Block]:
     """The flat text blocks of a page, in order, without empty ones."""
     out: list[Block] = []
     stack: list[tuple[str, bool, bool, bool, bool]] = []  # name, boiler, boiler name, content, silent
-    boiler = named = content = silent = links = 0
+    boiler: list[Enclosing] = []
+    named: list[Enclosing] = []
+    content = silent = links = 0
     heading = listed = 0
     current: Block | None = None
     at, size = 0, len(page)
@@ -98,23 +114,29 @@ def blocks(page: str) -> list[Block]:
         nonlocal current
         if current is not None and current.words:
             out.append(current)
+            for e in (*current.boiler, *current.boiler_name):
+                e.words += current.words
+                e.blocks += 1
         current = None
 
     def push(name: str, attributes: str) -> None:
-        nonlocal boiler, named, content, silent, links, heading, listed
+        nonlocal content, silent, links, heading, listed
         names = " ".join(m[1].strip("\"'") for m in _NAMES.finditer(attributes)) if attributes else ""
         is_content = (name in CONTENT and not _boiler_name(names)) or bool(names and _CONTENT_NAME.search(names) and not _boiler_name(names))
         is_boiler = name in BOILER or (name == "header" and not content)
         is_named = bool(names and name not in ("html", "body", "main") and _boiler_name(names))
         is_silent = name in SILENT or bool(attributes and _HIDDEN.search(attributes))
         stack.append((name, is_boiler, is_named, is_content, is_silent))
-        boiler, named, content, silent = boiler + is_boiler, named + is_named, content + is_content, silent + is_silent
+        boiler.extend([Enclosing()] * is_boiler)
+        named.extend([Enclosing()] * is_named)
+        content, silent = content + is_content, silent + is_silent
         links, heading, listed = links + (name == "a"), heading + (name in HEADINGS), listed + (name == "li")
 
     def pop() -> None:
-        nonlocal boiler, named, content, silent, links, heading, listed
+        nonlocal content, silent, links, heading, listed
         name, is_boiler, is_named, is_content, is_silent = stack.pop()
-        boiler, named, content, silent = boiler - is_boiler, named - is_named, content - is_content, silent - is_silent
+        del boiler[len(boiler) - is_boiler :], named[len(named) - is_named :]
+        content, silent = content - is_content, silent - is_silent
         links, heading, listed = links - (name == "a"), heading - (name in HEADINGS), listed - (name == "li")
 
     def text(piece: str) -> None:
@@ -125,7 +147,7 @@ def blocks(page: str) -> list[Block]:
         if current is None:
             if not n:
                 return
-            current = Block(boiler=boiler > 0, boiler_name=named > 0, content=content > 0, heading=heading > 0, listed=listed > 0)
+            current = Block(boiler=list(boiler), boiler_name=list(named), content=content > 0, heading=heading > 0, listed=listed > 0)
         current.parts.append(piece)
         current.words += n
         current.linked += n if links else 0
@@ -171,14 +193,18 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "boiler", "boiler_name", "content", "heading", "listed")
+FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "boiler", "boiler_name", "content", "heading", "listed", "notice")
+#: Words that notices are made of.
+_NOTICE = re.compile(r"\b(?:cookies?|copyright|all rights reserved|privacy policy|terms of (?:use|service)|accept|consent|subscribe|newsletter|sign up|log ?in)\b|\u00a9", re.I)
 
 
 def features(found: list[Block]) -> list[tuple[float, ...]]:
+    total = sum(b.words for b in found)
     own = [(float(b.words), b.linked / b.words) for b in found]
     edge = (0.0, 0.0)
+    most = lambda elements: max((e.outside(total) for e in elements), default=0.0)
     return [
-        (*own[i], *(own[i - 1] if i else edge), *(own[i + 1] if i + 1 < len(own) else edge), float(b.boiler), float(b.boiler_name), float(b.content), float(b.heading), float(b.listed))
+        (*own[i], *(own[i - 1] if i else edge), *(own[i + 1] if i + 1 < len(own) else edge), most(b.boiler), most(b.boiler_name), float(b.content), float(b.heading), float(b.listed), float(len(_NOTICE.findall(b.text())) if b.words < 60 else 0))
         for i, b in enumerate(found)
     ]
 
@@ -186,101 +212,125 @@ def features(found: list[Block]) -> list[tuple[float, ...]]:
 #: Labelled blocks, in the order of FEATURES and then 1 for main text.
 EXAMPLES = (
     # inside a content element
-    (40, 0.0, 8, 0.0, 55, 0.0, 0, 0, 1, 0, 0, 1),
-    (120, 0.0, 40, 0.0, 80, 0.0, 0, 0, 1, 0, 0, 1),
-    (9, 0.0, 14, 0.0, 60, 0.0, 0, 0, 1, 1, 0, 1),
-    (2, 0.0, 70, 0.0, 33, 0.0, 0, 0, 1, 1, 0, 1),
-    (1, 0.0, 90, 0.0, 45, 0.0, 0, 0, 1, 0, 0, 1),
-    (5, 0.0, 30, 0.0, 12, 0.0, 0, 0, 1, 0, 1, 1),
-    (14, 0.1, 22, 0.0, 18, 0.0, 0, 0, 1, 0, 1, 1),
-    (60, 0.2, 25, 0.0, 6, 1.0, 0, 0, 1, 0, 0, 1),
-    (25, 0.0, 4, 1.0, 4, 1.0, 0, 0, 1, 0, 0, 1),
-    (3, 0.0, 1, 1.0, 5, 1.0, 0, 0, 1, 0, 0, 1),
-    (6, 1.0, 40, 0.0, 35, 0.0, 0, 0, 1, 0, 0, 1),
-    (4, 1.0, 50, 0.0, 70, 0.0, 0, 0, 1, 1, 0, 1),
-    (4, 0.0, 20, 0.0, 6, 1.0, 0, 0, 1, 0, 0, 1),
-    (7, 0.0, 30, 0.0, 3, 1.0, 0, 0, 1, 0, 0, 1),
-    (2, 0.0, 5, 0.0, 9, 1.0, 0, 0, 1, 0, 0, 1),
-    (5, 0.0, 60, 0.2, 12, 0.9, 0, 0, 1, 1, 0, 1),
-    (1, 0.0, 1, 0.0, 2, 0.0, 0, 0, 1, 0, 0, 1),
-    (2, 0.0, 3, 0.0, 1, 0.0, 0, 0, 1, 0, 0, 1),
-    (3, 0.0, 25, 0.0, 10, 0.0, 0, 0, 1, 0, 0, 1),
-    (4, 0.0, 90, 0.0, 9, 0.1, 0, 0, 1, 0, 0, 1),
-    (2, 0.0, 60, 0.0, 0, 0.0, 0, 0, 1, 0, 0, 1),
-    (1, 0.0, 33, 0.0, 22, 0.0, 0, 0, 1, 0, 1, 1),
-    (3, 1.0, 4, 1.0, 5, 1.0, 0, 0, 1, 0, 1, 1),
-    (2, 1.0, 12, 0.0, 16, 0.0, 0, 0, 1, 0, 1, 1),
-    (10, 0.0, 1, 1.0, 80, 0.0, 0, 0, 1, 1, 0, 1),
-    (200, 0.0, 10, 0.0, 8, 0.2, 0, 0, 1, 0, 0, 1),
-    (3, 0.0, 7, 0.0, 8, 0.1, 0, 0, 1, 0, 0, 1),
-    (1, 0.0, 7, 0.0, 11, 0.1, 0, 0, 1, 1, 0, 1),
+    (40, 0.0, 8, 0.0, 55, 0.0, 0, 0, 1, 0, 0, 0, 1),
+    (120, 0.0, 40, 0.0, 80, 0.0, 0, 0, 1, 0, 0, 0, 1),
+    (9, 0.0, 14, 0.0, 60, 0.0, 0, 0, 1, 1, 0, 0, 1),
+    (2, 0.0, 70, 0.0, 33, 0.0, 0, 0, 1, 1, 0, 0, 1),
+    (1, 0.0, 90, 0.0, 45, 0.0, 0, 0, 1, 0, 0, 0, 1),
+    (5, 0.0, 30, 0.0, 12, 0.0, 0, 0, 1, 0, 1, 0, 1),
+    (14, 0.1, 22, 0.0, 18, 0.0, 0, 0, 1, 0, 1, 0, 1),
+    (60, 0.2, 25, 0.0, 6, 1.0, 0, 0, 1, 0, 0, 0, 1),
+    (25, 0.0, 4, 1.0, 4, 1.0, 0, 0, 1, 0, 0, 0, 1),
+    (3, 0.0, 1, 1.0, 5, 1.0, 0, 0, 1, 0, 0, 0, 1),
+    (6, 1.0, 40, 0.0, 35, 0.0, 0, 0, 1, 0, 0, 0, 1),
+    (4, 1.0, 50, 0.0, 70, 0.0, 0, 0, 1, 1, 0, 0, 1),
+    (4, 0.0, 20, 0.0, 6, 1.0, 0, 0, 1, 0, 0, 0, 1),
+    (7, 0.0, 30, 0.0, 3, 1.0, 0, 0, 1, 0, 0, 0, 1),
+    (2, 0.0, 5, 0.0, 9, 1.0, 0, 0, 1, 0, 0, 0, 1),
+    (5, 0.0, 60, 0.2, 12, 0.9, 0, 0, 1, 1, 0, 0, 1),
+    (1, 0.0, 1, 0.0, 2, 0.0, 0, 0, 1, 0, 0, 0, 1),
+    (2, 0.0, 3, 0.0, 1, 0.0, 0, 0, 1, 0, 0, 0, 1),
+    (3, 0.0, 25, 0.0, 10, 0.0, 0, 0, 1, 0, 0, 0, 1),
+    (4, 0.0, 90, 0.0, 9, 0.1, 0, 0, 1, 0, 0, 0, 1),
+    (2, 0.0, 60, 0.0, 0, 0.0, 0, 0, 1, 0, 0, 0, 1),
+    (1, 0.0, 33, 0.0, 22, 0.0, 0, 0, 1, 0, 1, 0, 1),
+    (3, 1.0, 4, 1.0, 5, 1.0, 0, 0, 1, 0, 1, 0, 1),
+    (2, 1.0, 12, 0.0, 16, 0.0, 0, 0, 1, 0, 1, 0, 1),
+    (10, 0.0, 1, 1.0, 80, 0.0, 0, 0, 1, 1, 0, 0, 1),
+    (200, 0.0, 10, 0.0, 8, 0.2, 0, 0, 1, 0, 0, 0, 1),
+    (3, 0.0, 7, 0.0, 8, 0.1, 0, 0, 1, 0, 0, 0, 1),
+    (1, 0.0, 7, 0.0, 11, 0.1, 0, 0, 1, 1, 0, 0, 1),
     # the only block, or the last one, after a menu
-    (12, 0.0, 1, 1.0, 0, 0.0, 0, 0, 1, 0, 0, 1),
-    (30, 0.0, 2, 1.0, 0, 0.0, 0, 0, 1, 0, 0, 1),
-    (2, 0.0, 1, 1.0, 0, 0.0, 0, 0, 1, 0, 0, 1),
-    (5, 0.0, 1, 1.0, 3, 0.0, 0, 0, 1, 1, 0, 1),
-    (3, 0.0, 3, 1.0, 2, 0.0, 0, 0, 1, 0, 0, 1),
+    (12, 0.0, 1, 1.0, 0, 0.0, 0, 0, 1, 0, 0, 0, 1),
+    (30, 0.0, 2, 1.0, 0, 0.0, 0, 0, 1, 0, 0, 0, 1),
+    (2, 0.0, 1, 1.0, 0, 0.0, 0, 0, 1, 0, 0, 0, 1),
+    (5, 0.0, 1, 1.0, 3, 0.0, 0, 0, 1, 1, 0, 0, 1),
+    (3, 0.0, 3, 1.0, 2, 0.0, 0, 0, 1, 0, 0, 0, 1),
     # a content element's own boilerplate
-    (2, 1.0, 1, 1.0, 2, 1.0, 0, 1, 1, 0, 1, 0),
-    (12, 0.0, 40, 0.0, 60, 0.0, 0, 1, 1, 0, 0, 0),
-    (45, 0.0, 80, 0.0, 30, 0.0, 0, 1, 1, 0, 0, 0),
-    (6, 0.0, 90, 0.0, 20, 0.0, 1, 0, 1, 0, 0, 0),
-    (25, 0.0, 60, 0.0, 22, 0.0, 1, 0, 1, 0, 0, 0),
-    (3, 0.0, 60, 0.0, 24, 0.0, 0, 1, 1, 1, 0, 0),
-    (30, 0.0, 3, 0.0, 28, 0.0, 1, 1, 1, 0, 0, 0),
+    (2, 1.0, 1, 1.0, 2, 1.0, 0, 0.95, 1, 0, 1, 0, 0),
+    (12, 0.0, 40, 0.0, 60, 0.0, 0, 0.8, 1, 0, 0, 0, 0),
+    (45, 0.0, 80, 0.0, 30, 0.0, 0, 0.9, 1, 0, 0, 0, 0),
+    (6, 0.0, 90, 0.0, 20, 0.0, 0.6, 0, 1, 0, 0, 0, 0),
+    (25, 0.0, 60, 0.0, 22, 0.0, 0.97, 0, 1, 0, 0, 0, 0),
+    (3, 0.0, 60, 0.0, 24, 0.0, 0, 0.7, 1, 1, 0, 0, 0),
+    (30, 0.0, 3, 0.0, 28, 0.0, 0.85, 0.5, 1, 0, 0, 0, 0),
     # menus, headers, footers, sidebars, notices, adverts, forms
-    (1, 1.0, 0, 0.0, 1, 1.0, 1, 0, 0, 0, 1, 0),
-    (5, 0.0, 0, 0.0, 70, 0.0, 1, 0, 0, 1, 0, 0),
-    (3, 0.0, 0, 0.0, 40, 0.0, 1, 0, 0, 1, 0, 0),
-    (30, 0.0, 45, 0.0, 60, 0.0, 1, 0, 0, 0, 0, 0),
-    (80, 0.0, 20, 0.0, 90, 0.0, 1, 0, 0, 0, 0, 0),
-    (15, 0.0, 12, 0.0, 30, 0.0, 1, 0, 0, 0, 0, 0),
-    (2, 0.0, 30, 0.0, 3, 0.0, 1, 0, 0, 0, 0, 0),
-    (4, 0.0, 3, 0.0, 2, 0.0, 1, 0, 0, 0, 1, 0),
-    (100, 0.0, 60, 0.0, 80, 0.0, 0, 1, 0, 0, 0, 0),
-    (2, 0.0, 3, 0.0, 3, 0.0, 0, 1, 0, 0, 0, 0),
-    (2, 1.0, 1, 1.0, 3, 1.0, 1, 0, 0, 0, 1, 0),
-    (3, 1.0, 2, 1.0, 10, 0.0, 1, 1, 0, 0, 1, 0),
-    (8, 0.0, 60, 0.0, 0, 0.0, 1, 0, 0, 0, 0, 0),
-    (10, 0.1, 120, 0.0, 0, 0.0, 1, 1, 0, 0, 0, 0),
-    (40, 0.0, 80, 0.0, 12, 0.0, 1, 0, 0, 0, 0, 0),
-    (7, 0.0, 1, 1.0, 9, 0.0, 0, 1, 0, 0, 0, 0),
-    (22, 0.0, 1, 1.0, 55, 0.0, 0, 1, 0, 0, 0, 0),
-    (60, 0.0, 40, 0.0, 35, 0.0, 0, 1, 0, 0, 0, 0),
-    (35, 0.0, 2, 0.0, 41, 0.0, 0, 1, 0, 0, 0, 0),
-    (4, 0.0, 0, 0.0, 1, 1.0, 1, 0, 0, 1, 0, 0),
-    (3, 0.0, 50, 0.0, 20, 0.0, 0, 1, 0, 1, 0, 0),
+    (1, 1.0, 0, 0.0, 1, 1.0, 0.4, 0, 0, 0, 1, 0, 0),
+    (5, 0.0, 0, 0.0, 70, 0.0, 0.95, 0, 0, 1, 0, 0, 0),
+    (3, 0.0, 0, 0.0, 40, 0.0, 0.8, 0, 0, 1, 0, 0, 0),
+    (30, 0.0, 45, 0.0, 60, 0.0, 0.9, 0, 0, 0, 0, 0, 0),
+    (80, 0.0, 20, 0.0, 90, 0.0, 0.6, 0, 0, 0, 0, 0, 0),
+    (15, 0.0, 12, 0.0, 30, 0.0, 0.97, 0, 0, 0, 0, 0, 0),
+    (2, 0.0, 30, 0.0, 3, 0.0, 0.7, 0, 0, 0, 0, 0, 0),
+    (4, 0.0, 3, 0.0, 2, 0.0, 0.85, 0, 0, 0, 1, 0, 0),
+    (100, 0.0, 60, 0.0, 80, 0.0, 0, 0.5, 0, 0, 0, 0, 0),
+    (2, 0.0, 3, 0.0, 3, 0.0, 0, 0.4, 0, 0, 0, 0, 0),
+    (2, 1.0, 1, 1.0, 3, 1.0, 0.95, 0, 0, 0, 1, 0, 0),
+    (3, 1.0, 2, 1.0, 10, 0.0, 0.8, 0.9, 0, 0, 1, 0, 0),
+    (8, 0.0, 60, 0.0, 0, 0.0, 0.6, 0, 0, 0, 0, 0, 0),
+    (10, 0.1, 120, 0.0, 0, 0.0, 0.97, 0.7, 0, 0, 0, 0, 0),
+    (40, 0.0, 80, 0.0, 12, 0.0, 0.85, 0, 0, 0, 0, 0, 0),
+    (7, 0.0, 1, 1.0, 9, 0.0, 0, 0.5, 0, 0, 0, 0, 0),
+    (22, 0.0, 1, 1.0, 55, 0.0, 0, 0.4, 0, 0, 0, 0, 0),
+    (60, 0.0, 40, 0.0, 35, 0.0, 0, 0.95, 0, 0, 0, 0, 0),
+    (35, 0.0, 2, 0.0, 41, 0.0, 0, 0.8, 0, 0, 0, 0, 0),
+    (4, 0.0, 0, 0.0, 1, 1.0, 0.9, 0, 0, 1, 0, 0, 0),
+    (3, 0.0, 50, 0.0, 20, 0.0, 0, 0.6, 0, 1, 0, 0, 0),
     # pages without a content element
-    (45, 0.0, 2, 1.0, 0, 0.0, 0, 0, 0, 0, 0, 1),
-    (14, 0.0, 1, 1.0, 2, 1.0, 0, 0, 0, 0, 0, 1),
-    (11, 0.0, 3, 1.0, 0, 0.0, 0, 0, 0, 0, 0, 1),
-    (2, 0.0, 1, 1.0, 1, 1.0, 0, 0, 0, 0, 0, 0),
-    (4, 0.0, 3, 1.0, 0, 0.0, 0, 0, 0, 0, 0, 0),
-    (45, 0.0, 38, 0.0, 52, 0.0, 0, 0, 0, 0, 0, 1),
-    (80, 0.1, 9, 0.0, 66, 0.0, 0, 0, 0, 0, 0, 1),
-    (30, 0.0, 6, 0.0, 0, 0.0, 0, 0, 0, 0, 0, 1),
-    (18, 0.0, 2, 1.0, 40, 0.0, 0, 0, 0, 0, 0, 1),
-    (15, 0.0, 55, 0.0, 70, 0.0, 0, 0, 0, 0, 0, 1),
-    (12, 0.0, 30, 0.0, 3, 1.0, 0, 0, 0, 0, 0, 1),
-    (7, 0.0, 1, 1.0, 45, 0.0, 0, 0, 0, 1, 0, 1),
-    (4, 0.0, 60, 0.0, 50, 0.0, 0, 0, 0, 1, 0, 1),
-    (11, 0.0, 20, 0.0, 13, 0.0, 0, 0, 0, 0, 1, 1),
-    (5, 0.0, 40, 0.0, 30, 0.0, 0, 0, 0, 0, 0, 1),
-    (1, 0.0, 0, 0.0, 6, 0.0, 0, 0, 0, 1, 0, 1),
-    (2, 0.0, 0, 0.0, 50, 0.0, 0, 0, 0, 1, 0, 1),
-    (3, 0.0, 30, 0.0, 25, 0.0, 0, 0, 0, 0, 0, 1),
-    (1, 0.0, 4, 0.0, 8, 0.0, 0, 0, 0, 0, 0, 1),
-    (6, 0.0, 2, 0.0, 0, 0.0, 0, 0, 0, 0, 0, 1),
-    (9, 0.0, 1, 0.0, 5, 0.0, 0, 0, 0, 0, 0, 1),
-    (25, 0.1, 3, 1.0, 4, 1.0, 0, 0, 0, 0, 0, 1),
-    (2, 1.0, 1, 1.0, 2, 1.0, 0, 0, 0, 0, 1, 0),
-    (1, 1.0, 0, 0.0, 1, 1.0, 0, 0, 0, 0, 0, 0),
-    (4, 1.0, 3, 1.0, 20, 0.0, 0, 0, 0, 0, 0, 0),
-    (6, 0.9, 30, 0.0, 5, 1.0, 0, 0, 0, 0, 1, 0),
-    (9, 1.0, 8, 1.0, 9, 0.8, 0, 0, 0, 0, 1, 0),
-    (12, 0.8, 4, 1.0, 10, 1.0, 0, 0, 0, 0, 0, 0),
-    (20, 0.9, 15, 1.0, 18, 0.9, 0, 0, 0, 0, 0, 0),
-    (3, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0, 0, 0, 0),
+    (45, 0.0, 2, 1.0, 0, 0.0, 0, 0, 0, 0, 0, 0, 1),
+    (14, 0.0, 1, 1.0, 2, 1.0, 0, 0, 0, 0, 0, 0, 1),
+    (11, 0.0, 3, 1.0, 0, 0.0, 0, 0, 0, 0, 0, 0, 1),
+    (2, 0.0, 1, 1.0, 1, 1.0, 0, 0, 0, 0, 0, 0, 0),
+    (4, 0.0, 3, 1.0, 0, 0.0, 0, 0, 0, 0, 0, 0, 0),
+    (45, 0.0, 38, 0.0, 52, 0.0, 0, 0, 0, 0, 0, 0, 1),
+    (80, 0.1, 9, 0.0, 66, 0.0, 0, 0, 0, 0, 0, 0, 1),
+    (30, 0.0, 6, 0.0, 0, 0.0, 0, 0, 0, 0, 0, 0, 1),
+    (18, 0.0, 2, 1.0, 40, 0.0, 0, 0, 0, 0, 0, 0, 1),
+    (15, 0.0, 55, 0.0, 70, 0.0, 0, 0, 0, 0, 0, 0, 1),
+    (12, 0.0, 30, 0.0, 3, 1.0, 0, 0, 0, 0, 0, 0, 1),
+    (7, 0.0, 1, 1.0, 45, 0.0, 0, 0, 0, 1, 0, 0, 1),
+    (4, 0.0, 60, 0.0, 50, 0.0, 0, 0, 0, 1, 0, 0, 1),
+    (11, 0.0, 20, 0.0, 13, 0.0, 0, 0, 0, 0, 1, 0, 1),
+    (5, 0.0, 40, 0.0, 30, 0.0, 0, 0, 0, 0, 0, 0, 1),
+    (1, 0.0, 0, 0.0, 6, 0.0, 0, 0, 0, 1, 0, 0, 1),
+    (2, 0.0, 0, 0.0, 50, 0.0, 0, 0, 0, 1, 0, 0, 1),
+    (3, 0.0, 30, 0.0, 25, 0.0, 0, 0, 0, 0, 0, 0, 1),
+    (1, 0.0, 4, 0.0, 8, 0.0, 0, 0, 0, 0, 0, 0, 1),
+    (6, 0.0, 2, 0.0, 0, 0.0, 0, 0, 0, 0, 0, 0, 1),
+    (9, 0.0, 1, 0.0, 5, 0.0, 0, 0, 0, 0, 0, 0, 1),
+    (25, 0.1, 3, 1.0, 4, 1.0, 0, 0, 0, 0, 0, 0, 1),
+    (2, 1.0, 1, 1.0, 2, 1.0, 0, 0, 0, 0, 1, 0, 0),
+    (1, 1.0, 0, 0.0, 1, 1.0, 0, 0, 0, 0, 0, 0, 0),
+    (4, 1.0, 3, 1.0, 20, 0.0, 0, 0, 0, 0, 0, 0, 0),
+    (6, 0.9, 30, 0.0, 5, 1.0, 0, 0, 0, 0, 1, 0, 0),
+    (9, 1.0, 8, 1.0, 9, 0.8, 0, 0, 0, 0, 1, 0, 0),
+    (12, 0.8, 4, 1.0, 10, 1.0, 0, 0, 0, 0, 0, 0, 0),
+    (20, 0.9, 15, 1.0, 18, 0.9, 0, 0, 0, 0, 0, 0, 0),
+    (3, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0, 0, 0, 0, 0),
+    # a form, or a box with a telling name, around the whole page or nearly so
+    (60, 0.0, 5, 0.0, 80, 0.0, 0.0, 0, 0, 0, 0, 0, 1),
+    (9, 0.0, 0, 0.0, 70, 0.0, 0.05, 0, 0, 1, 0, 0, 1),
+    (45, 0.1, 12, 0.0, 33, 0.0, 0.1, 0, 0, 0, 0, 0, 1),
+    (30, 0.0, 40, 0.0, 0, 0.0, 0.15, 0, 1, 0, 0, 0, 1),
+    (90, 0.0, 2, 1.0, 25, 0.0, 0, 0.0, 0, 0, 0, 0, 1),
+    (14, 0.0, 60, 0.0, 35, 0.0, 0, 0.05, 1, 0, 0, 0, 1),
+    (50, 0.0, 0, 0.0, 40, 0.0, 0, 0.15, 1, 0, 0, 0, 1),
+    (22, 0.0, 31, 0.0, 18, 0.0, 0.0, 0.1, 0, 0, 0, 0, 1),
+    (5, 1.0, 4, 1.0, 6, 1.0, 0.05, 0, 0, 0, 1, 0, 0),
+    (3, 1.0, 2, 1.0, 40, 0.0, 0, 0.1, 0, 0, 0, 0, 0),
+    # boilerplate that holds many of a short page's words
+    (40, 0.0, 12, 0.0, 9, 0.0, 0.3, 0, 0, 0, 0, 0, 0),
+    (25, 0.0, 30, 0.0, 20, 0.0, 0, 0.35, 0, 0, 0, 0, 0),
+    # notices without telling names, and text that only mentions their words
+    (16, 0.0, 3, 1.0, 50, 0.0, 0, 0, 0, 0, 0, 2, 0),
+    (25, 0.1, 0, 0.0, 7, 0.0, 0, 0, 0, 0, 0, 3, 0),
+    (12, 0.0, 60, 0.0, 0, 0.0, 0, 0, 0, 0, 0, 3, 0),
+    (5, 0.0, 45, 0.0, 0, 0.0, 0, 0, 0, 0, 0, 2, 0),
+    (30, 0.0, 70, 0.0, 4, 0.0, 0, 0, 0, 0, 0, 2, 0),
+    (45, 0.0, 60, 0.0, 55, 0.0, 0, 0, 0, 0, 0, 1, 1),
+    (30, 0.0, 40, 0.0, 50, 0.0, 0, 0, 1, 0, 0, 1, 1),
+    (35, 0.0, 50, 0.0, 45, 0.0, 0, 0, 1, 0, 0, 2, 1),
+    (8, 0.0, 40, 0.0, 60, 0.0, 0, 0, 0, 1, 0, 1, 1),
 )
 
 
