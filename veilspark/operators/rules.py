@@ -70,17 +70,21 @@ def build(raw: dict) -> Rule:
     """A checked rule: its shape, its category's name, its own examples."""
     if not isinstance(raw, dict):
         raise RuleError("a rule is a mapping")
-    name, entity, kind, value = (raw.get(k) for k in ("name", "entity", "type", "value"))
+    name, entity, value = (raw.get(k) for k in ("name", "entity", "value"))
+    kind = raw.get("type", "term")
     if not isinstance(name, str) or not _NAME.fullmatch(name):
         raise RuleError("name does not fit")
     if not isinstance(entity, str) or not entity.strip():
         raise RuleError("entity is missing")
-    if kind not in SCORES:
+    if not isinstance(kind, str) or kind not in SCORES:
         raise RuleError("type is term or regex")
     if not isinstance(value, str) or not value.strip():
         raise RuleError("value is missing")
-    score = raw.get("score", SCORES[kind])
-    if isinstance(score, bool) or not isinstance(score, (int, float)) or not 0 < score <= 1:
+    try:
+        score = float(raw.get("score", SCORES[kind]))  # a number may be given as text
+    except (TypeError, ValueError):
+        raise RuleError("score is no number") from None
+    if not 0 < score <= 1:
         raise RuleError("score lies in (0, 1]")
     clean = entity.strip()
     if len(clean) > MAX_ENTITY or len(clean.split()) > MAX_WORDS:
@@ -91,7 +95,7 @@ def build(raw: dict) -> Rule:
     examples, counters = tuple(raw.get("examples") or ()), tuple(raw.get("counter_examples") or ())
     if not examples:
         raise RuleError("examples are missing")
-    rule = Rule(name, clean, kind, value, float(score), bool(raw.get("case_sensitive", False)), examples, counters)
+    rule = Rule(name, clean, kind, value, score, bool(raw.get("case_sensitive", False)), examples, counters)
     try:
         rx = rule.compiled()
     except regex.error:

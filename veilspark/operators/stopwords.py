@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Heads that a term has to end in, names and spans that no entry may hide.
@@ -50,9 +50,19 @@ def lint(entries: DataFrame, controls: Iterable[str] = CONTROL_SPANS, heads: Ite
         "hides": F.exists(F.array(*(F.lit(c) for c in controls)), hit),
         "misses": ~hit(F.coalesce("measured_span", term)),
         "no_probe": F.trim(F.coalesce("probe", F.lit(""))) == "",
-        "twice": F.count("*").over(Window.partitionBy("pattern")) > 1,
+        "twice": F.col("_n") > 1,
     }
-    return entries.withColumn("faults", F.array_compact(F.array(*(F.when(bad, F.lit(code)) for code, bad in codes.items()))))
+    # counted beside and joined: a pattern that very many entries share needs no task of its own
+    counts = entries.groupBy(F.col("pattern").alias("_pattern")).agg(F.count("*").alias("_n"))
+    counted = entries.join(counts, entries["pattern"].eqNullSafe(counts["_pattern"])).drop("_pattern")
+    return counted.withColumn("faults", F.array_compact(F.array(*(F.when(bad, F.lit(code)) for code, bad in codes.items())))).drop("_n")
+
+
+def conflicts(words: DataFrame, names: DataFrame, word: str = "term", name: str = "name") -> DataFrame:
+    """(term, n) of the stop words that would hide a name: those that equal one, with its number of rows; case and outer blanks don't count."""
+    plain = lambda c: F.lower(F.trim(F.col(c)))
+    held = names.select(plain(name).alias("_w")).where("_w <> ''").groupBy("_w").agg(F.count("*").alias("n"))
+    return words.select(F.col(word).alias("term"), plain(word).alias("_w")).distinct().join(held, "_w").select("term", "n")
 
 
 def allowed(spans: Column, text: Column, patterns: Iterable[str]) -> Column:

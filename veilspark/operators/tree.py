@@ -105,6 +105,21 @@ def detected(requests: DataFrame, raw: str = "raw", entities: Iterable[str] = D.
     return out.withColumn("_spans", F.transform("_texts", lambda ts: F.transform(ts, lambda t: F.transform(t["pieces"], lambda p: spans(p["text"])))))
 
 
+# Where a request's metadata carry the level and the approval.
+LEVEL_KEY, APPROVAL_KEY = "sensitivity_level", "sensitivity_approval"
+
+
+def requested(v: Column) -> tuple[Column, Column]:
+    """(approved, level) of a parsed request's metadata, by the type of the JSON: true or one of the texts approves, a number never does; a level is 1 to 3 as a number or text, none is null, and anything else counts as 3."""
+    meta = lambda key: _get(v, f"$.metadata.{key}")
+    approval, level = meta(APPROVAL_KEY), meta(LEVEL_KEY)
+    kind = F.schema_of_variant(approval)
+    approved = F.when(kind == "BOOLEAN", F.try_variant_get(approval, "$", "boolean")).when(kind == "STRING", S.approved(F.try_variant_get(approval, "$", _STRING)))
+    given = F.schema_of_variant(level)
+    plain = F.when(given.isin("BIGINT", "STRING"), F.try_variant_get(level, "$", _STRING)).otherwise(F.lit("?"))
+    return F.coalesce(approved, F.lit(False)), F.when(level.isNotNull() & (given != "VOID"), S.requested_level(plain))
+
+
 def quasi_types(found: DataFrame) -> Column:
     """Quasi-identifier types in the content of a request's messages, each once."""
     return F.array_sort(F.array_distinct(F.filter(F.transform(_content_spans(), lambda s: s["entity_type"]), lambda k: k.isin(*Q.QI_TYPES))))
@@ -124,17 +139,20 @@ def mask_request_json(found: DataFrame, keep: Iterable[str], approved: Column |
     they are put into their general form, else they stay.  Without it, or where
     it is null, and beside the content always, they are masked like all others.  Every
     text is classified before masking, arguments as their whole text; tier 3
-    blocks, tier 2 without ``approved`` too, and ``level`` can only raise a tier.  The texts of
+    blocks, tier 2 without ``approved`` too, and ``level`` can only raise a tier
+    (both are read from the request's metadata unless given).  The texts of
     arguments are searched again after masking without the placeholders that
     were given out; what is found blocks.  A blocked request has a null
     ``masked`` and an empty map.  Tokens that hold no hit keep their bytes.
     """
+    own_approved, own_level = requested(F.col("_v"))
+    approved, level = own_approved if approved is None else approved, own_level if level is None else level
     texts = F.flatten("_texts")
     # types found in a text link it to a person
     types = F.transform(F.flatten("_spans"), lambda s: F.transform(F.flatten(s), lambda x: x["entity_type"]))
     tiers = F.zip_with(texts, types, lambda t, k: C.tier(t["text"], k))
-    tier = F.greatest(F.coalesce(F.array_max(tiers), F.lit(1)), F.coalesce(level, F.lit(1)) if level is not None else F.lit(1))
-    gated = C.gate(found.withColumn("tier", tier).withColumn("_ok", F.coalesce(approved, F.lit(False)) if approved is not None else F.lit(False)), "_ok")
+    tier = F.greatest(F.coalesce(F.array_max(tiers), F.lit(1)), F.coalesce(level, F.lit(1)))
+    gated = C.gate(found.withColumn("tier", tier).withColumn("_ok", F.coalesce(approved, F.lit(False))), "_ok")
     made = gated.withColumn("_reason", F.coalesce("_reason", "reason_code")).drop("status", "reason_code")
     made = made.withColumn("_general", generalise if generalise is not None else F.lit(None).cast("boolean"))
     # one entry for each token: its text, its spans, and whether quasi-identifiers are generalised in it
