@@ -191,3 +191,17 @@ def test_wrappers_and_bare_notices():
     names = [html_extract.FEATURES.index(f) for f in ("boiler", "boiler_name", "notice")]
     blind = html_extract.grow([tuple(0.0 if k in names else float(x) for k, x in enumerate(r[:-1])) + (r[-1],) for r in html_extract.EXAMPLES])
     assert sum(html_extract.main_text(page, blind) == " ".join(text(n) for n in kept) for page, kept in pages.items()) < len(pages)
+
+
+def test_licences_in_many_wordings(spark):
+    from veilspark.llm import license_scan
+
+    known = {
+        "Licensed under Apache 2.0": "apache-2.0", "This program is free software licensed under GPLv3.": "gpl-3.0", "BSD-3-Clause": "bsd", "This work is in the public domain": "public-domain", "Licensed under the MIT licence": "mit", "Code is MIT licensed.": "mit",
+        "You can use it under the terms of the Mozilla Public License 2.0": "mpl-2.0",
+    }
+    other = ["Licensed under AGPLv3", "He studied at MIT and drove licensed taxis for Apache", "Licensed under the Foo License, version 3.", "Kommen Sie mit dem Auto, Lizenz nicht nötig, licence"]
+    table = spark.createDataFrame([(k, t, "en", "", 0) for k, t in enumerate([*known, *other])], DOCS)
+    got = {r["doc_id"]: r["family"] for r in license_scan.scan(table).collect()}
+    assert [got.get(k) for k in range(len(known))] == list(known.values())
+    assert all(got.get(len(known) + k, "unknown") == "unknown" for k in range(len(other)))

@@ -4,14 +4,16 @@ A passage is a line of a text, or a run of lines without a blank one between
 them (a wrapped notice) whose inner lines have at most ``MOST`` words.  Its
 features are the distinct words and word pairs of it that the trained
 vocabulary knows; a logistic regression over them (fitted in numpy on the
-labelled passages ``EXAMPLES``, one intercept and weight vector per family,
-families against ``none``) gives each family's probability.  Licences beyond
-the families are examples of ``none``.  The unknown class is calibrated: a
-prediction must have the least probability down to which leave-one-out
-predictions of families on the examples are right in a share of ``PRECISION``;
+labelled table: every name of ``NAMES`` in every one of ``WORDINGS``, and the
+passages ``EXAMPLES``; one intercept and weight vector per family, families
+against ``none``) gives each family's probability.  Licences beyond the
+families are examples of ``none``.  The unknown class is calibrated: a
+prediction must have the least probability down to which predictions on
+wordings that the model hasn't seen are right in a share of ``PRECISION``;
 where no probability reaches that, nothing is confirmed.  A prediction is then
-confirmed by comparison with the family's templates: enough of the words of one
-template must occur in the passage.
+confirmed by comparison with the family's templates (its names and its long
+clauses, not the wordings): enough of the words of one must occur in the
+passage.
 
 Before anything is split, texts are passed over that have neither one of the
 ``CUES`` nor one of the ``guards``: words of which every passage that covers a
@@ -103,6 +105,10 @@ EXAMPLES = (
     ("public-domain", "Dedicated to the public domain under CC0 1.0."),
     ("public-domain", "Released into the public domain under CC0 1.0 Universal."),
     ("public-domain", "This is free software released into the public domain."),
+    ("public-domain", "This work is in the public domain."),
+    ("public-domain", "The text is in the public domain."),
+    ("public-domain", "These files belong to the public domain."),
+    ("public-domain", "The author has placed this work in the public domain."),
     ("none", "She passed her driving licence test last week."),
     ("none", "The licence fee was raised by the government in spring."),
     ("none", "All rights reserved. Copyright 2020 by the publisher."),
@@ -178,52 +184,111 @@ EXAMPLES = (
     ("none", "Released under a licence of our own."),
     ("none", "The work is not in the public domain."),
     ("none", "He studied at MIT and wrote about the Apache helicopter."),
+    ("none", "Kommen Sie mit dem Auto, mit Ihrer licence und mit den Papieren."),
+    ("none", "mit der licence und mit dem Vertrag"),
+    ("none", "mit einer license für das Programm, mit Support"),
 )
+# How licences are called, families first and then licences beyond them.
+NAMES = {
+    "mit": ("MIT License", "MIT license (MIT)", "MIT", "Expat (MIT) license"),
+    "apache-2.0": ("Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0", "Apache-2.0", "Apache licence v2"),
+    "gpl-3.0": ("GNU General Public License, version 3", "GNU GPL version 3 or later", "GPL-3.0-only", "GPL-3.0-or-later", "GPLv3", "GNU GPL v3", "GPL 3.0"),
+    "lgpl-2.1": ("GNU Lesser General Public License, version 2.1", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPLv2.1", "GNU LGPL version 2.1"),
+    "bsd": ("BSD 3-Clause License", "BSD 2-Clause License", "BSD-3-Clause", "BSD-2-Clause", "simplified BSD license", "new BSD license", "BSD license"),
+    "mpl-2.0": ("Mozilla Public License, version 2.0", "Mozilla Public License, v. 2.0", "MPL-2.0", "MPL 2.0", "Mozilla Public License 2.0"),
+    "cc-by": ("CC BY 4.0", "CC-BY-4.0", "Creative Commons Attribution 4.0 International License", "Creative Commons Attribution License"),
+    "cc-by-sa": ("CC BY-SA 4.0", "CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International License", "Creative Commons Attribution-ShareAlike License"),
+    "cc-by-nc": ("CC BY-NC 4.0", "CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International License", "Creative Commons Attribution-NonCommercial License"),
+    "public-domain": ("CC0 1.0 Universal", "CC0-1.0", "CC0", "public domain under CC0", "Unlicense"),
+    "none": (
+        "GNU Affero General Public License, version 3", "AGPL-3.0-only", "AGPLv3", "GNU AGPL version 3", "GNU General Public License, version 2", "GPL-2.0-only", "GPL-2.0-or-later", "GPLv2", "GNU GPL version 2",
+        "GNU Lesser General Public License, version 3", "LGPL-3.0-only", "LGPLv3", "Eclipse Public License, version 2.0", "EPL-2.0", "Common Public License, version 1.0", "ISC License", "ISC", "European Union Public Licence, version 1.2",
+        "EUPL-1.2", "Mozilla Public License, version 1.1", "MPL-1.1", "MPL 1.1", "Apache License, Version 1.1", "Apache-1.1", "Apache 1.1", "zlib License", "Zlib", "Boost Software License, Version 1.0", "BSL-1.0", "Artistic License 2.0",
+        "Artistic-2.0", "PostgreSQL License", "SIL Open Font License, Version 1.1", "OFL-1.1", "Business Source License 1.1", "Server Side Public License, version 1", "SSPL-1.0", "Elastic License 2.0", "Microsoft Public License", "Python Software Foundation License",
+        "CC BY-ND 4.0", "CC-BY-ND-4.0", "CC BY-NC-SA 4.0", "CC BY-NC-ND 4.0", "Creative Commons Attribution-NoDerivatives 4.0 International License", "Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License",
+        "Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License", "commercial license", "proprietary license", "licence of our own", "license agreement",
+    ),
+}
+#: Ways to say that a licence applies; every name is put into every one of them.
+WORDINGS = (
+    "Licensed under the {}.", "Released under the {}.", "This work is licensed under a {}.", "This project is licensed under the terms of the {}.", "SPDX-License-Identifier: {}", "License: {}", "Distributed under the {}, see the file LICENSE.",
+    "This software is available under the {}.", "Available under the terms of the {}", "Content under {} license", "This program is free software licensed under {}.", "The code is {} licensed.", "Source code: {}", "Permission is given under the {}", "Copyright 2020 the authors, {}", "{}",
+)
+#: How much an example counts for, beside a name in a wording.
+WEIGHT = 8.0
+#: Groups of wordings of which each is kept out once.
+FOLDS = 8
 _SPLIT = r"[^a-z0-9.+-]+"
+#: Spellings that are one word.
+_SPELT = r"licen[cs](?:ed|es|e)\b"
+#: Words of an example from which on it is a clause, and so a template.
+CLAUSE = 12
 #: Words that the inner lines of a run may have: twice the longest template's.
 MOST = 2 * max(len(re.split(_SPLIT, t.lower())) for f, t in EXAMPLES if f != "none")
 
 
 def tokens(text: str) -> list[str]:
-    return [w.strip(".") for w in re.split(_SPLIT, text.lower()) if w.strip(".")]
+    return [w.strip(".") for w in re.split(_SPLIT, re.sub(_SPELT, "license", text.lower())) if w.strip(".")]
 
 
 def grams(words: list[str]) -> set[str]:
     return set(words) | {f"{a} {b}" for a, b in zip(words, words[1:])}
 
 
-def _descent(gram: np.ndarray, y: np.ndarray, steps: int = 300, rate: float = 0.5, penalty: float = 0.002) -> np.ndarray:
+def labelled() -> list[tuple[str, set[str], int, float]]:
+    """(family, features, fold, weight) of the labelled table: every name in every wording, a wording in one fold, and the examples."""
+    made = [(f, grams(tokens(w.format(n))), k % FOLDS, 1.0) for f, names in NAMES.items() for n in names for k, w in enumerate(WORDINGS)]
+    return made + [(f, grams(tokens(t)), k % FOLDS, WEIGHT) for k, (f, t) in enumerate(EXAMPLES)]
+
+
+@cache
+def templates() -> dict[str, tuple[tuple[str, ...], ...]]:
+    """Of each family the words that confirm it: its names (a plain word only together with the word license) and the long clauses of its licences."""
+    out = {}
+    for f in sorted(set(NAMES) - {"none"}):
+        own = [tokens(n) for n in NAMES[f]]
+        own = [w + ["license"] if len(w) == 1 and w[0].isalpha() and "licen" not in w[0] else w for w in own]
+        own += [["public", "domain"]] if f == "public-domain" else []
+        own += [w for w in (tokens(t) for g, t in EXAMPLES if g == f) if len(w) >= CLAUSE]
+        out[f] = tuple(sorted({tuple(sorted(set(w))) for w in own}))
+    return out
+
+
+def _descent(gram: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 300, rate: float = 1.5, penalty: float = 0.0005) -> np.ndarray:
     """Multinomial logistic regression by gradient descent, as weights of the examples, of whose products ``gram`` consists."""
     own = np.zeros_like(y)
     for _ in range(steps):
         z = gram @ own
         p = np.exp(z - z.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
-        own -= rate * ((p - y) / len(y) + penalty * own)
+        own -= rate * (weight * (p - y) / len(y) + penalty * own)
     return own
 
 
-def _fit(rows: list[tuple[str, set[str]]]) -> tuple[list[str], dict[str, int], np.ndarray, list[tuple[float, bool]]]:
-    """Families, vocabulary, weights (a last row of intercepts), and (probability, right) of each leave-one-out prediction of a family."""
-    families = sorted({f for f, _ in rows})
-    vocabulary = {g: i for i, g in enumerate(sorted(set().union(*(g for _, g in rows))))}
-    x = np.zeros((len(rows), len(vocabulary) + 1))
-    y = np.zeros((len(rows), len(families)))
-    for k, (f, own) in enumerate(rows):
+def _fit(rows: list[tuple[str, set[str], int, float]]) -> tuple[list[str], dict[str, int], np.ndarray, list[tuple[float, bool]]]:
+    """Families, vocabulary, weights (a last row of intercepts), and (probability, right) of each prediction of a family by a model that has not seen its fold."""
+    families = sorted({f for f, *_ in rows})
+    vocabulary = {g: i for i, g in enumerate(sorted(set().union(*(g for _, g, *_ in rows))))}
+    x = np.zeros((len(rows), len(vocabulary) + 1), dtype=np.float32)
+    y = np.zeros((len(rows), len(families)), dtype=np.float32)
+    fold, weight = np.array([k for *_, k, _ in rows]), np.array([[x] for *_, x in rows], dtype=np.float32)
+    for k, (f, own, *_) in enumerate(rows):
         x[k, [vocabulary[g] for g in own]] = 1
         x[k, -1] = 1
         y[k, families.index(f)] = 1
     gram = x @ x.T
-    w = x.T @ _descent(gram, y)
-    w[np.abs(w) < 1e-3] = 0.0  # sparse
+    w = (x.T @ _descent(gram, y, weight)).astype(float)
+    w[np.abs(w) < 0.1] = 0.0  # sparse
     tried = []
-    for k, (f, _) in enumerate(rows):
-        rest = np.arange(len(rows)) != k
-        z = gram[k, rest] @ _descent(gram[np.ix_(rest, rest)], y[rest])
-        p = np.exp(z - z.max())
-        p /= p.sum()
-        if families[int(p.argmax())] != "none":
-            tried.append((float(p.max()), families[int(p.argmax())] == f))
+    for k in sorted(set(fold.tolist())):
+        out, rest = fold == k, fold != k
+        z = gram[np.ix_(out, rest)] @ _descent(gram[np.ix_(rest, rest)], y[rest], weight[rest])
+        p = np.exp(z - z.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        for i, row in zip(np.flatnonzero(out).tolist(), p):
+            named = families[int(row.argmax())]
+            if named != "none":
+                tried.append((float(row.max()), named == rows[i][0]))
     return families, vocabulary, w, tried
 
 
@@ -241,7 +306,7 @@ def least_probability(tried: list[tuple[float, bool]]) -> float:
 @cache
 def model() -> tuple[list[str], dict[str, int], np.ndarray, float]:
     """Families, vocabulary, weights and the least probability of a known family."""
-    families, vocabulary, w, tried = _fit([(f, grams(tokens(t))) for f, t in EXAMPLES])
+    families, vocabulary, w, tried = _fit(labelled())
     return families, vocabulary, w, least_probability(tried)
 
 
@@ -250,7 +315,7 @@ def guards() -> tuple[str, ...]:
     """Strings of which every text has one that has a cue or covers a template to ``COVER``: of each template one word more than may be missing."""
     found = set(CUES)
     rank = lambda w: (not any(c in w for c in CUES), w.isalpha() or len(w) < 3, -len(w), w)
-    for own in (set(tokens(t)) for f, t in EXAMPLES if f != "none"):
+    for own in (set(t) for ts in templates().values() for t in ts):
         missing = len(own) - math.ceil(COVER * len(own) - 1e-6)
         found |= set(sorted(own, key=rank)[: missing + 1])
     return tuple(sorted(w for w in found if not any(o in w for o in found if o != w)))
@@ -296,6 +361,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     table = weights.agg(F.map_from_entries(F.collect_list(F.struct("g", "w"))).alias("m")).scalar()
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     whole = docs.select(F.col(id_col).alias("_id"), F.lower(text).alias("_low")).where(_has(F.col("_low"), guards()))
+    whole = whole.withColumn("_low", F.regexp_replace("_low", _SPELT, "license"))
     rows = _passages(whole.withColumn("_row", F.monotonically_increasing_id()))
     rows = rows.select("_row", "_id", "start", "lines", "_cue", _words(F.col("_low")).alias("_w"))
     pairs = F.when(F.size("_w") > 1, F.zip_with(F.slice("_w", F.lit(1), F.size("_w") - 1), F.slice("_w", F.lit(2), F.size("_w") - 1), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
@@ -307,9 +373,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     rows = rows.withColumn("probability", F.lit(1.0) / F.aggregate("_z", F.lit(0.0), lambda s, z: s + F.exp(z - F.col("_top"))))
     names = F.array(*(F.lit(f) for f in families))
     rows = rows.withColumn("_f", F.get(names, (F.array_position("_z", F.col("_top")) - 1).cast("int")))
-    templates = {f: [sorted(set(tokens(t))) for g, t in EXAMPLES if g == f] for f in families}
     cover: Column = F.lit(0.0)
-    for f, own in templates.items():
+    for f, own in templates().items():
         shares = [F.size(F.array_intersect(F.array(*(F.lit(x) for x in t)), F.col("_w"))) / F.lit(float(len(t))) for t in own]
         cover = F.when(F.col("_f") == f, F.greatest(*shares) if len(shares) > 1 else shares[0]).otherwise(cover)
     rows = rows.withColumn("cover", F.round(cover, 9))
