@@ -95,7 +95,7 @@ def detected(requests: DataFrame, raw: str = "raw", entities: Iterable[str] = D.
     kind = F.coalesce(F.schema_of_variant(_get(v, "$.messages")), F.lit("VOID"))
     out = requests.withColumn("_v", F.try_parse_json(raw))
     out = out.withColumn("_messages", F.when(kind.startswith("ARRAY<"), _get(v, "$.messages", "array<variant>")).otherwise(F.array().cast("array<variant>")))
-    reasons = F.transform("_messages", lambda m: V.message_reason(F.to_json(m), images, service))
+    reasons = F.transform("_messages", lambda m: V.message_reason(F.to_json(m), images, service, m))
     whole = F.when(v.isNull() | ~F.schema_of_variant(v).startswith("OBJECT"), "request").when(~kind.startswith("ARRAY<") & (kind != "VOID"), "messages")
     out = out.withColumn("_texts", F.transform("_messages", message_texts))
     broken = F.get(F.filter(F.transform(F.flatten("_texts"), lambda t: t["bad"]), lambda b: b.isNotNull()), F.lit(0))

@@ -87,14 +87,16 @@ def _part_ok(p: Column, policy: str | None, service: bool) -> Column:
     return _is(p, "OBJECT", absent=False) & _cache_ok(_field(p, "$.cache_control")) & (text | image)
 
 
-def message_reason(raw: Column, images: str | None = None, service: bool = False) -> Column:
+def message_reason(raw: Column, images: str | None = None, service: bool = False, parsed: Column | None = None) -> Column:
     """Reason code of the first rule that a message breaks, or null.  Codes never carry the message's values.
 
     Types are those of the parsed JSON, so a number, flag or object never
     passes for a text.  JSON with repeated keys is no object.  ``images`` and
     ``service`` are those of ``image_policy``: by default images block.
+    ``parsed`` is the message as a variant where there is a column of it, so
+    that it isn't parsed for every rule.
     """
-    v = F.try_parse_json(raw)
+    v = F.try_parse_json(raw) if parsed is None else parsed
     array = lambda path: F.try_variant_get(v, path, "array<variant>")
     calls, content = _field(v, "$.tool_calls"), _field(v, "$.content")
     listed = _is(content, "ARRAY", absent=False)
@@ -114,7 +116,7 @@ def message_reason(raw: Column, images: str | None = None, service: bool = False
 
 def validate(messages: DataFrame, raw_col: str = "raw", request: str = "request_id") -> DataFrame:
     """Adds ``reason_code`` per message and ``status`` per request: one bad message blocks its whole request."""
-    told = messages.withColumn("reason_code", message_reason(F.col(raw_col)))
+    told = messages.withColumn("_v", F.try_parse_json(raw_col)).withColumn("reason_code", message_reason(F.col(raw_col), parsed=F.col("_v"))).drop("_v")
     blocked = F.bool_or(F.col("reason_code").isNotNull()).over(Window.partitionBy(request))
     return told.withColumn("status", F.when(blocked, "blocked").otherwise("ok"))
 
