@@ -335,11 +335,15 @@ def _words(text: Column) -> Column:
 def _passages(texts: DataFrame) -> DataFrame:
     """(_row, id, start, lines, _low, _cue) of the lines and runs of lines of (_row, id, _low) that have a guard."""
     keep = [c for c in texts.columns if c != "_low"]
+    # lines with a guard are marked once; a line is looked at if one of them can lie in a run from it
     lines = texts.select(*keep, F.split("_low", "\n").alias("_l"))
-    # each line with the lines that a run from it may have
-    lines = lines.select(*keep, F.posexplode(F.transform("_l", lambda x, i: F.struct(x.alias("x"), F.slice(F.col("_l"), i + 2, MOST + 1).alias("after")))).alias("start", "_s"))
+    marked = F.filter(F.transform("_l", lambda x, i: F.when(_has(x, guards()), i)), lambda i: i.isNotNull())
+    lines = lines.select(*keep, "_l", marked.alias("_f")).where(F.size("_f") > 0)
     blank = lambda x: x.rlike(r"^[\s#*/;>|%-]*$")
-    near = lines.where(_has(F.concat_ws("\n", "_s.x", "_s.after"), guards()) & ~blank(F.col("_s.x")))
+    begins = F.filter(F.transform("_l", lambda x, i: F.struct(i.alias("at"), x.alias("x"))), lambda s: F.exists("_f", lambda p: (p >= s["at"]) & (p <= s["at"] + MOST + 1)) & ~blank(s["x"]))
+    # each with the lines that a run from it may have
+    near = lines.select(*keep, F.explode(F.transform(begins, lambda s: F.struct(s["at"].alias("at"), s["x"].alias("x"), F.slice(F.col("_l"), s["at"] + 2, F.lit(MOST + 1)).alias("after")))).alias("_s"))
+    near = near.select(*keep, F.col("_s.at").alias("start"), "_s")
     first = F.struct(F.col("_s.x").alias("text"), F.lit(0).alias("inner"), F.lit(0).alias("last"), F.lit(True).alias("open"), F.array(F.struct(F.lit(1).alias("lines"), F.col("_s.x").alias("_low"))).alias("runs"))
 
     def longer(s: Column, x: Column) -> Column:
@@ -360,8 +364,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     weights = spark.createDataFrame([(g, [float(v) for v in w[vocabulary[g]]]) for g in known], "g string, w array<double>")
     table = weights.agg(F.map_from_entries(F.collect_list(F.struct("g", "w"))).alias("m")).scalar()
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    whole = docs.select(F.col(id_col).alias("_id"), F.lower(text).alias("_low")).where(_has(F.col("_low"), guards()))
-    whole = whole.withColumn("_low", F.regexp_replace("_low", _SPELT, "license"))
+    # the lower-cased text is bound to a variable: as a column it would be made anew for every guard
+    some = docs.where(F.exists(F.array(F.lower(text)), lambda low: _has(low, guards())))
+    whole = some.select(F.col(id_col).alias("_id"), F.regexp_replace(F.lower(text), _SPELT, "license").alias("_low"))
     rows = _passages(whole.withColumn("_row", F.monotonically_increasing_id()))
     rows = rows.select("_row", "_id", "start", "lines", "_cue", _words(F.col("_low")).alias("_w"))
     pairs = F.when(F.size("_w") > 1, F.zip_with(F.slice("_w", F.lit(1), F.size("_w") - 1), F.slice("_w", F.lit(2), F.size("_w") - 1), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
