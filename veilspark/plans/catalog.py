@@ -101,8 +101,8 @@ _DOCS = "(SELECT doc_id AS id, text FROM documents WHERE text IS NOT NULL)"
 _EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 _IP = r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"
 _CARD = r"\b[0-9](?:[ -]?[0-9]){12,18}\b"
-# edges by one consumed character at each side
-_PHONE = r"(^|[^0-9A-Za-z_+])((?:\+|0)[0-9](?:[ /()-]{0,2}[0-9]){6,13})([^0-9]|$)"
+# the edge before is one consumed character; the one behind is a word edge, or a letter that can't stand before a number, as a consumed separator would be missing before the next number
+_PHONE = r"(^|[^0-9A-Za-z_+])((?:\+|0)[0-9](?:[ /()-]{0,2}[0-9]){6,13})(?:\b|[A-Za-z_])"
 _PLAIN = "regexp_replace(regexp_replace(value, '[^0-9]', '', 'g'), '^00', '')"
 _CODE = f"CASE WHEN {_PLAIN}[1] IN ('1', '7') THEN 1 WHEN {_PLAIN}[1:2] IN ({', '.join(repr(c) for c in S.TWO_DIGIT_CODES)}) THEN 2 ELSE 3 END"
 _PLAN = f"""CASE WHEN value LIKE '+%' OR regexp_replace(value, '[^0-9]', '', 'g') LIKE '00%' THEN {_PLAIN} NOT LIKE '0%' AND length({_PLAIN}) - {_CODE} BETWEEN
