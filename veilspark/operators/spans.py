@@ -20,18 +20,19 @@ def islands(spans: DataFrame, keys: list[str]) -> DataFrame:
     """One row per island of overlapping spans: keys, start, end, entity_type, score.
 
     Coverage is the union; touching spans stay apart.  The type is that of the
-    best score, then the longest, then the first span.
+    best score, then the longest, then the first span, and of equal ones the
+    first in the alphabet.
     """
     order = Window.partitionBy(*keys).orderBy("start", "end")
     before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     marked = spans.withColumn("_new", F.when(before.isNull() | (F.col("start") >= before), 1).otherwise(0))
-    numbered = marked.withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    best = F.struct("score", F.col("end") - F.col("start"), -F.col("start"))
-    return numbered.groupBy(*keys, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max_by("entity_type", best).alias("entity_type"), F.max("score").alias("score")).drop("_island")
+    numbered = marked.withColumn("_island", F.sum("_new").over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
+    best = F.struct(F.coalesce(-F.col("score"), F.lit(float("inf"))), F.col("start") - F.col("end"), "start", "entity_type")
+    return numbered.groupBy(*keys, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("entity_type", best).alias("entity_type"), F.max("score").alias("score")).drop("_island")
 
 
 def sweep(found: list[tuple[str, int, int, float]]) -> list[tuple[str, int, int, float]]:
-    """Union of overlapping intervals from their sorted ends; of each union's spans the best score, then the longest, then the first names it."""
+    """Union of overlapping intervals from their sorted ends; of each union's spans the best score, then the longest, then the first, then the first type in the alphabet names it."""
     ends = sorted([(a, 1) for _, a, b, _ in found if a < b] + [(b, -1) for _, a, b, _ in found if a < b])
     unions, depth = [], 0
     for at, step in ends:  # at one place an end comes before a start, so touching spans stay apart
@@ -47,7 +48,7 @@ def sweep(found: list[tuple[str, int, int, float]]) -> list[tuple[str, int, int,
             own[bisect_right(begins, s[1]) - 1].append(s)
     out = []
     for (begin, end), group in zip(unions, own, strict=True):
-        kind, _, _, score = min(group, key=lambda s: (-s[3], s[1] - s[2], s[1]))
+        kind, _, _, score = min(group, key=lambda s: (-s[3], s[1] - s[2], s[1], s[0]))
         out.append((kind, begin, end, score))
     return out
 

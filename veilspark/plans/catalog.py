@@ -153,9 +153,10 @@ def _line_spans(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), at.cast("int").alias("start"), (at + 3 + F.col("l_suppkey") % 9).cast("int").alias("end"), F.concat(F.lit("T"), F.col("l_linenumber").cast("string")).alias("entity_type"), (1.0 / (1 + F.col("l_linenumber"))).alias("score"))
 
 
+# spans of one start and end are peers (RANGE), so that they fall into one island in whatever order two windows read them
 _ISLANDS_SQL = f"""WITH s AS (SELECT * FROM {_SPANS}), m AS (SELECT *, max("end") OVER (PARTITION BY doc ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM s),
-    n AS (SELECT *, sum(CASE WHEN b IS NULL OR start >= b THEN 1 ELSE 0 END) OVER (PARTITION BY doc ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS g FROM m)
-    SELECT doc, CAST(min(start) AS INTEGER) AS start, CAST(max("end") AS INTEGER) AS "end", arg_max(entity_type, score) AS entity_type FROM n GROUP BY doc, g"""
+    n AS (SELECT *, sum(CASE WHEN b IS NULL OR start >= b THEN 1 ELSE 0 END) OVER (PARTITION BY doc ORDER BY start, "end" RANGE UNBOUNDED PRECEDING) AS g FROM m)
+    SELECT doc, CAST(min(start) AS INTEGER) AS start, CAST(max("end") AS INTEGER) AS "end", first(entity_type ORDER BY score DESC, "end" - start DESC, start, entity_type) AS entity_type FROM n GROUP BY doc, g"""
 
 
 @query(_ISLANDS_SQL)
