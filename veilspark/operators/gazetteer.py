@@ -1,8 +1,9 @@
-"""Names of many words from a table, found in texts by a join on the first word.
+"""Names of many words from a table, found in texts by a join on all their words.
 
 The names are never collected or broadcast on purpose: a table of names may be
-as large as the texts.  A text's words are rows (with the words that follow),
-names meet them by their first folded word, and the longest name at each word
+as large as the texts.  A text's words are narrow rows that meet the first
+words of names; where one is met, as many words as a name of it has are a row,
+and rows meet names by all their folded words.  The longest name at each word
 wins.
 """
 
@@ -11,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
 from .detect import matches
 
 WORD = r"(?U)\w+"
@@ -40,15 +42,20 @@ def find_names(texts: DataFrame, names: DataFrame, key: str, text: str = "text",
     nothing; a name that occurs twice counts once.
     """
     known = names.select(F.col(entity).alias("entity_type"), name_words(F.col(name)).alias("_name")).where("size(_name) > 0").groupBy("_name").agg(F.min("entity_type").alias("entity_type"))
-    known = known.select("entity_type", "_name", F.get("_name", F.lit(0)).alias("_first"), F.size("_name").alias("_n"))
-    # of each first word only as many following words are carried along as its longest name has
-    reach = known.groupBy("_first").agg(F.max("_n").alias("_reach"))
-    words = texts.select(F.col(key).alias("_key"), F.col(text).alias("_text"), matches(F.col(text), WORD).alias("_w"))
-    words = words.select("_key", "_text", F.posexplode("_w").alias("_k", "_x"), "_w").select("_key", "_text", "_k", folded(F.col("_x.value")).alias("_first"), "_w")
-    near = words.join(reach, "_first").select("_key", "_first", "_k", F.slice("_w", F.col("_k") + 1, F.col("_reach")).alias("_next"), "_text")
-    met = near.select("_key", "_first", "_k", F.transform("_next", lambda x: folded(x["value"])).alias("_words"), "_next", "_text").join(known, "_first")
-    met = met.where(F.slice("_words", 1, F.col("_n")) == F.col("_name"))
+    known = written(known, "names")
+    # the lengths of the names that begin with a word: many names may begin with the same one, so it never meets the names themselves
+    firsts = written(known.groupBy(F.get("_name", F.lit(0)).alias("_first")).agg(F.sort_array(F.collect_set(F.size("_name"))).alias("_sizes")), "first-words")
+    own = texts.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    words = own.select("_key", F.posexplode(F.regexp_extract_all("_text", F.lit(WORD), F.lit(0))).alias("_k", "_first")).withColumn("_first", folded(F.col("_first")))
+    hits = words.join(firsts, "_first").groupBy(F.col("_key").alias("_of")).agg(F.collect_list(F.struct("_k", "_sizes")).alias("_hits"))
+    # each text comes once, with the places where a name may begin; only the words of a possible name go on
+    def possible(w: Column, k: Column, n: Column) -> Column:
+        start, end = F.get(w, k)["start"], F.get(w, k + n - 1)["end"]
+        return F.struct(k.alias("_k"), n.alias("_n"), F.transform(F.slice(w, k + 1, n), lambda x: folded(x["value"])).alias("_name"), start.alias("start"), end.alias("end"), F.substring("_text", start + 1, end - start).alias("value"))
+
+    fitting = lambda w: F.flatten(F.transform("_hits", lambda h: F.transform(F.filter(h["_sizes"], lambda n: h["_k"] + n <= F.size(w)), lambda n: possible(w, h["_k"], n))))
+    near = own.join(hits, F.col("_key").eqNullSafe(F.col("_of"))).select("_key", F.explode(F.flatten(F.transform(F.array(matches(F.col("_text"), WORD)), fitting))).alias("_p")).select("_key", "_p.*")
+    met = near.join(known, "_name")
     longest = Window.partitionBy("_key", "_k").orderBy(F.desc("_n"), "entity_type")
     best = met.withColumn("_r", F.row_number().over(longest)).where("_r = 1")
-    start, end = F.get("_next", F.lit(0))["start"], F.get("_next", F.col("_n") - 1)["end"]
-    return best.select(F.col("_key").alias(key), "entity_type", start.alias("start"), end.alias("end"), F.substring("_text", start + 1, end - start).alias("value"))
+    return best.select(F.col("_key").alias(key), "entity_type", "start", "end", "value")
