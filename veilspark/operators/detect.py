@@ -27,7 +27,7 @@ class Pattern:
     needs: str = ""
 
 
-# Patterns and scores.
+# Patterns and scores.  A look-behind stands after a look at what follows, as it is slow and would else be tried at every character.
 _HOUSE = r"[ ]+\d{1,4}[ ]?[a-zA-Z]?(?:[ ]*[-–][ ]*\d{1,4}[ ]?[a-zA-Z]?)?\b"
 _NAME = r"(?-i:[A-ZÄÖÜ])[A-Za-zÄÖÜäöüß]*"
 _FORMS = r"GmbH[ ]?&[ ]?Co\.[ ]?KG|gGmbH|GmbH|KGaA|UG[ ]?\(haftungsbeschränkt\)|mbH|AG|KG|OHG|GbR|e\.[ ]?V\.|e\.[ ]?G\.|SE|Inc\.|Ltd\.|LLC"
@@ -79,8 +79,8 @@ PATTERNS = (
     Pattern("DE_STRASSE", "street_one_word", _NAME + r"(?:straße|strasse|str\.|weg|allee|platz|gasse|ring|damm|ufer|steig|chaussee|pfad)" + _HOUSE, 0.85, needs=_DIGIT),
     Pattern("DE_STRASSE", "street_two_words", _NAME + r"[ ](?:straße|strasse|allee|platz|gasse|ring|damm|ufer|steig|chaussee|pfad)" + _HOUSE, 0.4, needs=_DIGIT),
     Pattern("DE_PLZ", "postal_code", r"\b\d{5}\b", 0.35, needs=_DIGIT),
-    Pattern("DE_GEBURTSJAHR", "birth_year", r"(?<=(?:geboren|jahrgang|geburtsjahr|geb\.)[ ]{0,4})(?:19\d{2}|20[0-2]\d)\b", 0.6, needs=_BIRTH),
-    Pattern("DE_GEBURTSDATUM", "birth_date", r"(?<=(?:geboren(?:[ ]{1,8}am)?|geburtsdatum|geb\.)[ :]{0,4})\d{1,2}\.\d{1,2}\.(?:\d{4}|\d{2})\b", 0.65, needs=_BIRTH),
+    Pattern("DE_GEBURTSJAHR", "birth_year", r"(?=19|20)(?<=(?:geboren|jahrgang|geburtsjahr|geb\.)[ ]{0,4})(?:19\d{2}|20[0-2]\d)\b", 0.6, needs=_BIRTH),
+    Pattern("DE_GEBURTSDATUM", "birth_date", r"(?=\d{1,2}\.\d)(?<=(?:geboren(?:[ ]{1,8}am)?|geburtsdatum|geb\.)[ :]{0,4})\d{1,2}\.\d{1,2}\.(?:\d{4}|\d{2})\b", 0.65, needs=_BIRTH),
     Pattern("DE_TVOED_STUFE", "pay_grade", r"\b(?:TVöD|TVoeD|TV-L|Besoldungsgruppe|Entgeltgruppe|BesGr)[ ]*[A-W]?[ ]?\d{1,2}\b", 0.6, needs=_DIGIT),
     Pattern("DE_TVOED_STUFE", "pay_grade_short", r"\b(?:EG|E|A|B|R|W)[ ]?\d{1,2}\b", 0.3, needs=_DIGIT),
     Pattern("DE_GENDER", "gender", deny_list(GENDERS), 0.9),

@@ -54,7 +54,7 @@ _PERSON_SQL = """(SELECT c_custkey AS id, 'Kunde ' || c_name || ', PLZ ' || lpad
 
 def persons(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = _PERSON_SQL.strip()[1:-1].replace("VARCHAR", "STRING").replace("FROM customer", "FROM {c}")
-    return spark.sql(made, c=table(spark, sf_dir, "customer"))
+    return spark.sql(made, c=spread(table(spark, sf_dir, "customer").select("c_custkey", "c_name")))
 
 
 def _spans_sql(source: str, rx: str, group: int = 0, key: str = "id", keep: str = "TRUE") -> str:
