@@ -131,9 +131,9 @@ def matches(text: Column, regex: str, needs: str = "") -> Column:
         b = a + F.length(x["h"])
         return F.struct(b.alias("at"), F.concat(s["out"], F.array(F.struct(x["h"].alias("value"), a.alias("start"), b.alias("end")))).alias("out"))
 
-    # one row of both arrays, so that each is made once however often it is named; texts without a match are left after the first search
-    both = F.array(F.struct(F.regexp_extract_all(text, rx, F.lit(0)).alias("hits"), F.split(text, regex, -1).alias("parts")))
-    pairs = lambda x: F.zip_with(x["hits"], F.slice(x["parts"], F.lit(1), F.size(x["hits"])), lambda h, p: F.struct(h.alias("h"), p.alias("p")))
+    # the hits as one row, so that they are made once however often they are named; a text without one isn't split
+    hits = F.array(F.regexp_extract_all(text, rx, F.lit(0)))
+    pairs = lambda h: F.when(F.size(h) > 0, F.zip_with(h, F.slice(F.split(text, regex, -1), F.lit(1), F.size(h)), lambda h, p: F.struct(h.alias("h"), p.alias("p"))))
 
     def block(s: Column, own: Column) -> Column:
         # a block of hits goes on from where the last one ended; arrays grow by blocks, so very many hits cost little more than their number
@@ -144,9 +144,9 @@ def matches(text: Column, regex: str, needs: str = "") -> Column:
         blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / BLOCK).cast("int")), lambda k: F.slice(x, k * BLOCK + 1, F.lit(BLOCK)))
         return F.flatten(F.aggregate(blocks, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind}>").alias("out")), block)["out"])
 
-    found = F.transform(F.transform(both, pairs), spans)
-    hit = text.rlike(needs) & text.rlike(regex) if needs else text.rlike(regex)
-    return F.when(hit, F.element_at(found, 1)).otherwise(F.array().cast(kind))
+    empty = F.array().cast(kind)
+    found = F.element_at(F.transform(F.transform(hits, pairs), lambda x: F.when(x.isNotNull(), spans(x)).otherwise(empty)), 1)
+    return F.when(text.rlike(needs) if needs else text.isNotNull(), found).otherwise(empty)
 
 
 def pattern_spans(text: Column, p: Pattern) -> Column:
@@ -190,7 +190,8 @@ def detect(df: DataFrame, text_col: str = "text", entities: Iterable[str] = ENTI
     if allow_list is not None:
         words = [w.lower() for w in allow_list]
         spans = F.filter(spans, lambda s: ~F.lower(F.substring(F.col(text_col), s["start"] + 1, s["end"] - s["start"])).isin(words))
-    return df.withColumn(out, spans)
+    # a generated column: what is asked of it later (whether it is empty, each span) doesn't make it again
+    return df.withColumn(out, F.explode(F.array(spans)))
 
 
 def context_boost(df: DataFrame, text_col: str = "text", spans_col: str = "spans", window: int = 40, boost: float = 0.35) -> DataFrame:
