@@ -10,6 +10,7 @@ from ..operators import jsonargs as J
 from ..operators import request as RQ
 from ..operators import spans as P
 from ..operators import validate as V
+from ..session import spread
 from ..sources import io
 from .catalog import _CASES, _EMAIL, _OWN_PATTERNS, _PERSON_SQL, _TALLY, _cases, _spans_of, _spans_sql, persons, query, table
 
@@ -57,7 +58,7 @@ _REASON_SQL = f"""CASE WHEN NOT json_valid(raw) OR json_type(raw) <> 'OBJECT' TH
 def _from_sql(spark, sf_dir, sql: str, name: str):
     """The rows of a derived table of the SQL above, in Spark."""
     made = sql.strip()[1:-1].replace("VARCHAR", "STRING").replace("{", "{{").replace("}", "}}").replace(f"FROM {name}", "FROM {t}")
-    return spark.sql(made, t=table(spark, sf_dir, name))
+    return spark.sql(made, t=spread(table(spark, sf_dir, name)))
 
 
 @query(f"SELECT request_id, msg, {_REASON_SQL} AS reason_code FROM (SELECT msg, request_id, CASE WHEN json_valid(raw) THEN raw ELSE '[]' END AS raw FROM {_SHAPES_SQL})")
