@@ -101,7 +101,7 @@ _REPLY = """'{"choices":[{"index":0,"message":{"content":"Für ' || {a} || ' und
 )
 def reply_restore(spark, sf_dir):
     """Replies with sound, broken and absent maps, and replies that are no JSON; a map's value has quotes."""
-    c = table(spark, sf_dir, "customer")
+    c = spread(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment"))
     raw = F.when(F.col("c_custkey") % 13 == 0, F.lit("<PERSON_0> {")).otherwise(F.expr(_REPLY.replace("{a}", "'<PERSON_0>'").replace("{b}", "'<PERSON_10>'").replace("{c}", "'<PERSON_0>'").replace("\\", "\\\\")))
     own = F.to_json(F.map_from_arrays(F.array(F.lit("<PERSON_0>"), F.lit("<PERSON_10>")), F.array(F.concat("c_name", F.lit(' "A"')), F.col("c_mktsegment"))))
     broken = F.get(F.array(F.lit("["), F.lit('{"<PERSON_0>": 5}'), F.lit('{"<PERSON_0>": null}')), (F.col("c_custkey") % 3).cast("int"))
