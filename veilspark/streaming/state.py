@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -103,15 +104,67 @@ def reidentify_stream(deltas: DataFrame, reid: dict[str, str], escaped: dict[str
 
 _UNION = ["stream_id", "seq", "channel", "call_index", "text", "finish_reason", "placeholder", "value"]
 _SAID = "stream_id string, channel string, call_index int, seq long, text string, finish_reason string"
+#: A stream's rows go to Python and come back as JSON, as each column of pandas costs time for every stream.
+_PACKED = "said string"
+
+
+def _said(key: str, rows: list[tuple], plain: dict[str, str], held: dict[tuple, str]) -> tuple[list[tuple], dict[tuple, str]]:
+    """What is said for a stream's rows (seq, channel, call_index, text, finish_reason) in order, and what is held back in each channel after them.
+
+    A row without a channel is an end without text: it flushes every channel.
+    A channel that has nothing to say keeps its row, so that chunks of other
+    kinds pass through.
+    """
+    escaped = {k: json.dumps(v, ensure_ascii=False)[1:-1] for k, v in plain.items()}
+    windows: dict[tuple, Window] = {}
+    out: list[tuple] = []
+
+    def window(channel: str, call: int) -> Window:
+        if (channel, call) not in windows:
+            windows[channel, call] = Window(escaped if channel == "arguments" else plain, held.get((channel, call), ""))
+        return windows[channel, call]
+
+    for seq, channel, call, text, reason in rows:
+        if channel is None:
+            if reason:  # the stream's end: whatever is held is said before it
+                out += [(key, c, n if n >= 0 else None, seq, window(c, n).flush(), None) for c, n in sorted({*held, *windows}) if window(c, n).held]
+            out.append((key, None, None, seq, text, reason))
+            continue
+        own = window(channel, -1 if call is None else call)
+        said = None if text is None else own.feed(text)
+        if reason:
+            said = (said or "") + own.flush()
+        out.append((key, channel, call, seq, said, reason))
+    return out, {k: w for k, w in held.items() if k not in windows} | {k: w.held for k, w in windows.items() if w.held}
+
+
+def _idle(key: str, plain: dict[str, str], held: dict[tuple, str]) -> list[tuple]:
+    """What a stream that fell silent still held back."""
+    escaped = {k: json.dumps(v, ensure_ascii=False)[1:-1] for k, v in plain.items()}
+    return [(key, c, n if n >= 0 else None, None, Window(escaped if c == "arguments" else plain, rest).flush(), "idle") for (c, n), rest in sorted(held.items())]
+
+
+def _parted(parts: Iterable[pd.DataFrame]) -> tuple[dict[str, str], list[tuple]]:
+    """A stream's packed rows apart: its map, and its deltas by seq (those without one last)."""
+    told, rows = {}, []
+    for part in parts:
+        for seq, channel, call, text, reason, placeholder, value in json.loads(f"[{','.join(part['packed'])}]"):
+            if placeholder is None:
+                rows.append((None if seq is None else int(seq), channel, None if call is None else int(call), text, reason))
+            elif value is not None:
+                told[placeholder] = value
+    return told, sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))
+
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame({"said": [json.dumps(rows)] if rows else []}, dtype=object)
 
 
 class KeyedReidentifier(StatefulProcessor):
     """Per stream: its own map, and what is held back in each of its channels.
 
     The map comes as rows of the stream, in the batch of its first delta or
-    before (or as initial state), and may leave the state after some time.  A row without a channel is an end without text: it flushes
-    every channel.  A channel that has nothing to say keeps its row, so that
-    chunks of other kinds pass through.
+    before, or as initial state, and may leave the state after some time.
     """
 
     def __init__(self, idle_ms: int | None, keep_ms: int | None):
@@ -127,65 +180,74 @@ class KeyedReidentifier(StatefulProcessor):
             if placeholder is not None and value is not None:
                 self.reid.updateValue((placeholder,), (value,))
 
-    def _maps(self) -> tuple[dict[str, str], dict[str, str]]:
-        plain = {k[0]: v[0] for k, v in self.reid.iterator()}
-        return plain, {k: json.dumps(v, ensure_ascii=False)[1:-1] for k, v in plain.items()}
+    def _map(self) -> dict[str, str]:
+        return {k[0]: v[0] for k, v in self.reid.iterator()}
 
     def _windows(self) -> dict[tuple, str]:
         return {(k[0], k[1]): v[0] for k, v in self.held.iterator()}
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        part = pd.concat(list(rows))
-        told = part[part["placeholder"].notna() & part["value"].notna()]
-        for placeholder, value in zip(told["placeholder"], told["value"], strict=True):
+        told, deltas = _parted(rows)
+        for placeholder, value in told.items():
             self.reid.updateValue((placeholder,), (value,))
-        plain, escaped = self._maps()
-        held, windows, out = self._windows(), {}, []
-
-        def window(channel: str, call: int) -> Window:
-            if (channel, call) not in windows:
-                windows[channel, call] = Window(escaped if channel == "arguments" else plain, held.get((channel, call), ""))
-            return windows[channel, call]
-
-        for seq, channel, call, text, reason in part[part["placeholder"].isna()].sort_values("seq", kind="stable")[["seq", "channel", "call_index", "text", "finish_reason"]].itertuples(index=False):
-            call, text, reason = (None if pd.isna(x) else x for x in (call, text, reason))
-            if channel is None or pd.isna(channel):
-                if reason:  # the stream's end: whatever is held is said before it
-                    out += [(key[0], c, n if n >= 0 else None, seq, window(c, n).flush(), None) for c, n in sorted({*held, *windows}) if window(c, n).held]
-                out.append((key[0], None, None, seq, text, reason))
-                continue
-            own = window(channel, -1 if call is None else int(call))
-            said = None if text is None else own.feed(text)
-            if reason:
-                said = (said or "") + own.flush()
-            out.append((key[0], channel, None if call is None else int(call), seq, said, reason))
-        for name, w in windows.items():
-            if w.held:
-                self.held.updateValue(name, (w.held,))
-            elif name in held:
-                self.held.removeKey(name)
+        before = self._windows()
+        out, held = _said(key[0], deltas, self._map(), before)
+        for name, text in held.items():
+            if text != before.get(name):
+                self.held.updateValue(name, (text,))
+        for name in before.keys() - held.keys():
+            self.held.removeKey(name)
         if self.idle_ms is not None:
             for old in list(self.handle.listTimers()):
                 self.handle.deleteTimer(old)
-            if any(w.held for w in windows.values()) or set(held) - set(windows):
+            if held:
                 self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
-        yield self._frame(out)
+        yield _frame(out)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        plain, escaped = self._maps()
-        out = [(key[0], c, n if n >= 0 else None, None, Window(escaped if c == "arguments" else plain, rest).flush(), "idle") for (c, n), rest in sorted(self._windows().items())]
+        out = _idle(key[0], self._map(), self._windows())
         self.held.clear()
-        yield self._frame(out)
-
-    @staticmethod
-    def _frame(rows: list[tuple]) -> pd.DataFrame:
-        frame = pd.DataFrame(rows, columns=_DELTA)
-        return frame.astype({"call_index": "Int32", "seq": "Int64"})
+        yield _frame(out)
 
     def close(self) -> None:
         pass
 
 
+#: A stream's state in one value: its map with the time of each entry, what is held back, and when silence ends it (JSON).
+_KEPT = "kept string"
+
+
+def _keyed(idle_ms: int | None, keep_ms: int | None):
+    """``KeyedReidentifier`` as a function of a stream's rows and its state, which come and go in Arrow batches of many streams."""
+
+    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        reid, old, idle_at = json.loads(state.get[0]) if state.exists else ({}, [], None)
+        held = {(c, n): text for c, n, text in old}
+        clock = idle_ms is not None or keep_ms is not None
+        now = state.getCurrentProcessingTimeMs() if clock else 0
+        out: list[tuple] = []
+        if keep_ms is not None:
+            reid = {p: x for p, x in reid.items() if x[1] + keep_ms > now}
+        if state.hasTimedOut:
+            if idle_at is not None and idle_at <= now:
+                out, held, idle_at = _idle(key[0], {p: x[0] for p, x in reid.items()}, held), {}, None
+        else:
+            told, deltas = _parted(parts)
+            reid |= {p: [value, now] for p, value in told.items()}
+            out, held = _said(key[0], deltas, {p: x[0] for p, x in reid.items()}, held)
+            idle_at = now + idle_ms if idle_ms is not None and held else None
+        if reid or held:
+            state.update((json.dumps((reid, [(*k, text) for k, text in held.items()], idle_at)),))
+            ends = [x[1] + keep_ms for x in reid.values()] if keep_ms is not None else []
+            if ends or idle_at is not None:
+                state.setTimeoutDuration(max(1, min([*ends, *([] if idle_at is None else [idle_at])]) - now))
+        elif state.exists:
+            state.remove()
+        yield _frame(out)
+
+    return run
+
+
 def reidentify_streams(deltas: DataFrame, maps: DataFrame, idle_ms: int | None = None, keep_ms: int | None = None, initial: DataFrame | None = None) -> DataFrame:
     """Deltas (stream_id, channel, call_index, seq, text, finish_reason) restored with the map of their own stream.
 
@@ -195,13 +257,20 @@ def reidentify_streams(deltas: DataFrame, maps: DataFrame, idle_ms: int | None =
     placeholder that stays is no leak.  Maps leave the state ``keep_ms`` after
     they were written; without it and ``idle_ms`` the query needs no clock, and
     can end by itself.  Otherwise like ``reidentify_stream``.
+
+    Streams travel in Arrow batches of many, each with its state as one value;
+    only initial state needs the processor, which asks the state store for
+    every stream by itself.
     """
-    none = lambda kind: F.lit(None).cast(kind)
-    kinds = dict(stream_id="string", seq="long", channel="string", call_index="int", text="string", finish_reason="string", placeholder="string", value="string")
-    left = deltas.select(*(F.col(c).cast(kinds[c]) if c in deltas.columns else none(kinds[c]).alias(c) for c in _UNION))
-    right = maps.select(*(F.col(c).cast(kinds[c]) if c in ("stream_id", "placeholder", "value") else none(kinds[c]).alias(c) for c in _UNION))
-    opened = initial.groupBy("stream_id") if initial is not None else None
-    return left.unionByName(right).groupBy("stream_id").transformWithStateInPandas(KeyedReidentifier(idle_ms, keep_ms), _SAID, "Append", "none" if idle_ms is None and keep_ms is None else "processingTime", initialState=opened)
+    packed = lambda df, own: df.select(F.col("stream_id").cast("string").alias("stream_id"), F.to_json(F.array(*((F.col(c) if c in own and c in df.columns else F.lit(None)).cast("string") for c in _UNION[1:]))).alias("packed"))
+    every = packed(deltas, _DELTA).unionByName(packed(maps, _UNION[-2:])).groupBy("stream_id")
+    clock = idle_ms is not None or keep_ms is not None
+    if initial is not None:
+        said = every.transformWithStateInPandas(KeyedReidentifier(idle_ms, keep_ms), _PACKED, "Append", "processingTime" if clock else "none", initialState=initial.groupBy("stream_id"))
+    else:
+        said = every.applyInPandasWithState(_keyed(idle_ms, keep_ms), _PACKED, _KEPT, "append", GroupStateTimeout.ProcessingTimeTimeout if clock else GroupStateTimeout.NoTimeout)
+    rows = F.from_json("said", "array<array<string>>", {"mode": "FAILFAST"})
+    return said.select(F.explode(rows).alias("_r")).select(*(F.get("_r", F.lit(i)).cast(kind).alias(c) for i, (c, kind) in enumerate(x.split(" ") for x in _SAID.split(", "))))
 
 
 def reassemble(deltas: DataFrame, keys: list[str], seq: str = "seq", text: str = "text") -> DataFrame:
