@@ -103,7 +103,7 @@ def _found(text: Column, types: Column | None, words: Keywords, fold_umlauts: bo
     """(person, hits of the third tier's categories, of the second's) of a text that isn't null."""
     person = has_word(text, words.person_words, fold_umlauts)
     if types is not None:
-        person = person | F.coalesce(F.arrays_overlap(types, F.array(*(F.lit(t) for t in words.person_types))), F.lit(False))
+        person = F.coalesce(F.arrays_overlap(types, F.array(*(F.lit(t) for t in words.person_types))), F.lit(False)) | person
     three = {c: has_word(text, w, fold_umlauts) for c, w in words.tier3.items()}
     two = {"kontextwort": has_word(text, words.tier2_words, fold_umlauts)} | {n: F.coalesce(text.rlike("(?iU)" + rx), F.lit(False)) for n, rx in words.tier2_patterns.items()}
     return person, three, two
@@ -118,8 +118,11 @@ def _any(hits: Iterable[Column]) -> Column:
 
 def tier(text: Column, types: Column | None = None, keywords: Keywords | None = None, fold_umlauts: bool = False) -> Column:
     """The heuristic tier of one text, also inside arrays."""
-    person, three, two = _found(text, types, keywords or Keywords(), fold_umlauts)
-    return F.coalesce(F.when(~person, 1).when(_any(three.values()), 3).when(_any(two.values()), 2).otherwise(1), F.lit(2))
+    words = keywords or Keywords()
+    person, _, two = _found(text, types, words, fold_umlauts)
+    every = tuple(w for ws in words.tier3.values() for w in ws)  # one search for the words of all categories
+    three = has_word(text, every, fold_umlauts) if every else F.lit(False)
+    return F.coalesce(F.when(~person, 1).when(three, 3).when(_any(two.values()), 2).otherwise(1), F.lit(2))
 
 
 def classify(df: DataFrame, text_col: str = "text", types_col: str | None = None, level_col: str | None = None, fold_umlauts: bool = False, signals: bool = False, keywords: Keywords | None = None) -> DataFrame:

@@ -144,8 +144,9 @@ def matches(text: Column, regex: str, needs: str = "") -> Column:
         blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / BLOCK).cast("int")), lambda k: F.slice(x, k * BLOCK + 1, F.lit(BLOCK)))
         return F.flatten(F.aggregate(blocks, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind}>").alias("out")), block)["out"])
 
+    single = lambda x: F.struct(x["h"].alias("value"), F.length(x["p"]).alias("start"), (F.length(x["p"]) + F.length(x["h"])).alias("end"))
     empty = F.array().cast(kind)
-    found = F.element_at(F.transform(F.transform(hits, pairs), lambda x: F.when(x.isNotNull(), spans(x)).otherwise(empty)), 1)
+    found = F.element_at(F.transform(F.transform(hits, pairs), lambda x: F.when(F.size(x) == 1, F.transform(x, single)).when(x.isNotNull(), spans(x)).otherwise(empty)), 1)
     return F.when(text.rlike(needs) if needs else text.isNotNull(), found).otherwise(empty)
 
 

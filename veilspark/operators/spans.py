@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from bisect import bisect_right
+from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -147,17 +148,37 @@ def masked_tokens(tokens: list[dict]) -> tuple[list[str | None], dict[str, str]]
     return out, {placeholder: value for (_, value), placeholder in known.items()}
 
 
+def _unpacked(rows: pa.Array) -> Iterator[list[dict]]:
+    """The tokens of each row, read column by column, as nested values are slow to convert one by one."""
+    tokens = rows.values
+    texts, spans = tokens.field("text").to_pylist(), tokens.field("spans")
+    fields = [f.name for f in spans.type.value_type]
+    flat = [dict(zip(fields, x, strict=True)) for x in zip(*(spans.values.field(f).to_pylist() for f in fields), strict=True)]
+    ends, given = spans.offsets.to_pylist(), spans.is_valid().to_pylist()
+    at = rows.offsets.to_pylist()
+    for i, valid in enumerate(rows.is_valid().to_pylist()):
+        yield [{"text": texts[k], "spans": flat[ends[k] : ends[k + 1]] if given[k] else None} for k in range(at[i], at[i + 1])] if valid else []
+
+
 def numbered(df: DataFrame, tokens: str, out: str) -> DataFrame:
     """Adds ``out`` (masked, reid_map) of an array of tokens, each a struct of a text and its spans; a null array has none.  Linear in texts and spans."""
     ship(df.sparkSession)
 
     @F.arrow_udf(_NUMBERED)
     def run(rows: pa.Array) -> pa.Array:
-        made = []
-        for row in rows.to_pylist():
-            masked, known = masked_tokens(row or [])
-            made.append({"masked": masked, "reid_map": [{"placeholder": p, "value": v} for p, v in known.items()]})
-        return pa.array(made, pa.struct([("masked", pa.list_(pa.string())), ("reid_map", pa.list_(pa.struct([("placeholder", pa.string()), ("value", pa.string())])))]))
+        masked: list[str | None] = []
+        names: list[str] = []
+        values: list[str] = []
+        m_ends, r_ends = [0], [0]
+        for row in _unpacked(rows):
+            texts, known = masked_tokens(row)
+            masked += texts
+            names += known.keys()
+            values += known.values()
+            m_ends.append(len(masked))
+            r_ends.append(len(names))
+        entries = pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(values, pa.string())], ["placeholder", "value"])
+        return pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(m_ends, pa.int32()), pa.array(masked, pa.string())), pa.ListArray.from_arrays(pa.array(r_ends, pa.int32()), entries)], ["masked", "reid_map"])
 
     # neither the tokens nor the result may be copied into other columns, where Python can't run: what isn't deterministic stays where it is
     held = df.withColumn(tokens, F.when(F.monotonically_increasing_id() >= 0, F.col(tokens)))

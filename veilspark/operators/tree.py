@@ -81,7 +81,8 @@ def message_texts(v: Column) -> Column:
     named = F.transform(F.filter(F.array(*(_text(v, f"$.{n}") for n in ("name", "refusal", "reasoning_content"))), lambda t: t.isNotNull()), lambda t: _plain(t, False))
     calls = F.coalesce(F.flatten(F.transform(_get(v, "$.tool_calls", "array<variant>"), lambda c: _function(_get(c, "$.function")))), F.array().cast("array<struct<k:string,t:string>>"))
     every = F.filter(F.concat(calls, _function(_get(v, "$.function_call"))), lambda x: x["t"].isNotNull())
-    return F.concat(own, named, F.transform(every, lambda x: F.when(x["k"] == "name", _plain(x["t"], False)).otherwise(_arguments(x["t"])))).cast(f"array<{TEXT}>")
+    whole = F.concat(own, named, F.transform(every, lambda x: F.when(x["k"] == "name", _plain(x["t"], False)).otherwise(_arguments(x["t"])))).cast(f"array<{TEXT}>")
+    return F.when(V.is_plain(v), F.array(_plain(_get(v, "$.content", _STRING), True)).cast(f"array<{TEXT}>")).otherwise(whole)
 
 
 def detected(requests: DataFrame, raw: str = "raw", entities: Iterable[str] = D.ENTITIES, patterns: Iterable[D.Pattern] = (), images: str | None = None, service: bool = False) -> DataFrame:
@@ -266,7 +267,7 @@ def _message(v: Column, texts: Column) -> Column:
     new["tool_calls"] = F.try_parse_json(_array(F.transform(calls, lambda c, i: _set(c, {"function": _function_with(_get(c, "$.function"), F.slice(texts, at + F.get(at_call, i) + 1, F.lit(2)))}))))
     after = at + F.aggregate(sizes, F.lit(0), lambda a, b: a + b)
     new["function_call"] = _function_with(_get(v, "$.function_call"), F.slice(texts, after + 1, F.lit(2)))
-    return _set(v, new)
+    return F.when(V.is_plain(v), F.to_json(F.struct(F.get(texts, F.lit(0)).alias("content"), _get(v, "$.role", _STRING).alias("role")))).otherwise(_set(v, new))
 
 
 def restore_replies(replies: DataFrame, maps: DataFrame, request: str = "request_id", raw: str = "raw", reid: str = "reid") -> DataFrame:

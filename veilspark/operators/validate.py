@@ -47,6 +47,15 @@ def _only(v: Column, allowed: tuple[str, ...]) -> Column:
     return F.coalesce(F.size(F.array_except(F.json_object_keys(F.to_json(v)), _lit(allowed))) == 0, F.lit(False))
 
 
+#: How a message of a text and a role alone prints as a type: most are, and need none of the other rules.
+_PLAIN = "OBJECT<content: STRING, role: STRING>"
+
+
+def is_plain(v: Column) -> Column:
+    """Whether a message (a variant) has a text as its content, a text as its role, and no other field."""
+    return F.coalesce(F.schema_of_variant(v) == _PLAIN, F.lit(False))
+
+
 def _text_in(v: Column, path: str, allowed: tuple[str, ...], absent: bool = True) -> Column:
     """Whether a field is one of the texts; a number or flag that prints alike is none."""
     own = _field(v, path)
@@ -101,7 +110,8 @@ def message_reason(raw: Column, images: str | None = None, service: bool = False
     calls, content = _field(v, "$.tool_calls"), _field(v, "$.content")
     listed = _is(content, "ARRAY", absent=False)
     return (
-        F.when(v.isNull() | ~_is(v, "OBJECT", absent=False), "not_an_object")
+        F.when(is_plain(v) & F.coalesce(F.try_variant_get(v, "$.role", "string").isin(*ROLES), F.lit(False)), F.lit(None).cast("string"))
+        .when(v.isNull() | ~_is(v, "OBJECT", absent=False), "not_an_object")
         .when(F.size(unknown_fields(raw)) > 0, "unknown_field")
         .when(~_text_in(v, "$.role", ROLES), "role")
         .when(~(_is(_field(v, "$.name"), "STRING") & _is(_field(v, "$.refusal"), "STRING") & _is(_field(v, "$.reasoning_content"), "STRING")), "text_field")

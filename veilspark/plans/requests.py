@@ -155,7 +155,7 @@ _DAY = 86400
 def session_requests(spark, sf_dir):
     """The third type in a session of 400 days generalises that turn; older types don't count."""
     turn = _TURN.replace("{plz}", _PLZ).replace("{year}", f"CAST({_YEAR} AS VARCHAR)").replace("{gender}", "'weiblich'").replace("VARCHAR", "STRING")
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("request_id"), F.col("o_custkey").alias("session"), F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).alias("at"), F.to_json(F.struct(F.array(F.struct(F.lit("user").alias("role"), F.expr(turn).alias("content"))).alias("messages"))).alias("raw"))
+    o = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate"), 1 << 20).select(F.col("o_orderkey").alias("request_id"), F.col("o_custkey").alias("session"), F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).alias("at"), F.to_json(F.struct(F.array(F.struct(F.lit("user").alias("role"), F.expr(turn).alias("content"))).alias("messages"))).alias("raw"))
     made = T.mask_sessions(o, ttl=400 * _DAY, entities=("EMAIL_ADDRESS", "DE_PLZ", "DE_GEBURTSJAHR", "DE_GENDER"))
     return made.select("request_id", "masked", F.size("seen").alias("n_types"), "generalised", "status")
 

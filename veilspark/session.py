@@ -63,8 +63,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
 SMALL = 32 << 20
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` dealt over the cores where it is so small that its files would keep a few of them busy only; a large one stays as it is read."""
+def spread(df: DataFrame, piece: int | None = None) -> DataFrame:
+    """``df`` dealt over the cores where it is so small that its files would keep a few of them busy only; a large one stays as it is read, or with ``piece`` is dealt into pieces of so many bytes (narrow rows from which long texts are made)."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return df.repartition(2 * cores) if int(str(size)) < cores * SMALL else df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if piece is not None:
+        return df.repartition(max(2 * cores, min(size // piece, 10000)))
+    return df.repartition(2 * cores) if size < cores * SMALL else df
