@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .detect import quoted
+from .detect import quoted, whole_words
 
 # Keyword lists (literal spelling, matched as whole words, case-insensitive).
 TIER3 = {
@@ -84,7 +84,7 @@ def has_word(text: Column, words: tuple[str, ...], fold_umlauts: bool = False) -
     if fold_umlauts:
         for a, b in (("ä", "ae"), ("ö", "oe"), ("ü", "ue"), ("ß", "ss"), ("Ä", "Ae"), ("Ö", "Oe"), ("Ü", "Ue")):
             source = F.replace(source, F.lit(a), F.lit(b))
-    return F.coalesce(source.rlike(r"(?iU)(?<!\w)(?:" + "|".join(quoted(w) for w in words) + r")(?!\w)"), F.lit(False))
+    return F.coalesce(source.rlike("(?iU)" + whole_words(words)), F.lit(False))
 
 
 def first_word(text: Column, words: tuple[str, ...]) -> Column:

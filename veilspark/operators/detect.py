@@ -51,7 +51,14 @@ def quoted(term: str) -> str:
 
 def deny_list(terms: Iterable[str]) -> str:
     """Alternation of whole terms, longest first."""
-    return r"(?<!\w)(?:" + "|".join(quoted(t) for t in sorted(terms, key=lambda t: (-len(t), t))) + r")(?!\w)"
+    return whole_words(sorted(terms, key=lambda t: (-len(t), t)))
+
+
+def whole_words(terms: Iterable[str]) -> str:
+    """Alternation of whole terms in their order; where no term can begin, nothing behind is looked at."""
+    terms = list(terms)
+    first = "".join(sorted({quoted(t[0]) for t in terms if t}))
+    return (f"(?=[{first}])" if all(terms) and first else "") + r"(?<!\w)(?:" + "|".join(quoted(t) for t in terms) + r")(?!\w)"
 
 
 _H16, _OCTET = "[0-9A-Fa-f]{1,4}", "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -13,6 +13,11 @@ from pyspark.sql import functions as F
 from ..session import ship
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is made once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def valid(spans: Column, text: Column) -> Column:
     return F.filter(spans, lambda s: (s["start"] >= 0) & (s["start"] < s["end"]) & (s["end"] <= F.length(text)) & (F.coalesce(s["entity_type"], F.lit("")) != ""))
 
@@ -67,7 +72,7 @@ def resolve_exact(df: DataFrame, spans_col: str = "spans") -> DataFrame:
 
 def resolve(spans: Column) -> Column:
     """Overlap resolution inside a row, native: spans by start are folded into islands."""
-    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["score"].alias("score"), s["entity_type"].alias("entity_type"))))
+    ordered = F.sort_array(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["score"].alias("score"), s["entity_type"].alias("entity_type"))))
     kind = "array<struct<start:int,end:int,score:double,entity_type:string,best_len:int,best_start:int>>"
 
     def step(out: Column, s: Column) -> Column:
@@ -100,7 +105,7 @@ def number(spans: DataFrame, request: list[str], order: list[str]) -> DataFrame:
 
 def mask(text: Column, spans: Column) -> Column:
     """Text with disjoint spans (start, end, placeholder) replaced, from right to left."""
-    ordered = F.reverse(F.array_sort(spans))
+    ordered = F.sort_array(spans, asc=False)
     return F.aggregate(ordered, text, lambda t, s: F.concat(F.substring(t, F.lit(1), s["start"]), s["placeholder"], F.substring(t, s["end"] + 1, F.length(t))))
 
 
@@ -220,14 +225,16 @@ def probe(text: Column, placeholders: Column) -> Column:
     Only placeholders that were given out are blanked; other text of their
     shape stays and is verified like any text.
     """
-    longest = F.array_sort(F.transform(placeholders, lambda p: F.struct((-F.length(p)).alias("n"), p.alias("p"))))
+    longest = F.sort_array(F.transform(placeholders, lambda p: F.struct((-F.length(p)).alias("n"), p.alias("p"))))
     # U+0000 never stands in a text that went through JSON or a table; one that has it is left as it is and so is verified whole
-    marked = F.when(F.contains(text, F.lit("\x00")), text).otherwise(F.aggregate(longest, text, lambda t, p: F.replace(t, p["p"], F.lit("\x00"))))
-    own = F.contains(marked, F.lit("\x00")) & ~F.contains(text, F.lit("\x00"))
-    parts = F.split(F.when(own, marked).otherwise(F.lit("")), "\x00", -1)
-    lengths = F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda p: F.length(p))
-    fillers = F.aggregate(lengths, F.array().cast("array<int>"), lambda out, n: F.concat(out, F.array(F.coalesce(F.try_element_at(out, F.lit(-1)) + 1, F.lit(0)) + n)))
-    return F.struct(F.when(own, F.array_join(parts, " ")).otherwise(text).alias("text"), F.when(own, fillers).otherwise(F.array().cast("array<int>")).alias("fillers"))
+    cut = lambda t: F.split(F.when(~F.contains(t, F.lit("\x00")), F.aggregate(longest, t, lambda u, p: F.replace(u, p["p"], F.lit("\x00")))), "\x00", -1)
+
+    def made(t: Column, parts: Column) -> Column:
+        lengths = F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda p: F.length(p))
+        fillers = F.aggregate(lengths, F.array().cast("array<int>"), lambda out, n: F.concat(out, F.array(F.coalesce(F.try_element_at(out, F.lit(-1)) + 1, F.lit(0)) + n)))
+        return F.struct(F.coalesce(F.array_join(parts, " "), t).alias("text"), F.when(parts.isNotNull(), fillers).otherwise(F.array().cast("array<int>")).alias("fillers"))
+
+    return bound(text, lambda t: bound(cut(t), lambda parts: made(t, parts)))
 
 
 def is_artifact(start: Column, end: Column, text: Column, fillers: Column) -> Column:
