@@ -203,7 +203,7 @@ def mask_rows(df: DataFrame, text_col: str = "text", spans_col: str = "spans") -
 
 def reidentify(text: Column, reid_map: Column) -> Column:
     """Placeholders replaced by their values one after the other, longest placeholder first; unknown ones stay."""
-    ordered = F.transform(F.array_sort(F.transform(reid_map, lambda m: F.struct((-F.length(m["placeholder"])).alias("n"), m["placeholder"].alias("p"), m["value"].alias("v")))), lambda x: x)
+    ordered = F.sort_array(F.transform(reid_map, lambda m: F.struct((-F.length(m["placeholder"])).alias("n"), m["placeholder"].alias("p"), m["value"].alias("v"))))
     return F.when(reid_map.isNull(), text).otherwise(F.aggregate(ordered, text, lambda t, m: F.replace(t, m["p"], m["v"])))
 
 

@@ -36,6 +36,16 @@ def _get(v: Column, path: str, kind: str = "variant") -> Column:
     return F.try_variant_get(v, path, kind)
 
 
+def _given(v: Column) -> Column:
+    """Whether a variant is there and no JSON null; its schema would read all that is in it."""
+    return v.isNotNull() & ~F.is_variant_null(v)
+
+
+def _listed(v: Column, path: str) -> Column:
+    """A field that is a list, as array<variant>; null for anything else."""
+    return _get(v, path, "array<variant>")
+
+
 def _text(v: Column, path: str) -> Column:
     """A field that is a text; null for anything else."""
     return F.when(F.schema_of_variant(_get(v, path)) == "STRING", _get(v, path, _STRING))
@@ -53,18 +63,20 @@ def _plain(text: Column, content: bool) -> Column:
 
 
 def _arguments(text: Column) -> Column:
-    kind = strictness(text)
-    gaps = F.split(text, TOKEN, -1)
     tokens = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
 
-    def piece(raw: Column, i: Column) -> Column:
+    def piece(raw: Column, lead: Column) -> Column:
         quoted = raw.startswith('"')
-        return F.struct(F.get(gaps, i).alias("lead"), raw.alias("raw"), F.when(quoted, _get(F.try_parse_json(raw), "$", _STRING)).otherwise(raw).alias("text"), quoted.alias("quoted"))
+        return F.struct(lead.alias("lead"), raw.alias("raw"), F.when(quoted, _get(F.try_parse_json(raw), "$", _STRING)).otherwise(raw).alias("text"), quoted.alias("quoted"))
 
-    whole = F.array(F.struct(F.lit("").alias("lead"), text.alias("raw"), text.alias("text"), F.lit(False).alias("quoted")))
-    pieces = F.when(kind == "json", F.transform(tokens, piece)).otherwise(whole)
-    tail = F.when(kind == "json", F.element_at(gaps, -1)).otherwise(F.lit(""))
-    return F.struct((kind == "json").alias("args"), F.lit(False).alias("content"), F.when(kind == "not_strict", "arguments").alias("bad"), text.alias("text"), pieces.alias("pieces"), tail.alias("tail"))
+    def made(kind: Column, gaps: Column) -> Column:
+        whole = F.array(F.struct(F.lit("").alias("lead"), text.alias("raw"), text.alias("text"), F.lit(False).alias("quoted")))
+        pieces = F.when(kind == "json", F.transform(tokens, lambda raw, i: piece(raw, F.get(gaps, i)))).otherwise(whole)
+        tail = F.when(kind == "json", F.element_at(gaps, -1)).otherwise(F.lit(""))
+        return F.struct((kind == "json").alias("args"), F.lit(False).alias("content"), F.when(kind == "not_strict", "arguments").alias("bad"), text.alias("text"), pieces.alias("pieces"), tail.alias("tail"))
+
+    # parsed and split once, not anew for every token
+    return P.bound(strictness(text), lambda kind: P.bound(F.split(text, TOKEN, -1), lambda gaps: made(kind, gaps)))
 
 
 def _function(v: Column) -> Column:
@@ -93,11 +105,11 @@ def detected(requests: DataFrame, raw: str = "raw", entities: Iterable[str] = D.
     wanted = set(entities)
     chosen = [p for p in D.PATTERNS if p.entity in wanted] + list(patterns)
     v = F.col("_v")
-    kind = F.coalesce(F.schema_of_variant(_get(v, "$.messages")), F.lit("VOID"))
+    listed = _listed(v, "$.messages")
     out = requests.withColumn("_v", F.try_parse_json(raw))
-    out = out.withColumn("_messages", F.when(kind.startswith("ARRAY<"), _get(v, "$.messages", "array<variant>")).otherwise(F.array().cast("array<variant>")))
+    out = out.withColumn("_messages", F.coalesce(listed, F.array().cast("array<variant>")))
     reasons = F.transform("_messages", lambda m: V.message_reason(F.to_json(m), images, service, m))
-    whole = F.when(v.isNull() | ~F.schema_of_variant(v).startswith("OBJECT"), "request").when(~kind.startswith("ARRAY<") & (kind != "VOID"), "messages")
+    whole = F.when(_get(v, "$", "map<string,variant>").isNull(), "request").when(listed.isNull() & _given(_get(v, "$.messages")), "messages")
     out = out.withColumn("_texts", F.transform("_messages", message_texts))
     broken = F.get(F.filter(F.transform(F.flatten("_texts"), lambda t: t["bad"]), lambda b: b.isNotNull()), F.lit(0))
     out = out.withColumn("_reason", F.coalesce(whole, F.get(F.filter(reasons, lambda r: r.isNotNull()), F.lit(0)), broken))
@@ -148,7 +160,7 @@ def mask_request_json(found: DataFrame, keep: Iterable[str], approved: Column |
     """
     own_approved, own_level = requested(F.col("_v"))
     approved, level = own_approved if approved is None else approved, own_level if level is None else level
-    texts = F.flatten("_texts")
+    found, texts = found.withColumn("_flat", F.flatten("_texts")), F.col("_flat")
     # types found in a text link it to a person
     types = F.transform(F.flatten("_spans"), lambda s: F.transform(F.flatten(s), lambda x: x["entity_type"]))
     tiers = F.zip_with(texts, types, lambda t, k: C.tier(t["text"], k))
@@ -164,13 +176,14 @@ def mask_request_json(found: DataFrame, keep: Iterable[str], approved: Column |
     made = P.numbered(made.withColumn("_tokens", F.when(F.col("_reason").isNull(), tokens)), "_tokens", "_done")
     # back into texts: how many tokens came before each text
     sizes = F.transform(texts, lambda t: F.size(t["pieces"]))
-    made = made.withColumn("_at", _offsets(sizes)).withColumn("_flat", texts)
-    made = made.withColumn("_new", F.transform("_flat", lambda t, i: _rebuilt(t, F.slice(F.col("_done.masked"), F.get("_at", i) + 1, F.size(t["pieces"])))))
-    made = made.withColumn("_reason", F.coalesce("_reason", _left(F.col("_new"), F.col("_flat"), F.col("_done.reid_map"), set(entities)), _twice(F.col("_new"), F.col("_flat"))))
+    made = made.withColumn("_at", _offsets(sizes))
+    # generated columns: a filter on the status doesn't make the texts and their search again
+    made = made.withColumn("_new", F.explode(F.array(F.transform("_flat", lambda t, i: _rebuilt(t, F.slice(F.col("_done.masked"), F.get("_at", i) + 1, F.size(t["pieces"])))))))
+    made = made.withColumn("_reason", F.explode(F.array(F.coalesce("_reason", _left(F.col("_new"), F.col("_flat"), F.col("_done.reid_map"), set(entities)), _twice(F.col("_new"), F.col("_flat"))))))
     made = made.withColumn("_ends", _offsets(F.transform("_texts", lambda t: F.size(t))))
-    messages = F.transform("_messages", lambda m, i: _message(m, F.slice("_new", F.get("_ends", i) + 1, F.size(F.get("_texts", i)))))
+    messages = F.transform("_messages", lambda m, i: P.bound(F.slice("_new", F.get("_ends", i) + 1, F.size(F.get("_texts", i))), lambda ts: _message(m, ts)))
     tree = F.map_concat(F.map_filter(_get(F.col("_v"), "$", "map<string,variant>"), lambda k, x: k != "messages"), F.map_from_arrays(F.array(F.lit("messages")), F.array(F.try_parse_json(_array(messages)))))
-    masked = F.when(F.coalesce(F.schema_of_variant(_get(F.col("_v"), "$.messages")), F.lit("VOID")).startswith("ARRAY"), F.to_json(tree)).otherwise(F.to_json("_v"))
+    masked = F.when(_listed(F.col("_v"), "$.messages").isNotNull(), F.to_json(tree)).otherwise(F.to_json("_v"))
     good = F.col("_reason").isNull()
     none = F.array().cast("array<struct<placeholder:string,value:string>>")
     return made.select(*keep, F.when(good, masked).alias("masked"), F.when(good, F.col("_done.reid_map")).otherwise(none).alias("reid_map"), F.when(good, F.size("_done.reid_map")).otherwise(0).alias("n_values"), F.when(good, "ok").otherwise("blocked").alias("status"), F.col("_reason").alias("reason_code"))
@@ -184,8 +197,9 @@ def _general(piece: Column, span: Column) -> Column:
 
 
 def _offsets(sizes: Column) -> Column:
-    """Sums of the sizes before each entry."""
-    return F.transform(sizes, lambda _, i: F.aggregate(F.slice(sizes, F.lit(1), i), F.lit(0), lambda a, b: a + b))
+    """Sums of the sizes before each entry, in one pass: the sizes are made once, not anew for each of them."""
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(sizes, none, lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")))["out"]
 
 
 def _rebuilt(text: Column, masked: Column) -> Column:
@@ -233,7 +247,7 @@ def _set(v: Column, new: dict[str, Column]) -> Column:
     def value(k: Column, old: Column) -> Column:
         out = old
         for name, x in new.items():
-            out = F.when((k == name) & (F.schema_of_variant(old) != "VOID"), x).otherwise(out)
+            out = F.when((k == name) & _given(old), x).otherwise(out)
         return out
 
     return F.to_json(F.transform_values(_fields(v), value))
@@ -292,23 +306,25 @@ def restore_replies(replies: DataFrame, maps: DataFrame, request: str = "request
     out = out.withColumn("_e", F.transform("_r", lambda m: F.struct(m["placeholder"].alias("placeholder"), P.json_escaped(m["value"]).alias("value"))))
     choices = F.transform(_get(F.col("_v"), "$.choices", "array<variant>"), lambda c: _set(c, {k: F.try_parse_json(_restored_message(_get(c, f"$.{k}"), F.col("_r"), F.col("_e"))) for k in ("message", "delta")}))
     made = _set(F.col("_v"), {"choices": F.try_parse_json(_array(choices))})
-    listed = F.coalesce(F.schema_of_variant(_get(F.col("_v"), "$.choices")).startswith("ARRAY<"), F.lit(False))
+    listed = _listed(F.col("_v"), "$.choices").isNotNull()
     status = F.when(F.col("_n").isNull(), "no_map").when(F.col("_r").isNull(), "broken_map").when(F.col("_v").isNull(), "broken_reply").otherwise("ok")
-    mentioned = F.exists("_r", lambda m: F.contains(F.to_json("_v"), P.json_escaped(m["placeholder"])))
+    mentioned = P.bound(F.to_json("_v"), lambda v: F.exists("_r", lambda m: F.contains(v, P.json_escaped(m["placeholder"]))))
     restored = F.when((status == "ok") & listed & F.coalesce(mentioned, F.lit(False)), F.coalesce(made, F.col(raw))).otherwise(F.col(raw))
     return out.select(*replies.columns, restored.alias("restored"), status.alias("status"))
 
 
 def _restored_arguments(text: Column, reid: Column, escaped: Column) -> Column:
     """Arguments: JSON token by token, so that what stays keeps its bytes; what is no JSON takes the values as they stand in JSON."""
-    tokens, gaps = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), F.split(text, TOKEN, -1)
+    tokens = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+
+    def changed(raw: Column, value: Column, new: Column) -> Column:
+        return F.when(new != value, F.concat(F.lit('"'), P.json_escaped(new), F.lit('"'))).otherwise(raw)
 
-    def token(raw: Column, i: Column) -> Column:
-        value = _get(F.try_parse_json(raw), "$", _STRING)
-        new = P.reidentify(value, reid)
-        return F.concat(F.get(gaps, i), F.when(raw.startswith('"') & (new != value), F.concat(F.lit('"'), P.json_escaped(new), F.lit('"'))).otherwise(raw))
+    def token(raw: Column) -> Column:
+        read = P.bound(_get(F.try_parse_json(raw), "$", _STRING), lambda value: P.bound(P.reidentify(value, reid), lambda new: changed(raw, value, new)))
+        return F.when(raw.startswith('"'), read).otherwise(raw)
 
-    whole = F.concat(F.array_join(F.transform(tokens, token), ""), F.element_at(gaps, -1))
+    whole = P.bound(F.split(text, TOKEN, -1), lambda gaps: F.concat(F.array_join(F.transform(tokens, lambda raw, i: F.concat(F.get(gaps, i), token(raw))), ""), F.element_at(gaps, -1)))
     return F.when(F.try_parse_json(text).isNotNull(), whole).otherwise(P.reidentify(text, escaped))
 
 
